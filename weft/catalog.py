@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from weft.plans import motif_plans, registry, structure  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return registry.SQL
 
 
 def flagship(spark, sf_dir):
