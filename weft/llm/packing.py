@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,16 +30,20 @@ from pyspark.sql import functions as F
 from weft.llm.common import cut
 
 CAPACITY, END, GROUP, NODES = 2048, 0, 32_768, 20_000
-MAX_CACHE = 1_000_000
+MAX_CACHE = 600_000
+
+
+#: Where an ASCII letter is followed by an ASCII mark; a token always ends there.
+_MARK = re.compile(rb"(?<=[a-z])(?=[^\sa-z0-9\x80-\xff])")
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and ignores case, so what stands between ASCII white space is encoded by itself and remembered (at
-    most MAX_CACHE pieces). A comma or full stop after an ASCII letter is always a token of its own, so it is split off first. New
-    pieces are encoded many at a time: letters alone are one word, whose last id is a word end; between others stands a lone 0, whose
-    id no piece without a 0 can give.
+    The tokenizer drops white space and ignores case, so what stands between ASCII white space is encoded by itself and remembered: at
+    most 2 * MAX_CACHE pieces, of which those not met since the last MAX_CACHE new ones are forgotten. A letter and a mark after it are
+    never in one token, so marks are split off first. New pieces are encoded many at a time: letters alone are one word, whose last id
+    is a word end; between others stands a lone 0, whose id no piece without a 0 can give.
     """
 
     def __init__(self, path: str):
@@ -51,54 +56,58 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         (self.zero,) = self._encode("0").tolist()
-        self.marks = {m: self._encode(chr(m)).tobytes() for m in b",."}
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _encode_all(self, ask: set[bytes]) -> dict[bytes, bytes]:
-        out, letters, others = {}, [], []
-        for w in ask:
-            (letters if (t := w.decode()).isalpha() and t.lower().isalpha() else others).append((w, t))
-        for i in range(0, len(letters), 2048):
-            part = letters[i : i + 2048]
-            ids = self._encode(" ".join([t for _, t in part]))
-            cut = np.flatnonzero(self.ends[ids]) + 1
+    def _letters(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = self._encode(b" ".join(part).decode())
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cut) != len(part):  # some letter isn't one to the tokenizer
-                out.update((w, self._encode(t).tobytes()) for w, t in part)
+                self.known.update((w, self._encode(w.decode()).tobytes()) for w in part)
                 continue
             raw, at = ids.tobytes(), 0
-            for (w, _), e in zip(part, (cut * 4).tolist(), strict=True):
-                out[w] = raw[at:e]
+            for w, e in zip(part, cut.tolist(), strict=True):
+                self.known[w] = raw[at:e]
                 at = e
-        for w, t in [x for x in others if b"0" in x[0]]:
-            out[w] = self._encode(t).tobytes()
-        rest = [x for x in others if b"0" not in x[0]]
-        for i in range(0, len(rest), 2048):
-            part = rest[i : i + 2048]
-            ids = self._encode(" 0 ".join([t for _, t in part]))
+
+    def _others(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = self._encode(b" 0 ".join(part).decode())
             cut = np.append(np.flatnonzero(ids == self.zero), len(ids)) * 4
             raw, at = ids.tobytes(), 0
-            for (w, _), e in zip(part, cut.tolist(), strict=True):
-                out[w] = raw[at:e]
+            for w, e in zip(part, cut.tolist(), strict=True):
+                self.known[w] = raw[at:e]
                 at = e + 4
-        return out
-
-    def learn(self, texts: list[bytes]) -> None:
-        new = set().union(*map(bytes.split, texts)).difference(self.known)
-        if len(self.known) + len(new) > MAX_CACHE:
-            self.known = {}
-            new = set().union(*map(bytes.split, texts))
-        known, marks = self.known, self.marks
-        split = [(w, v[:-1], v[-1]) if v[-1] in marks and v[-2:-1].isalpha() else (w, v, 0) for w, v in ((w, w.lower()) for w in new)]
-        found = self._encode_all({v for _, v, _ in split}.difference(known))
-        for w, v, m in split:
-            ids = found.get(v) or known.get(v, b"")
-            known[w] = ids + marks[m] if m else ids
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.split()))
+    def _learn(self, new: set[bytes]) -> None:
+        if self.older:
+            met = new.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in met)
+            new = new.difference(met)
+        ascii_ = [w for w in new if w.isalpha()]
+        rest = [(w, w.decode()) for w in new.difference(ascii_)]
+        wide = [w for w, t in rest if t.isalpha() and t.lower().isalpha()]
+        self._letters(ascii_)
+        self._letters(wide)
+        odd = set(wide)
+        self._others([w for w, _ in rest if w not in odd and b"0" not in w])
+        self.known.update((w, self._encode(t).tobytes()) for w, t in rest if b"0" in w)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        parts = [_MARK.sub(b" ", t.lower()).split() for t in texts]
+        if new := set().union(*parts).difference(self.known):
+            self._learn(new)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
+        if len(self.known) > MAX_CACHE:
+            self.known, self.older = {}, self.known
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -115,10 +124,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                enc.learn(texts)
+                coded = enc.encode(texts)
                 at, piece, start, length, crc = [], [], [], [], []
-                for i, t in enumerate(texts):
-                    ids = enc.ids(t) + tail
+                for i, ids in enumerate(coded):
+                    ids += tail
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[s : s + 4 * capacity]
                         at.append(i)
