@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import cut
 
 CAPACITY, END, GROUP, NODES = 2048, 0, 32_768, 20_000
-MAX_CACHE = 600_000
+MAX_CACHE = 500_000
 
 
 #: Where an ASCII letter is followed by an ASCII mark; a token always ends there.
