@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.operators.rest import cut, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words (after lower-casing A-Z): all ASCII but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,27 +25,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS.replace("\\", "\\")), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='weft-shared-')}"
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Texts go to Python a few hundred rows at a time: a batch of the default ten thousand would hold too much of a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, rows)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing already written."""
-    spark = df.sparkSession
-    df.write.parquet(path := fresh_dir(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_next(df: DataFrame, key: str, order: list[str], carry: list[str], name: str = "next", rows_per_bucket: int = 256, max_buckets: int = 100_000) -> DataFrame:
     """Add a struct column ``name`` with the ``carry`` columns of the next row by (key, *order); the last row gets the first one's.
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import small_batches
+
 DIM, EMBED, ORDERS = 1 << 14, 16, (1, 2, 3)
 PER_LANG, MAX_LANGS, EPOCHS, BATCH, RATE = 600, 256, 12, 32, 0.5
 #: Of right answers on the kept-back rows, the share that may fall under the rejection threshold; the threshold never exceeds one half.
@@ -145,6 +147,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], *, embed: int = EMBED,
 def sample_counts(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Mean bucket counts and labels of a bounded sample: about ``per_lang`` rows of each label, those with the smallest hash of their id."""
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    small_batches(docs.sparkSession)
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return np.zeros((0, DIM), np.float32), np.zeros(0, int), []
@@ -179,6 +182,7 @@ def fit(docs: DataFrame, **kw) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """``keep`` columns plus lang_pred, score and accepted; reads only the text."""
+    small_batches(docs.sparkSession)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut
+from weft.llm.common import cut, small_batches
 
 CAPACITY, END, GROUP, NODES = 2048, 0, 32_768, 20_000
 MAX_CACHE = 500_000
@@ -112,6 +112,7 @@ class Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for every piece of every row."""
+    small_batches(docs.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut
+from weft.llm.common import cut, small_batches
 
 SHINGLE, SEED, BITS, BLOCKS = 4, 42, 4, 7
 #: A key with more distinct fingerprints than this is linked by the exact detour of ``_linked_by_halfway`` instead.
@@ -51,6 +51,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

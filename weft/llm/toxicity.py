@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import words
+from weft.llm.common import cut, small_batches, words
 
 # Seed words of the finer categories.
 SEEDS = {
@@ -142,8 +142,6 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seeds: dict[str, list[str]] = SEEDS) -> Chain | None:
-    from weft.llm.common import cut
-
     rows = labelled(docs, labels).select("doc_id", "toxic", words(F.col("text")).alias("w"))
     rows = cut(rows.select("doc_id", "toxic", F.array_join(features(F.array_distinct("w")), " ").alias("text")), "labelled")
     vocab = vocabulary(rows)
@@ -168,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seeds: dic
 
 def judge(docs: DataFrame, chain: Chain | None, keep: list[str], categories: list[str] | None = None) -> DataFrame:
     """``keep`` columns plus one probability for each category and ``rejected``."""
+    small_batches(docs.sparkSession)
     cats = chain.categories if chain else categories or [*SEEDS, "toxic"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     names = [f"p_{c}" for c in cats]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import fresh_dir
+from weft.llm.common import fresh_dir, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 MAX_BYTES, DICT_BYTES, LEVEL, SAMPLES = 16 << 20, 64 << 10, 6, 400
@@ -139,6 +139,7 @@ def write_archives(classified: DataFrame, folder: str, max_bytes: int = MAX_BYTE
             yield flush()
 
     spark = classified.sparkSession
+    small_batches(spark)
     files = classified.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records bigint, bytes bigint")
     files.write.parquet(listing := f"{folder}-files")
     return spark.read.parquet(listing)
