@@ -18,10 +18,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, small_batches
+from weft.llm.common import batch_rows, cut, small_batches
 
 SHINGLE, SEED, BITS, BLOCKS = 4, 42, 4, 7
 #: A key with more distinct fingerprints than this is linked by the exact detour of ``_linked_by_halfway`` instead.
@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS) ->
     """(doc_id, fp, component_id): per row of ``docs`` the smallest doc_id reachable over links of at most ``bits`` differing bits."""
     fps = cut(fingerprints(docs), "fingerprints")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    comp = components(close_links(reps.filter("rep IS NOT NULL"), bits, blocks))
+    with batch_rows(docs.sparkSession, 8192):  # short rows
+        comp = components(close_links(reps.filter("rep IS NOT NULL"), bits, blocks))
     classes = cut(reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "components")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
