@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import iterative, motif_plans, registry, structure, temporal_plans  # noqa: F401
+from weft.plans import iterative, mdl_plans, motif_plans, registry, structure, temporal_plans  # noqa: F401
 
 
 def queries() -> dict:
