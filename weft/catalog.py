@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import iterative, mdl_plans, motif_plans, registry, structure, temporal_plans  # noqa: F401
+from weft.plans import iterative, mdl_plans, model_plans, motif_plans, registry, structure, substructure_plans, temporal_plans  # noqa: F401
 
 
 def queries() -> dict:
@@ -14,4 +14,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return model_plans.flagship(spark, sf_dir)

@@ -1,7 +1,492 @@
-"""placeholder"""
+"""Vertex replacement grammars: rules extracted along a dendrogram, and graphs generated from them.
+
+Which tree nodes are contracted, and when, follows from the tree alone for the size-based scores, because contracting one subtree leaves the
+boundary and the inside of any disjoint subtree as they are. So the schedule is made from tree sizes, every edge is then mapped to the one
+step at which it becomes internal, and all rules come from a few aggregations over the edge table.
+
+Trees are (id, path) as in ``cluster``: path[k] is the cluster at depth k.
+"""
+
+from __future__ import annotations
+
+import heapq
+import math
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import permutations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.rest import cut
+
+#: Schedules are made on the driver from one row per tree node: at most so many.
+MOST_TREE_NODES = 2_000_000
+
+RULE = "rule_id bigint, lhs bigint, n int, m bigint, freq bigint, level int, cost double, canon string, rhs_nodes array<struct<node:int,label:bigint,b_deg:bigint>>, rhs_edges array<struct<a:int,b:int,w:bigint>>"
+
 
-def mu_score(leaves, mu):
+def mu_score(leaves: Column, mu: int) -> Column:
     """0 at mu leaves, log2(1 + mu - leaves) below, infinite above."""
     return F.when(leaves > mu, F.lit(float("inf"))).when(leaves < mu, F.log2(1 + mu - leaves)).otherwise(F.lit(0.0))
+
+
+def _gamma(x: float) -> float:
+    return 2 * math.log2(x) + 1
+
+
+def _dl(n: int, m: int, s: float, kinds: int) -> float:
+    lu = math.log2(1 + kinds)
+    return (math.log2(n) if n else 0.0) + n * lu + (math.log2(m) if m else 0.0) + lu * (s + n * n - 2 * m)
+
+
+class Tree:
+    """A dendrogram in memory: for each internal node its children, parent, level and leaves."""
+
+    def __init__(self, paths: list[tuple[int, list[int]]]):
+        self.kids: dict[int, list[int]] = defaultdict(list)
+        self.parent: dict[int, int] = {}
+        self.level: dict[int, int] = {}
+        self.leaf_id: dict[int, int] = {}
+        names: dict[tuple, int] = {}
+        seen: dict[tuple, int] = defaultdict(int)
+        for _, p in paths:
+            for k in range(len(p)):
+                seen[tuple(p[: k + 1])] += 1
+        for node, p in sorted(paths):
+            up = None
+            for k in range(len(p)):
+                key = tuple(p[: k + 1])
+                if seen[key] == 1:
+                    break
+                # a cluster that is all of its parent is the same tree node
+                if k and seen[key] == seen[key[:-1]]:
+                    names.setdefault(key, names[key[:-1]])
+                if key not in names:
+                    names[key] = len(names)
+                    t = names[key]
+                    self.level[t] = self.level[up] + 1 if up is not None else 0
+                    if up is not None:
+                        self.parent[t] = up
+                        self.kids[up].append(t)
+                up = names[key]
+            leaf = -1 - len(self.leaf_id)
+            self.leaf_id[leaf] = node
+            if up is None:
+                names[()] = up = len(names)
+                self.level[up] = 0
+            self.parent[leaf] = up
+            self.level[leaf] = self.level[up] + 1
+            self.kids[up].append(leaf)
+        # names are dense only per first use; the root is the node without a parent
+        self.root = next((t for t in self.level if t not in self.parent), None)
+
+    def internal(self) -> list[int]:
+        return [t for t in self.level if t not in self.leaf_id]
+
+
+def load_tree(paths: DataFrame, most: int = MOST_TREE_NODES) -> Tree:
+    if paths.agg(F.sum(F.size("path"))).first()[0] > 8 * most:
+        raise ValueError(f"the tree has more than {most} nodes")
+    return Tree([(r.id, list(r.path)) for r in paths.collect()])
+
+
+def schedule(tree: Tree, mu: int, kind: str = "mu_level", cost: dict[int, float] | None = None) -> list[tuple[int, list[int], int]]:
+    """(tree node, its remaining leaves as tree nodes, level) in order of contraction. ``cost`` gives each candidate's rule cost for dl scores.
+
+    A heap holds every internal node's score (ties by first insertion, breadth first); only ancestors of a contracted node are scored again.
+    When nothing fits mu, the first-inserted node, which is the root, takes all that is left.
+    """
+    order = {}
+    queue = [tree.root]
+    while queue:
+        t = queue.pop(0)
+        if t in tree.leaf_id:
+            continue
+        order[t] = len(order)
+        queue += tree.kids[t]
+    leaves: dict[int, set[int]] = {}
+    for t in sorted(order, key=lambda t: -tree.level[t]):
+        leaves[t] = set().union(*({c} if c in tree.leaf_id else leaves[c] for c in tree.kids[t]))
+    version = dict.fromkeys(order, 0)
+
+    def score(t: int) -> tuple:
+        d = len(leaves[t]) - mu
+        first = math.inf if d > 0 else math.log2(1 - d) if d < 0 else 0.0
+        rest = []
+        if "level" in kind:
+            rest.append(tree.level[t])
+        if "dl" in kind:
+            rest.append(math.inf if d > 0 or cost is None else cost.get(t, math.inf))
+        return (first, *rest) if first < math.inf else (math.inf,)
+
+    heap = [(score(t), order[t], 0, t) for t in order]
+    heapq.heapify(heap)
+    done: set[int] = set()
+    out = []
+    while heap:
+        _, _, v, t = heapq.heappop(heap)
+        if t in done or v != version[t]:
+            continue
+        out.append((t, sorted(leaves[t]), tree.level[t]))
+        gone, stack = leaves[t], [t]
+        while stack:
+            x = stack.pop()
+            if x in done:
+                continue
+            done.add(x)
+            stack += [c for c in tree.kids[x] if c not in tree.leaf_id]
+        new = max(gone)  # leaves are numbered down from -1 by node id, so the largest stands for the smallest id
+        up = tree.parent.get(t)
+        if up is None:
+            break
+        while up is not None:
+            leaves[up] = (leaves[up] - gone) | {new}
+            version[up] += 1
+            heapq.heappush(heap, (score(up), order[up], version[up], up))
+            up = tree.parent.get(up)
+    return out
+
+
+def rules_from_schedule(edges: DataFrame, tree: Tree, steps: list[tuple[int, list[int], int]], mode: str = "part") -> DataFrame:
+    """One row per step: (step, lhs, level, rhs_nodes, rhs_edges), from one pass over the edges.
+
+    A node's representatives over time are the steps it is part of; an edge is internal at the first step that holds both ends, and a boundary
+    edge of every earlier step that holds one of them. Those (step, representative) chains are as long as the contraction tree is deep.
+    """
+    spark = edges.sparkSession
+    standing: dict[int, int] = {}  # representative -> step that made it
+    above: dict[int, tuple[int, int]] = {}  # step -> (later step that takes it in, as which member)
+    first: dict[int, tuple[int, int]] = {}  # leaf -> (first step, member)
+    for k, (_, members, _) in enumerate(steps):
+        for i, leaf in enumerate(members):
+            if leaf in standing:
+                above[standing[leaf]] = (k, i)
+            else:
+                first[leaf] = (k, i)
+        standing[max(members)] = k
+    chains = []
+    for leaf, (k, i) in first.items():
+        chain = [(k, i)]
+        while k in above:
+            k, i = above[k]
+            chain.append((k, i))
+        chains.append((tree.leaf_id[leaf], chain))
+    c = spark.createDataFrame(chains, "id bigint, chain array<struct<k:int,i:int>>")
+    a, b = c.toDF("u", "ca"), c.toDF("v", "cb")
+    e = edges.join(a, "u").join(b, "v")
+    both = F.array_intersect(F.transform("ca", lambda x: x["k"]), F.transform("cb", lambda x: x["k"]))
+    e = e.withColumn("meet", F.array_min(both))
+    member = lambda chain: F.filter(chain, lambda x: x["k"] == F.col("meet"))[0]["i"]
+    inner = e.filter("meet IS NOT NULL").select(F.col("meet").alias("k"), F.least(member("ca"), member("cb")).alias("a"), F.greatest(member("ca"), member("cb")).alias("b"), "w").groupBy("k", "a", "b").agg(F.sum("w").alias("w"))
+    out = e.select(F.explode(F.concat(F.filter("ca", lambda x: F.col("meet").isNull() | (x["k"] < F.col("meet"))), F.filter("cb", lambda x: F.col("meet").isNull() | (x["k"] < F.col("meet"))))).alias("x"), "w").groupBy(F.col("x.k").alias("k"), F.col("x.i").alias("i")).agg(F.sum("w").alias("b_deg"))
+    labels = {(k2, i2): k for k, (k2, i2) in above.items()}
+    rows = [(k, i, labels.get((k, i))) for k, (_, members, _) in enumerate(steps) for i in range(len(members))]
+    node = spark.createDataFrame(rows, "k int, i int, from_step int")
+    node = node.join(out, ["k", "i"], "left").na.fill(0, ["b_deg"])
+    lhs = node.groupBy("k").agg(F.sum("b_deg").alias("lhs"))
+    node = node.join(lhs.select(F.col("k").alias("from_step"), F.col("lhs").alias("label")), "from_step", "left")
+    levels = spark.createDataFrame([(k, lv) for k, (_, _, lv) in enumerate(steps)], "k int, level int")
+    ns = node.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("node"), "label", "b_deg"))).alias("rhs_nodes"))
+    es = inner.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("a", "b", "w"))).alias("rhs_edges"))
+    r = levels.join(lhs, "k").join(ns, "k").join(es, "k", "left")
+    none = F.expr("cast(array() AS array<struct<a:int,b:int,w:bigint>>)")
+    return r.select(F.col("k").alias("step"), "lhs", "level", "rhs_nodes", F.coalesce("rhs_edges", none).alias("rhs_edges"))
+
+
+def canonical_form(nodes: list[tuple], edges: list[tuple], most: int = 5_000) -> str:
+    """A string that two right-hand sides share iff some bijection keeps labels and weights (boundary degrees don't count).
+
+    Colours are refined by neighbours' colours and weights; what they leave open is tried out by permutation. If that would be over
+    ``most`` orders, the refined colours alone are used and marked with a star (equal forms are then only likely isomorphic).
+    """
+    n = len(nodes)
+    pos = {x[0]: i for i, x in enumerate(nodes)}
+    w = np.zeros((n, n), np.int64)
+    for a, b, k in edges:
+        w[pos[a], pos[b]] += k
+        if a != b:
+            w[pos[b], pos[a]] += k
+    colour = [(-1 if x[1] is None else x[1], int(w[i, i])) for i, x in enumerate(nodes)]
+    rank = {c: i for i, c in enumerate(sorted(set(colour)))}
+    c = [rank[x] for x in colour]
+    while True:
+        sig = [(c[i], tuple(sorted((c[j], int(w[i, j])) for j in range(n) if w[i, j] and j != i))) for i in range(n)]
+        rank = {s: i for i, s in enumerate(sorted(set(sig)))}
+        new = [rank[s] for s in sig]
+        if len(rank) == len(set(c)):
+            break
+        c = new
+    groups = defaultdict(list)
+    for i, x in enumerate(c):
+        groups[x].append(i)
+    orders = math.prod(math.factorial(len(g)) for g in groups.values())
+    head = ";".join(",".join(map(str, colour[groups[g][0]])) + f"*{len(groups[g])}" for g in sorted(groups))
+    if orders > most:
+        return head + "|*" + ",".join(sorted(f"{min(c[pos[a]], c[pos[b]])}-{max(c[pos[a]], c[pos[b]])}:{k}" for a, b, k in edges))
+
+    def ways(gs: list[list[int]]) -> Iterator[list[int]]:
+        if not gs:
+            yield []
+            return
+        for p in permutations(gs[0]):
+            for rest in ways(gs[1:]):
+                yield [*p, *rest]
+
+    best = min(tuple(int(w[o[i], o[j]]) for i in range(n) for j in range(i + 1, n)) for o in ways([groups[g] for g in sorted(groups)]))
+    return head + "|" + ",".join(map(str, best))
+
+
+def with_cost(rules: DataFrame, mode: str = "part") -> DataFrame:
+    """Add n, m and cost: boundary code, right-hand side, frequency and (in part mode) boundary degrees."""
+    from weft.functions import mdl
+
+    n, m = F.size("rhs_nodes"), F.size("rhs_edges").cast("long")
+    s = F.aggregate("rhs_edges", F.lit(0.0), lambda a, x: a + 2 * mdl.gamma_bits(x["w"] + 1))
+    kinds = F.size(F.array_distinct(F.transform("rhs_nodes", lambda x: x["label"].isNull())))
+    top = F.array_max(F.transform("rhs_nodes", lambda x: x["b_deg"]))
+    cost = mdl.gamma_bits(F.col("lhs") + 1) + mdl.dl(n, m, s, kinds) + mdl.gamma_bits(F.col("freq") + 1)
+    if mode == "part":
+        cost = cost + n * mdl.gamma_bits(top + 1)
+    return rules.withColumn("n", n).withColumn("m", m).withColumn("cost", cost)
+
+
+def dedupe(steps: DataFrame, mode: str = "part", match_b_deg: bool = False) -> DataFrame:
+    """Rules from extracted steps: isomorphic right-hand sides with the same boundary are one rule; the first one's boundary degrees stay."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            forms = []
+            for ns, es in zip(b["rhs_nodes"], b["rhs_edges"], strict=True):
+                node = [(x["node"], (x["label"] if x["label"] is None or not math.isnan(x["label"]) else None), x["b_deg"]) for x in ns]
+                if match_b_deg:
+                    node = [(x, (lab if lab is not None else -1) * 1_000_003 + bd + 1, bd) for x, lab, bd in node]
+                forms.append(canonical_form([(i, None if lab is None else int(lab), bd) for i, lab, bd in node], [(x["a"], x["b"], x["w"]) for x in es]))
+            yield b.assign(canon=forms)
+
+    kind = "step int, lhs bigint, level int, rhs_nodes array<struct<node:int,label:bigint,b_deg:bigint>>, rhs_edges array<struct<a:int,b:int,w:bigint>>, canon string"
+    c = cut(steps.mapInPandas(run, kind), "rules")
+    firsts = c.groupBy("lhs", "canon").agg(F.count(F.lit(1)).alias("freq"), F.min("step").alias("step"))
+    r = firsts.join(c.select("step", "level", "rhs_nodes", "rhs_edges"), "step")
+    return with_cost(r.withColumn("rule_id", F.col("step").cast("long")), mode).select("rule_id", "lhs", "n", "m", "freq", "level", "cost", "canon", "rhs_nodes", "rhs_edges")
+
+
+def extract(edges: DataFrame, paths: DataFrame, mu: int = 4, kind: str = "mu_level", mode: str = "part") -> DataFrame:
+    """The grammar of a connected graph along a dendrogram, by one of mu_random, mu_level, mu_dl, mu_level_dl, local_dl, global_dl."""
+    tree = load_tree(paths)
+    if kind in ("local_dl", "global_dl"):
+        steps = greedy_schedule(edges, tree, mu, kind)
+    else:
+        cost = subtree_costs(edges, paths, tree, mu) if "dl" in kind else None
+        steps = schedule(tree, mu, kind, cost)
+    return dedupe(rules_from_schedule(edges, tree, steps, mode), mode)
+
+
+def subtree_costs(edges: DataFrame, paths: DataFrame, tree: Tree, mu: int) -> dict[int, float]:
+    """Rule cost of every tree node of at most mu leaves, all in one batch of aggregations."""
+    from weft.operators.core import group_rules
+
+    rows = []
+    for t in tree.internal():
+        stack, own = [t], []
+        while stack and len(own) <= mu:
+            x = stack.pop()
+            if x in tree.leaf_id:
+                own.append(tree.leaf_id[x])
+            else:
+                stack += tree.kids[x]
+        if not stack and len(own) <= mu:
+            rows += [(t, i) for i in own]
+    if not rows:
+        return {}
+    # tree nodes nest, so they are batched by height: sets of one batch are disjoint
+    spark, out = edges.sparkSession, {}
+    by_level = defaultdict(list)
+    for t, i in rows:
+        by_level[tree.level[t]].append((t, i))
+    for batch in by_level.values():
+        got = group_rules(edges, spark.createDataFrame(batch, "grp bigint, id bigint")).select("grp", "cost").collect()  # one row per small tree node
+        out |= {r.grp: r.cost for r in got}
+    return out
+
+
+#: The dl-greedy extractors rescore after every contraction; they hold the graph on the driver, for at most so many edges.
+MOST_EDGES = 500_000
+
+
+def greedy_schedule(edges: DataFrame, tree: Tree, mu: int, kind: str) -> list[tuple[int, list[int], int]]:
+    """Order of contraction by the relative description length of what would be left plus the rule (checked size, on the driver).
+
+    local: the tree node of best score; only ancestors of a contracted node are scored again. global: the record (an isomorphism class of
+    right-hand sides) of best score by its last occurrence; all of its disjoint occurrences are contracted, then all is scored anew.
+    """
+    if edges.count() > MOST_EDGES:
+        raise ValueError(f"{kind} is limited to {MOST_EDGES} edges")
+    adj: dict[int, dict[int, int]] = defaultdict(dict)
+    label: dict[int, int] = {}
+    back = {v: k for k, v in tree.leaf_id.items()}
+    for r in edges.filter("u <> v").collect():
+        u, v = back[r.u], back[r.v]
+        adj[u][v] = adj[v][u] = adj[u].get(v, 0) + r.w
+    code = lambda w: 2 * _gamma(w + 1)
+    leaves: dict[int, set[int]] = {}
+    order = sorted(tree.internal(), key=lambda t: (tree.level[t], t))
+    seq = {t: i for i, t in enumerate(order)}
+    for t in reversed(order):
+        leaves[t] = set().union(*({c} if c in tree.leaf_id else leaves[c] for c in tree.kids[t]))
+    alive, done = set(tree.leaf_id), set()
+
+    def whole() -> tuple[int, int, float]:
+        m = sum(len(x) for x in adj.values()) // 2
+        return len(alive), m, sum(code(w) for x in adj.values() for w in x.values()) / 2
+
+    def parts(s: set[int]):
+        ins, bound, outer = [], [], defaultdict(int)
+        bd = dict.fromkeys(s, 0)
+        for u in s:
+            for v, w in adj[u].items():
+                if v in s:
+                    if u < v:
+                        ins.append((u, v, w))
+                else:
+                    bound.append(w)
+                    outer[v] += w
+                    bd[u] += w
+        return ins, bound, outer, bd
+
+    def score(t: int, g: tuple[int, int, float]) -> tuple[float, str]:
+        s = leaves[t]
+        if len(s) > mu:
+            return math.inf, ""
+        ins, bound, outer, bd = parts(s)
+        lhs = sum(bound)
+        rhs_kinds = len({u in label for u in s})
+        cost = _gamma(lhs + 1) + _dl(len(s), len(ins), sum(code(w) for *_, w in ins), rhs_kinds) + _gamma(2) + len(s) * _gamma(max(bd.values()) + 1)
+        n, m, total = g
+        n2, m2 = n - len(s) + 1, m - len(ins) - len(bound) + len(outer)
+        s2 = total - sum(code(w) for *_, w in ins) - sum(map(code, bound)) + sum(map(code, outer.values()))
+        kinds = 1 + any(u not in label and u not in s for u in alive) if n2 > 1 else 1
+        now = _dl(n, m, total, len({u in label for u in alive}))
+        form = canonical_form([(u, label.get(u), bd[u]) for u in sorted(s)], ins) if kind == "global_dl" else ""
+        return (_dl(n2, m2, s2, kinds) + cost) / now, f"{lhs}|{form}"
+
+    def contract(t: int) -> tuple[int, list[int], int]:
+        s = leaves[t]
+        _, bound, outer, _ = parts(s)
+        new = max(s)
+        for u in s:
+            for v in list(adj[u]):
+                adj[v].pop(u, None)
+            adj.pop(u, None)
+        for v, w in outer.items():
+            adj[new][v] = adj[v][new] = w
+        alive.difference_update(s - {new})
+        label[new] = sum(bound)
+        stack = [t]
+        while stack:
+            x = stack.pop()
+            if x in done or x in tree.leaf_id:
+                continue
+            done.add(x)
+            stack += tree.kids[x]
+        step = (t, sorted(s), tree.level[t])
+        up = tree.parent.get(t)
+        while up is not None:
+            leaves[up] = (leaves[up] - s) | {new}
+            up = tree.parent.get(up)
+        return step
+
+    steps = []
+    g = whole()
+    scores = {t: score(t, g) for t in order}
+    while tree.root not in done:
+        left = [t for t in order if t not in done]
+        best = min(left, key=lambda t: (scores[t][0], seq[t]))
+        if kind == "global_dl" and scores[best][0] < math.inf:
+            record: dict[str, list[int]] = defaultdict(list)
+            for t in left:
+                if scores[t][0] < math.inf:
+                    record[scores[t][1]].append(t)
+            key = min(record, key=lambda k: (scores[record[k][-1]][0], k))
+            taken: set[int] = set()
+            for t in record[key]:
+                if t not in done and not (leaves[t] & taken) and leaves[t] <= alive:
+                    taken |= leaves[t]
+                    steps.append(contract(t))
+            g = whole()
+            scores = {t: score(t, g) for t in order if t not in done}
+        else:
+            steps.append(contract(best))
+            g = whole()
+            up = tree.parent.get(best)
+            while up is not None:
+                scores[up] = score(up, g)
+                up = tree.parent.get(up)
+    return steps
+
+
+def derive(rules: dict[int, list[dict]], upper: int, rng: np.random.Generator) -> tuple[list[tuple[int, int, int]], list[int], int] | None:
+    """One random derivation: (edges, fired rule ids, nodes), or None when it outgrows ``upper`` nodes or meets a boundary no rule has."""
+    label: dict[int, int] = {0: 0}
+    adj: dict[int, dict[int, int]] = {0: {}}
+    opened, counter, fired = [0], 1, []
+    while opened:
+        if len(adj) > upper:
+            return None
+        i = int(rng.integers(len(opened)))
+        opened[i], opened[-1] = opened[-1], opened[i]
+        x = opened.pop()
+        choice = rules.get(label[x])
+        if not choice:
+            return None
+        p = np.array([r["freq"] for r in choice], float)
+        r = choice[int(rng.choice(len(choice), p=p / p.sum()))] if len(choice) > 1 else choice[0]
+        fired.append(r["rule_id"])
+        broken = [v for v, w in adj.pop(x).items() for _ in range(w)]
+        for v in set(broken):
+            adj[v].pop(x, None)
+        rng.shuffle(broken)
+        at = {}
+        for n in r["nodes"]:
+            at[n["node"]] = counter
+            adj[counter] = {}
+            if n["label"] is not None:
+                label[counter] = n["label"]
+                opened.append(counter)
+            counter += 1
+        k = 0
+        for n in r["nodes"]:
+            for v in broken[k : k + n["b_deg"]]:
+                u = at[n["node"]]
+                adj[u][v] = adj[v][u] = adj[u].get(v, 0) + 1
+            k += n["b_deg"]
+        for a, b, w in r["edges"]:
+            u, v = at[a], at[b]
+            adj[u][v] = adj[v][u] = adj[u].get(v, 0) + w
+    return [(u, v, w) for u, x in adj.items() for v, w in x.items() if u <= v], fired, len(adj)
+
+
+def generate(rules: DataFrame, target: int, graphs: int = 1, tolerance: float = 0.05, trials: int = 200, seed: int = 0) -> DataFrame:
+    """(graph, trial, n, u, v, w, rules): for each wanted graph the first trial whose order is within the tolerance.
+
+    Trials are numbered and independent, so they run anywhere and a repeated one gives the same graph. The grammar is sent with the function:
+    a rule has at most a right-hand side of nodes, and isomorphic ones are merged. An over-large derivation counts as a trial.
+    """
+    by: dict[int, list[dict]] = defaultdict(list)
+    for r in rules.select("rule_id", "lhs", "freq", "rhs_nodes", "rhs_edges").orderBy("lhs", "rule_id").collect():
+        by[r.lhs].append({"rule_id": r.rule_id, "freq": r.freq, "nodes": [{"node": x.node, "label": x.label, "b_deg": x.b_deg} for x in r.rhs_nodes], "edges": [(x.a, x.b, x.w) for x in r.rhs_edges]})
+    low, high = target * (1 - tolerance), target * (1 + tolerance)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g in b["id"]:
+                for t in range(trials):
+                    got = derive(by, int(high), np.random.default_rng([seed, int(g), t]))
+                    if got and low <= got[2] <= high:
+                        e, fired, n = got
+                        yield pd.DataFrame({"graph": int(g), "trial": t, "n": n, "u": [x[0] for x in e], "v": [x[1] for x in e], "w": [x[2] for x in e], "rules": [fired if i == 0 else None for i in range(len(e))]})
+                        break
+
+    return rules.sparkSession.range(graphs).repartition(min(graphs, 1024), "id").mapInPandas(run, "graph bigint, trial int, n bigint, u bigint, v bigint, w bigint, rules array<bigint>")

@@ -1,10 +1,23 @@
-"""Substructures of labelled graphs."""
+"""Substructures of labelled graphs: instances, extension, pattern matching, evaluation, compression and beam search.
+
+Vertices are (vid, label, example), edges (eid, v1, v2, label, directed). An instance is a set of vertices and edges; instances of one
+substructure share a canonical string of their labelled graph.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import permutations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.functions import mdl
+from weft.operators.rest import cut
+
 
 def prune(v: DataFrame, e: DataFrame, vertex_labels: list[str] = (), edge_labels: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Drop vertices and edges of the given labels (with the edges of dropped vertices), then vertices left without an edge."""
@@ -13,3 +26,307 @@ def prune(v: DataFrame, e: DataFrame, vertex_labels: list[str] = (), edge_labels
     own = own.join(kept.select(F.col("vid").alias("v1")), "v1", "left_semi").join(kept.select(F.col("vid").alias("v2")), "v2", "left_semi").select("v1", "v2", "label", "directed")
     ends = own.select(F.explode(F.array("v1", "v2")).alias("vid")).distinct()
     return kept.join(ends, "vid", "left_semi"), own
+
+
+def with_ids(e: DataFrame) -> DataFrame:
+    """Edges with an eid that depends on the edge alone (repeated edges get the same id and are one edge)."""
+    return e.withColumn("eid", F.xxhash64("v1", "v2", "label", "directed")).dropDuplicates(["eid"])
+
+
+def initial(v: DataFrame, least: int = 2) -> DataFrame:
+    """(label, instances, examples): one substructure per vertex label with at least two instances."""
+    return v.groupBy("label").agg(F.count(F.lit(1)).alias("instances"), F.countDistinct("example").alias("examples")).filter(F.col("instances") >= least)
+
+
+def one_edge(v: DataFrame, e: DataFrame) -> DataFrame:
+    """(l1, edge, directed, l2, instances, examples): all one-edge substructures; ends of undirected edges in label order."""
+    a, b = v.select(F.col("vid").alias("v1"), F.col("label").alias("l1"), "example"), v.select(F.col("vid").alias("v2"), F.col("label").alias("l2"))
+    x = e.select("v1", "v2", F.col("label").alias("edge"), "directed").join(a, "v1").join(b, "v2")
+    swap = ~F.col("directed") & (F.col("l1") > F.col("l2"))
+    x = x.select(F.when(swap, F.col("l2")).otherwise(F.col("l1")).alias("l1"), "edge", "directed", F.when(swap, F.col("l1")).otherwise(F.col("l2")).alias("l2"), "example")
+    return x.groupBy("l1", "edge", "directed", "l2").agg(F.count(F.lit(1)).alias("instances"), F.countDistinct("example").alias("examples"))
+
+
+def find_instances(v: DataFrame, e: DataFrame, pattern_vertices: list[str], pattern_edges: list[tuple[int, int, str, bool]]) -> DataFrame:
+    """(vs): injective matches of a connected labelled pattern, vs[i] the vertex of pattern vertex i.
+
+    The pattern is compiled into one equi-join per edge, from its first vertex outwards; automorphic matches are all listed.
+    """
+    out = v.filter(F.col("label") == pattern_vertices[0]).select(F.col("vid").alias("p0"))
+    bound, left = {0}, list(pattern_edges)
+    while left:
+        i = next((k for k, x in enumerate(left) if x[0] in bound or x[1] in bound), None)
+        if i is None:
+            raise ValueError("the pattern isn't connected")
+        a, b, label, directed = left.pop(i)
+        own = e.filter((F.col("label") == label) & (F.col("directed") == directed)).select(F.col("v1").alias("s"), F.col("v2").alias("t"))
+        if not directed:
+            own = own.union(own.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct()
+        if a in bound and b in bound:
+            out = out.join(own.select(F.col("s").alias(f"p{a}"), F.col("t").alias(f"p{b}")).distinct(), [f"p{a}", f"p{b}"], "left_semi")
+            continue
+        old, new = (a, b) if a in bound else (b, a)
+        side = own.select(F.col("s" if old == a else "t").alias(f"p{old}"), F.col("t" if old == a else "s").alias(f"p{new}"))
+        fresh = v.filter(F.col("label") == pattern_vertices[new]).select(F.col("vid").alias(f"p{new}"))
+        out = out.join(side.join(fresh, f"p{new}", "left_semi"), f"p{old}")
+        for k in bound:
+            out = out.filter(F.col(f"p{k}") != F.col(f"p{new}"))
+        bound.add(new)
+    return out.select(F.array(*[F.col(f"p{i}") for i in range(len(pattern_vertices))]).alias("vs"))
+
+
+def canonical(labels: list[str], edges: list[tuple[int, int, str, bool]]) -> str:
+    """The least string over all vertex orders that keep labels sorted; equal for isomorphic labelled graphs. Patterns are small."""
+    n = len(labels)
+    groups: dict[str, list[int]] = {}
+    sig = [(labels[i], tuple(sorted((lab, d, (1 if a == i else 0) if d else 2, labels[b if a == i else a]) for a, b, lab, d in edges if i in (a, b)))) for i in range(n)]
+    for i in range(n):
+        groups.setdefault(repr(sig[i]), []).append(i)
+    best = None
+
+    def ways(keys: list[str]) -> Iterator[list[int]]:
+        if not keys:
+            yield []
+            return
+        for p in permutations(groups[keys[0]]):
+            for rest in ways(keys[1:]):
+                yield [*p, *rest]
+
+    for order in ways(sorted(groups)):
+        at = {v: i for i, v in enumerate(order)}
+        rows = sorted((at[a], at[b], lab, 1) if d else (min(at[a], at[b]), max(at[a], at[b]), lab, 0) for a, b, lab, d in edges)
+        form = "|".join(labels[i] for i in order) + "#" + ";".join(f"{a}{'>' if d else '-'}{b}:{lab}" for a, b, lab, d in rows)
+        if best is None or form < best:
+            best = form
+    return best or ""
+
+
+def extend(instances: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
+    """Instances grown by one edge in every way: (vs, es, canon). Each grown set of edges is kept once."""
+    x = instances.select("vs", "es", F.explode("vs").alias("at"))
+    both = e.select(F.col("v1").alias("at"), "eid", "v1", "v2").union(e.select(F.col("v2").alias("at"), "eid", "v1", "v2"))
+    grown = x.join(both, "at").filter(~F.array_contains("es", F.col("eid"))).select(F.array_sort(F.array_union("vs", F.array("v1", "v2"))).alias("vs"), F.array_sort(F.concat("es", F.array("eid"))).alias("es")).distinct()
+    return with_canon(grown, v, e)
+
+
+def with_canon(instances: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
+    """Add the canonical string: labels come by joins, the string from a vectorised function with a memo over equal labelled graphs."""
+    i = cut(instances.withColumn("iid", F.xxhash64("vs", "es")), "inst")
+    lv = i.select("iid", F.explode("vs").alias("vid")).join(v.select("vid", "label"), "vid").groupBy("iid").agg(F.collect_list(F.struct("vid", "label")).alias("lv"))
+    le = i.select("iid", F.explode("es").alias("eid")).join(e.select("eid", "v1", "v2", "label", "directed"), "eid").groupBy("iid").agg(F.collect_list(F.struct("v1", "v2", "label", "directed")).alias("le"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[tuple, str] = {}
+        for b in batches:
+            forms = []
+            for vs, es in zip(b["lv"], b["le"], strict=True):
+                ids = {x["vid"]: k for k, x in enumerate(sorted(vs, key=lambda x: (x["label"], x["vid"])))}
+                labels = tuple(x["label"] for x in sorted(vs, key=lambda x: (x["label"], x["vid"])))
+                key = (labels, tuple(sorted((ids[x["v1"]], ids[x["v2"]], x["label"], bool(x["directed"])) for x in es)))
+                if key not in memo:
+                    memo[key] = canonical(list(labels), list(key[1]))
+                forms.append(memo[key])
+            yield pd.DataFrame({"iid": b["iid"], "canon": forms})
+
+    forms = lv.join(le, "iid").mapInPandas(run, "iid bigint, canon string")
+    return i.join(forms, "iid").select("vs", "es", "canon")
+
+
+def disjoint(instances: DataFrame) -> DataFrame:
+    """A maximal set of instances per substructure without a shared vertex, in instance order.
+
+    Rounds of "no earlier rival": an instance stays if it is the first of all live ones at each of its vertices, and its rivals leave; this gives
+    the same set as going through them one by one, and a popular vertex is only the key of a partial minimum.
+    """
+    live = cut(instances.withColumn("iid", F.struct("vs", "es")).select("canon", "vs", "es"), "dj")
+    key = F.to_json(F.struct("vs", "es"))
+    live = cut(live.withColumn("iid", key), "dj")
+    out = None
+    while True:
+        x = live.select("canon", "iid", F.explode("vs").alias("vid"))
+        first = x.groupBy("canon", "vid").agg(F.min("iid").alias("first"))
+        y = x.join(first, ["canon", "vid"])
+        stay = y.groupBy("canon", "iid").agg(F.min((F.col("iid") == F.col("first")).cast("int")).alias("ok")).filter("ok = 1").select("canon", "iid")
+        stay = cut(live.join(stay, ["canon", "iid"], "left_semi"), "dj")
+        if not stay.limit(1).count():
+            return out.select("canon", "vs", "es") if out is not None else live.select("canon", "vs", "es")
+        out = stay if out is None else out.union(stay)
+        used = stay.select("canon", F.explode("vs").alias("vid")).distinct()
+        hit = x.join(used, ["canon", "vid"], "left_semi").select("canon", "iid").distinct()
+        live = cut(live.join(hit, ["canon", "iid"], "left_anti"), "dj")
+
+
+def evaluate(instances: DataFrame, v: DataFrame, e: DataFrame, by: str = "size", total_examples: int | None = None) -> DataFrame:
+    """(canon, instances, examples, value) by size, setcover or mdl, from instances without overlap.
+
+    size: graph size over pattern plus compressed size, where k instances of n vertices and m edges shrink the graph by k (n - 1) vertices and
+    k m edges. mdl: the same ratio in bits, with the vertex and edge bits of pattern and compressed graph. setcover: share of examples covered.
+    """
+    ex = instances.withColumn("first", F.element_at("vs", 1)).join(v.select(F.col("vid").alias("first"), "example"), "first")
+    g = ex.groupBy("canon").agg(F.count(F.lit(1)).alias("instances"), F.countDistinct("example").alias("examples"), F.max(F.size("vs")).alias("n"), F.max(F.size("es")).alias("m"))
+    nv, ne = v.count(), e.count()
+    if by == "setcover":
+        return g.select("canon", "instances", "examples", (F.col("examples") / F.lit(total_examples or v.select("example").distinct().count())).alias("value"))
+    cv, ce = F.lit(nv) - F.col("instances") * (F.col("n") - 1), F.lit(ne) - F.col("instances") * F.col("m")
+    if by == "size":
+        return g.select("canon", "instances", "examples", (F.lit(nv + ne) / (F.col("n") + F.col("m") + cv + ce)).alias("value"))
+    labels = v.select("label").union(e.select("label")).distinct().count()
+    bits = lambda n, m, k: F.log2(F.greatest(n, F.lit(1))) + n * math.log2(k) + m * (1 + math.log2(k)) + m * F.log2(F.greatest(n, F.lit(2)))
+    whole = bits(F.lit(nv), F.lit(ne), labels)
+    return g.select("canon", "instances", "examples", (whole / (bits(F.col("n"), F.col("m"), labels) + bits(cv, ce, labels + 1))).alias("value"))
+
+
+def beam(values: DataFrame, width: int, by_value: bool = False) -> DataFrame:
+    """The best ``width`` substructures, or all with the best ``width`` distinct values. A top-k first, so nothing large is ranked."""
+    if by_value:
+        best = values.select("value").distinct().orderBy(F.desc("value")).limit(width)
+        return values.join(F.broadcast(best), "value", "left_semi")  # width rows
+    return values.orderBy(F.desc("value"), "canon").limit(width)
+
+
+@dataclass
+class Search:
+    """Options of a search; ``limit`` is how many substructures are extended (half of the edges by default)."""
+
+    width: int = 4
+    limit: int | None = None
+    least: int = 1
+    most: int = 0
+    report: int = 3
+    by: str = "size"
+    overlap: bool = False
+    by_value: bool = False
+    rounds: int = 4
+    prune: bool = False
+
+
+def discover(v: DataFrame, e: DataFrame, options: Search = Search()) -> DataFrame:  # noqa: B008
+    """(canon, n, m, instances, examples, value): the best compressing substructures by beam search.
+
+    Each round extends the instances of the beam's substructures by one edge, groups them by canonical string, values them and keeps the beam.
+    """
+    o = options
+    v, e = cut(v, "v"), cut(with_ids(e), "e")
+    limit = o.limit or max(1, e.count() // 2)
+    labels = initial(v)
+    now = v.join(labels.select("label"), "label", "left_semi").select(F.array("vid").alias("vs"), F.array().cast("array<bigint>").alias("es"), F.concat("label", F.lit("#")).alias("canon"))
+    now, best, done = cut(now, "beam"), None, 0
+    for _ in range(o.rounds):
+        done += now.select("canon").distinct().count()
+        grown = cut(extend(now, v, e), "grown")
+        if o.most:
+            grown = grown.filter(F.size("vs") <= o.most)
+        many = grown.groupBy("canon").count().filter("count > 1").select("canon")
+        grown = cut(grown.join(many, "canon", "left_semi"), "grown")
+        if not grown.limit(1).count():
+            break
+        apart = grown if o.overlap else disjoint(grown)
+        val = cut(evaluate(apart, v, e, o.by), "value")
+        top = cut(beam(val, o.width, o.by_value), "top")
+        now = cut(grown.join(F.broadcast(top.select("canon")), "canon", "left_semi"), "beam")  # width rows
+        sized = now.groupBy("canon").agg(F.max(F.size("vs")).alias("n"), F.max(F.size("es")).alias("m"))
+        part = top.join(sized, "canon").filter(F.col("n") >= o.least).select("canon", "n", "m", "instances", "examples", "value")
+        best = part if best is None else best.union(part)
+        if done >= limit:
+            break
+    if best is None:
+        return v.sparkSession.createDataFrame([], "canon string, n int, m int, instances bigint, examples bigint, value double")
+    return best.dropDuplicates(["canon"]).orderBy(F.desc("value"), "canon").limit(o.report)
+
+
+def compress(v: DataFrame, e: DataFrame, instances: DataFrame, label: str = "SUB") -> tuple[DataFrame, DataFrame]:
+    """Replace each instance (disjoint sets vs) by one vertex of that label; edges inside go, edges across point at it."""
+    m = instances.select(F.array_min("vs").alias("to"), F.explode("vs").alias("vid"))
+    nv = v.join(m, "vid", "left").select(F.coalesce("to", "vid").alias("vid"), F.when(F.col("to").isNotNull(), label).otherwise(F.col("label")).alias("label"), "example").dropDuplicates(["vid"])
+    a, b = m.select(F.col("vid").alias("v1"), F.col("to").alias("t1")), m.select(F.col("vid").alias("v2"), F.col("to").alias("t2"))
+    x = e.join(a, "v1", "left").join(b, "v2", "left").filter("NOT coalesce(t1 = t2, false)")
+    return nv, x.select(F.coalesce("t1", "v1").alias("v1"), F.coalesce("t2", "v2").alias("v2"), "label", "directed")
+
+
+def remove_covered(v: DataFrame, e: DataFrame, instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drop whole examples that hold an instance."""
+    hit = instances.select(F.explode("vs").alias("vid")).distinct().join(v.select("vid", "example"), "vid").select("example").distinct()
+    nv = v.join(hit, "example", "left_anti").select("vid", "label", "example")
+    keep = nv.select("vid")
+    return nv, e.join(keep.toDF("v1"), "v1", "left_semi").join(keep.toDF("v2"), "v2", "left_semi").select("v1", "v2", "label", "directed")
+
+
+def graph_mdl(v: DataFrame, e: DataFrame) -> DataFrame:
+    """(vertices, edges, bits): vertex, row and edge bits of a labelled graph.
+
+    A row's ones are its distinct neighbours, an undirected edge counted at its smaller end only.
+    """
+    labels = v.select("label").union(e.select("label")).distinct().count()
+    lg = math.log2(max(1, labels))
+    ends = e.select(F.when(F.col("directed"), F.col("v1")).otherwise(F.least("v1", "v2")).alias("s"), F.when(F.col("directed"), F.col("v2")).otherwise(F.greatest("v1", "v2")).alias("t"))
+    per = ends.groupBy("s", "t").agg(F.count(F.lit(1)).alias("k"))
+    most = e.select(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.max("k"), F.lit(1)).alias("mm"))
+    rows = per.groupBy("s").agg(F.count(F.lit(1)).alias("ki"))
+    n = v.agg(F.count(F.lit(1)).alias("vv"))
+    m = e.agg(F.count(F.lit(1)).alias("ee"))
+    agg = rows.join(F.broadcast(n)).agg(F.coalesce(F.sum(mdl.log2_choose(F.col("vv"), F.col("ki"))), F.lit(0.0)).alias("rb"), F.coalesce(F.max("ki"), F.lit(0)).alias("b"), F.coalesce(F.sum("ki"), F.lit(0)).alias("kk"))
+    x = n.join(F.broadcast(m)).join(F.broadcast(agg)).join(F.broadcast(most))  # one row each
+    bits = F.log2("vv") + F.col("vv") * lg + (F.col("vv") + 1) * F.log2(F.col("b") + 1) + F.col("rb") + F.col("ee") * (1 + lg) + (F.col("kk") + 1) * F.log2("mm")
+    return x.select(F.col("vv").alias("vertices"), F.col("ee").alias("edges"), bits.alias("bits"))
+
+
+def confusion(predicted: DataFrame) -> DataFrame:
+    """(tp, tn, fp, fn, error) from booleans truth and said."""
+    c = predicted.agg(*[F.count_if(x).alias(n) for n, x in (("tp", F.col("truth") & F.col("said")), ("tn", ~F.col("truth") & ~F.col("said")), ("fp", ~F.col("truth") & F.col("said")), ("fn", F.col("truth") & ~F.col("said")))])
+    return c.withColumn("error", (F.col("fp") + F.col("fn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
+
+
+def fold(key: Column, k: int) -> Column:
+    """A reproducible fold of 0..k-1 that other engines can compute too."""
+    return F.pmod(key * 1103515245 + 12345, F.lit(2147483648)) % k
+
+
+def match_cost(a: tuple[list[str], list[tuple[int, int, str, bool]]], b: tuple[list[str], list[tuple[int, int, str, bool]]], bound: float = math.inf, most: int | None = None) -> float:
+    """Least number of unit edits (relabel, insert or delete a vertex or an edge) from one small labelled graph to another.
+
+    Best first over partial maps; after n^4 states (``most``) only the best state goes on, which gives an upper bound.
+    """
+    import heapq
+
+    (la, ea), (lb, eb) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+    n, most = len(la), most if most is not None else max(64, len(la) ** 4)
+    order = sorted(range(n), key=lambda i: -sum(i in x[:2] for x in ea))
+
+    def step(mapped: tuple[int, ...], i: int, j: int) -> float:
+        c = (1.0 if j < 0 else float(la[i] != lb[j]))
+        done = {order[k]: t for k, t in enumerate(mapped)} | {i: j}
+        ours = [(x, done[x[0]], done[x[1]]) for x in ea if i in x[:2] and x[0] in done and x[1] in done]
+        theirs = [x for x in eb if j >= 0 and j in x[:2] and {x[0], x[1]} <= set(done.values())]
+        free = list(theirs)
+        for x, s, t in ours:
+            same = [y for y in free if (y[:2] == (s, t) if x[3] else {y[0], y[1]} == {s, t})]
+            pick = next((y for y in same if y[2:] == x[2:]), same[0] if same else None)
+            if pick is None:
+                c += 1
+            else:
+                free.remove(pick)
+                c += pick[2:] != x[2:]
+        return c + len(free)
+
+    heap, seen = [(0.0, 0, ())], 0
+    while heap:
+        cost, neg, mapped = heapq.heappop(heap)
+        if cost > bound:
+            return math.inf
+        if len(mapped) == n:
+            unused = set(range(len(lb))) - set(mapped)
+            extra = len(unused) + sum(bool(unused & {x[0], x[1]}) for x in eb)
+            if extra:
+                heapq.heappush(heap, (cost + extra, neg, (*mapped, -2)))
+                continue
+            return cost
+        if len(mapped) > n:
+            return cost
+        seen += 1
+        new = [(cost + step(mapped, order[len(mapped)], j), -len(mapped) - 1, (*mapped, j)) for j in [*sorted(set(range(len(lb))) - set(mapped)), -1]]
+        if seen > most:
+            heap = [min(new)]
+        else:
+            for x in new:
+                heapq.heappush(heap, x)
+    return math.inf
