@@ -113,28 +113,39 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / np.maximum(e.sum(axis=-1, keepdims=True), 1e-300)
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], *, embed: int = EMBED, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, reject: float = REJECT, seed: int = 7) -> Model:
-    """Fit on rows of mean bucket counts (each row sums to 1); every fourth row calibrates."""
+def dense(rows: list[tuple[np.ndarray, np.ndarray]], which: np.ndarray, dim: int) -> np.ndarray:
+    """Some rows of mean bucket counts; rows are kept as (buckets, counts) and spread out a minibatch at a time."""
+    x = np.zeros((len(which), dim), np.float32)
+    for i, k in enumerate(which):
+        at, n = rows[k]
+        x[i, at] = n / n.sum()
+    return x
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], *, dim: int = DIM, embed: int = EMBED, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, reject: float = REJECT, seed: int = 7) -> Model:
+    """Fit on rows of (buckets, counts); every fourth row calibrates."""
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
+    order = rng.permutation(len(rows))
     cal, fit = order[::4], np.setdiff1d(order, order[::4])
     if not len(fit):
         fit = order
-    e, w, b = rng.normal(0, 0.1, (x.shape[1], embed)), rng.normal(0, 0.1, (embed, len(langs))), np.zeros(len(langs))
-    scale = float(x.shape[1]) ** 0.5  # mean features are small numbers; the embeddings' steps make up for it
+    e, w, b = rng.normal(0, 0.1, (dim, embed)), rng.normal(0, 0.1, (embed, len(langs))), np.zeros(len(langs))
+    scale = float(dim) ** 0.5  # mean features are small numbers; the embeddings' steps make up for it
     for epoch in range(epochs):
         step = rate / (1 + epoch / 3)
-        for rows in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
-            h = x[rows] @ e
+        for part in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
+            x = dense(rows, part, dim)
+            h = x @ e
             g = softmax(h @ w + b)
-            g[np.arange(len(rows)), y[rows]] -= 1
-            g /= len(rows)
+            g[np.arange(len(part)), y[part]] -= 1
+            g /= len(part)
             back = g @ w.T
             w -= step * (h.T @ g)
             b -= step * 0.1 * g.sum(axis=0)
-            e -= step * scale * (x[rows].T @ back)
+            at = np.unique(np.concatenate([rows[k][0] for k in part]))
+            e[at] -= step * scale * (x[:, at].T @ back)
     table = e @ w
-    z = x[cal] @ table + b
+    z = np.vstack([dense(rows, part, dim) @ table for part in np.array_split(cal, max(1, len(cal) // batch))]) + b
     nll = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(cal)), y[cal]], 1e-12)).mean()
     grid = np.geomspace(0.05, 20, 60)
     temperature = float(grid[np.argmin([nll(t) for t in grid])])
@@ -144,13 +155,13 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], *, embed: int = EMBED,
     return Model(langs, table.astype(np.float32), b, temperature, threshold)
 
 
-def sample_counts(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Mean bucket counts and labels of a bounded sample: about ``per_lang`` rows of each label, those with the smallest hash of their id."""
+def sample_counts(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[str]]:
+    """(buckets, counts) and labels of a bounded sample: about ``per_lang`` rows of each label, those with the smallest hash of their id."""
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     small_batches(docs.sparkSession)
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
-        return np.zeros((0, DIM), np.float32), np.zeros(0, int), []
+        return [], np.zeros(0, int), []
     langs = sorted(r["lang"] for r in counts)
     share = {r["lang"]: min(1.0, per_lang / r["count"]) for r in counts}
     span = 1 << 32
@@ -169,15 +180,13 @@ def sample_counts(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MA
     rows = picked.select("text", "lang", "rank").mapInArrow(run, "lang string, rank bigint, at array<int>, n array<int>").toPandas()
     rows = rows.sort_values(["lang", "rank"]).groupby("lang").head(2 * per_lang)  # the hash gives per_lang on average; never over twice
     rows = rows[rows["at"].map(len) > 0]
-    x = np.zeros((len(rows), DIM), np.float32)
-    for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-        x[i, at] = np.asarray(n, np.float32) / np.sum(n)
-    return x, np.array([langs.index(v) for v in rows["lang"]], int), langs
+    counted = [(np.asarray(at, np.int32), np.asarray(n, np.float32)) for at, n in zip(rows["at"], rows["n"], strict=True)]
+    return counted, np.array([langs.index(v) for v in rows["lang"]], int), langs
 
 
 def fit(docs: DataFrame, **kw) -> Model | None:
-    x, y, langs = sample_counts(docs, **kw)
-    return train(x, y, langs) if len(x) else None
+    rows, y, langs = sample_counts(docs, **kw)
+    return train(rows, y, langs) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

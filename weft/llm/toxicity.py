@@ -69,10 +69,9 @@ def vocabulary(rows: DataFrame, max_words: int = MAX_WORDS, min_docs: int = MIN_
     return sorted(r.word for r in best.collect())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Ridge logistic regression by Newton steps (the bias is the last weight and isn't shrunk); one class only gives a constant."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
     w[-1] = np.log(rate / (1 - rate))
     if y.min(initial=1) == y.max(initial=0):
@@ -80,11 +79,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
     shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        g = x1.T @ (p - y) + shrink * w
-        s = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(shrink), g)
+        g, hess = shrink * w, np.diag(shrink)
+        for i in range(0, len(x), 1024):  # a part of the rows at a time bounds what is copied
+            part = np.hstack([x[i : i + 1024], np.ones((len(x[i : i + 1024]), 1), x.dtype)])
+            p = prob(part[:, :-1], w)
+            g += part.T @ (p - y[i : i + 1024])
+            hess += (part * (p * (1 - p) + 1e-9)[:, None].astype(x.dtype)).T @ part
+        s = np.linalg.solve(hess, g)
         w -= s
-        if np.abs(s).max() < 1e-6:
+        if np.abs(s).max() < 1e-3:
             break
     return w
 
@@ -112,7 +115,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, vocab: list[str], categories: list[s
     """y: one column for each category, in chain order."""
     chain = Chain({w: i for i, w in enumerate(vocab)}, categories)
     fold = np.random.default_rng(seed).permutation(len(x)) % folds
-    oof = np.zeros((len(x), 0))
+    oof = np.zeros((len(x), 0), np.float32)
     for k in range(y.shape[1]):
         xk = np.hstack([x, oof])
         chain.weights.append(logistic(xk, y[:, k]))
@@ -120,7 +123,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, vocab: list[str], categories: list[s
         for f in range(folds):
             if (fold == f).any():
                 p[fold == f] = prob(xk[fold == f], logistic(xk[fold != f], y[fold != f, k]))
-        oof = np.hstack([oof, p[:, None]])
+        oof = np.hstack([oof, p[:, None].astype(np.float32)])
     last, truth = oof[:, -1], y[:, -1]
     cuts = np.linspace(0.3, 0.95, 66)
     f1 = [2 * ((last >= c) & (truth > 0)).sum() / max(1, (last >= c).sum() + truth.sum()) for c in cuts]
@@ -165,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seeds: dic
     picked = rows.withColumn("rank", rank).filter(F.col("rank") < limit).select("rank", "toxic", seen.alias("seen"), *[(v & (F.col("toxic") == 1)).cast("int").alias(c) for c, v in has.items()])
     got = picked.toPandas().sort_values(["rank", "toxic"]).head(2 * max_rows)
     at = {w: i for i, w in enumerate(vocab)}
-    x = np.zeros((len(got), len(vocab)))
+    x = np.zeros((len(got), len(vocab)), np.float32)
     for i, s in enumerate(got["seen"]):
         x[i, [at[w] for w in s]] = 1
     return fit_chain(x, got[[*seeds, "toxic"]].to_numpy(float), vocab, [*seeds, "toxic"])
