@@ -69,13 +69,15 @@ def vocabulary(rows: DataFrame, max_words: int = MAX_WORDS, min_docs: int = MIN_
     return sorted(r.word for r in best.collect())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton steps (the bias is the last weight and isn't shrunk); one class only gives a constant."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12, start: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton steps from ``start`` (the bias is the last weight and isn't shrunk); one class only gives a constant."""
     w = np.zeros(x.shape[1] + 1)
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
     w[-1] = np.log(rate / (1 - rate))
     if y.min(initial=1) == y.max(initial=0):
         return w
+    if start is not None:
+        w = start.copy()
     shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
@@ -87,7 +89,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12)
             hess += (part * (p * (1 - p) + 1e-9)[:, None].astype(x.dtype)).T @ part
         s = np.linalg.solve(hess, g)
         w -= s
-        if np.abs(s).max() < 1e-3:
+        if np.abs(s).max() < 1e-2:
             break
     return w
 
@@ -122,7 +124,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, vocab: list[str], categories: list[s
         p = np.zeros(len(x))
         for f in range(folds):
             if (fold == f).any():
-                p[fold == f] = prob(xk[fold == f], logistic(xk[fold != f], y[fold != f, k]))
+                p[fold == f] = prob(xk[fold == f], logistic(xk[fold != f], y[fold != f, k], rounds=4, start=chain.weights[-1]))
         oof = np.hstack([oof, p[:, None].astype(np.float32)])
     last, truth = oof[:, -1], y[:, -1]
     cuts = np.linspace(0.3, 0.95, 66)
