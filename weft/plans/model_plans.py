@@ -154,3 +154,29 @@ def vog_exact_structures(spark, d):
     """Components that are exactly a clique, a star or a chain."""
     p = summary.component_profiles(views.parts(spark, d, 48))
     return p.select("component", "n", "m", summary.exact_code(F.col("n"), F.col("m"), F.col("top"), F.col("ones")).alias("code"))
+
+
+@query()
+def hrg_rules(spark, d):
+    """Production rules of bounded connected samples: communities of the part graph."""
+    from weft.operators import hrg
+
+    g = connected(spark, d)
+    s = cut(cluster.louvain(g, levels=1), "louvain").select(F.element_at("path", -1).alias("sample"), "id")
+    return hrg.count_rules(g, s)
+
+
+@query()
+def hrg_graphs(spark, d):
+    from weft.operators import hrg
+
+    g = connected(spark, d)
+    s = cut(cluster.louvain(g, levels=1), "louvain").select(F.element_at("path", -1).alias("sample"), "id")
+    return hrg.generate(cut(hrg.count_rules(g, s), "hrg"), 30, graphs=5)
+
+
+@query("WITH RECURSIVE t AS (SELECT 1 AS node, 0 AS level UNION ALL SELECT unnest([2 * node, 2 * node + 1]), level + 1 FROM t WHERE level < 9) SELECT CAST(level AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS nodes FROM t GROUP BY level")
+def recursive_tree_levels(spark, d):
+    """Levels of a halving tree of 1,024 leaves, from the binary prefixes of ranks."""
+    r = spark.range(512)
+    return r.select(F.posexplode(F.array(*[F.floor(F.col("id") * (1 << k) / 512) for k in range(10)])).alias("level", "c")).distinct().groupBy(F.col("level").cast("long").alias("level")).agg(F.count(F.lit(1)).alias("nodes"))
