@@ -17,13 +17,13 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +33,6 @@ CAPACITY, END, GROUP, NODES = 2048, 0, 32_768, 20_000
 MAX_CACHE = 500_000
 
 
-#: Where an ASCII letter is followed by an ASCII mark; a token always ends there.
-_MARK = re.compile(rb"(?<=[a-z])(?=[^\sa-z0-9\x80-\xff])")
-
-
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
@@ -99,15 +95,26 @@ class Encoder:
         self._others([w for w, _ in rest if w not in odd and b"0" not in w])
         self.known.update((w, self._encode(t).tobytes()) for w, t in rest if b"0" in w)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [_MARK.sub(b" ", t.lower()).split() for t in texts]
-        if new := set().union(*parts).difference(self.known):
+    def encode(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """(all ids one after another, offsets of each text in ids). Texts are split and their pieces numbered by Arrow, so that only
+        distinct pieces are looked up; the ids are then gathered by number."""
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([[:punct:]])", r"\1 \2"))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        if new := set(words).difference(self.known):
             self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        own = list(map(self.known.__getitem__, words))
         if len(self.known) > MAX_CACHE:
             self.known, self.older = {}, self.known
-        return out
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        to = np.cumsum(n)
+        ids = np.frombuffer(b"".join(own), "<u4")
+        flat = ids[np.repeat(start[at] - (to - n), n) + np.arange(int(to[-1]) if len(to) else 0)]
+        ends = np.concatenate([[0], to])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+        return flat.tobytes(), ends
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -121,22 +128,31 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         # one encoder, with what it has learnt, for all tasks of a worker
         kept = vars(tokenizers).setdefault("_weft_encoders", {})
         enc = kept.get(tokenizer) or kept.setdefault(tokenizer, Encoder(tokenizer))
+
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            raw, ends = enc.encode(pc.fill_null(pa.concat_arrays([b.column(1) for b in held]), "").cast(pa.large_string()))
+            at, piece, start, length, crc = [], [], [], [], []
+            for i, (lo, hi) in enumerate(zip((ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist(), strict=True)):
+                text = raw[lo:hi] + tail
+                for k, s in enumerate(range(0, len(text), 4 * capacity)):
+                    own = text[s : s + 4 * capacity]
+                    at.append(i)
+                    piece.append(k)
+                    start.append(s // 4)
+                    length.append(len(own) // 4)
+                    crc.append(zlib.crc32(own))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                coded = enc.encode(texts)
-                at, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(coded):
-                    ids += tail
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[s : s + 4 * capacity]
-                        at.append(i)
-                        piece.append(k)
-                        start.append(s // 4)
-                        length.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) > 4 << 20:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
