@@ -29,25 +29,24 @@ def sketch(w: Column, shingle: int = SHINGLE, below: str = BELOW, floor: int = F
     return F.filter(F.sort_array(F.array_distinct(grams)), lambda h, i: (h < below) | (i < floor))
 
 
-def packed(s: Column) -> Column:
-    """A sketch as bytes, eight a hash, for the shuffle."""
-    return F.unhex(F.array_join(s, ""))
+def coded(s: Column) -> Column:
+    """A sketch as longs in the same order (the unsigned hash with its top bit flipped): eight bytes a hash for the shuffle."""
+    return F.transform(s, lambda h: F.conv(h, 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63))))
 
 
-def unpacked(p: Column) -> Column:
-    digits = F.lower(F.hex(p))
-    n = (F.length(digits) / 16).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 16 + 1, F.lit(16)))).otherwise(F.array().cast("array<string>"))
+def shown(s: Column) -> Column:
+    """The fingerprint string of a coded sketch: its hashes, 16 hex digits each, one after another."""
+    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))), "")
 
 
 def known_to(s: Column, below: str = BELOW, floor: int = FLOOR) -> Column:
-    """Up to which hash (inclusive) a sketch holds all of its document's hashes; 'g' is above any."""
-    last_below = below[:-1] + format(int(below[-1], 16) - 1, "x") + "f" * (16 - len(below))
-    return F.when(F.size(s) < floor, F.lit("g")).otherwise(F.greatest(F.element_at(s, -1), F.lit(last_below)))
+    """Up to which code (inclusive) a coded sketch holds all of its document's hashes."""
+    last_below = (int(below, 16) << (4 * (16 - len(below)))) - 1 - (1 << 63)
+    return F.when(F.size(s) < floor, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.element_at(s, -1), F.lit(last_below)))
 
 
 def likeness(a: Column, b: Column, how: str = "containment") -> Column:
-    """Estimated containment of the smaller in the larger document (or ``how='jaccard'``) on the part of hash space that both sketches know."""
+    """Estimated containment of the smaller in the larger document (or ``how='jaccard'``) on the part of hash space that both coded sketches know."""
     limit = F.least(known_to(a), known_to(b))
     x, y = F.filter(a, lambda h: h <= limit), F.filter(b, lambda h: h <= limit)
     both = F.size(F.array_intersect(x, y))
@@ -77,11 +76,11 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
 
     One shuffle deals texts to ranges of doc_id. Repeated doc_ids are ordered by text; a null doc_id comes first.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", words(F.col("text"))).select("doc_id", "text", packed(sketch(F.col("w"))).alias("p"))
-    pairs = with_next(base, "doc_id", ["text"], ["text", "p"], "nx").withColumn("s", unpacked(F.col("p"))).withColumn("ns", unpacked(F.col("nx.p")))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", words(F.col("text"))).select("doc_id", "text", coded(sketch(F.col("w"))).alias("s"))
+    pairs = with_next(base, "doc_id", ["text"], ["text", "s"], "nx")
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("nx.text"), F.lit(1), quarter)))
-    edited = edited.select("doc_id", "n_chars", "s", "ns", "edited", words(F.col("edited")).alias("ew"))
-    edited = edited.select("doc_id", "n_chars", "s", "ns", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("ew")).alias("es"))
-    return edited.select("doc_id", "n_chars", "edited_sha256", F.array_join("s", "").alias("fingerprint"), F.array_join("es", "").alias("edited_fingerprint"), likeness(F.col("s"), F.col("es")).alias("near_edited"), likeness(F.col("s"), F.col("ns")).alias("near_next"))
+    edited = edited.select("doc_id", "n_chars", "s", F.col("nx.s").alias("ns"), "edited", words(F.col("edited")).alias("ew"))
+    edited = edited.select("doc_id", "n_chars", "s", "ns", F.sha2("edited", 256).alias("edited_sha256"), coded(sketch(F.col("ew"))).alias("es"))
+    return edited.select("doc_id", "n_chars", "edited_sha256", shown(F.col("s")).alias("fingerprint"), shown(F.col("es")).alias("edited_fingerprint"), likeness(F.col("s"), F.col("es")).alias("near_edited"), likeness(F.col("s"), F.col("ns")).alias("near_next"))
