@@ -46,7 +46,7 @@ def one_based_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """A dense 0/1 matrix, a row per line in a file small enough to be one partition: edges of the cells that aren't zero."""
-    rows = _lines(spark, path).coalesce(1).select(F.monotonically_increasing_id().alias("u"), F.posexplode(F.split("line", r"\s+")).alias("v", "x"))
+    rows = _lines(spark, path).coalesce(1).select(F.monotonically_increasing_id().alias("u"), "line").select("u", F.posexplode(F.split("line", r"\s+")).alias("v", "x"))
     return simple(rows.filter(F.col("x").cast("double") != 0).select("u", F.col("v").cast("long").alias("v")))
 
 
