@@ -490,3 +490,30 @@ def generate(rules: DataFrame, target: int, graphs: int = 1, tolerance: float =
                         break
 
     return rules.sparkSession.range(graphs).repartition(min(graphs, 1024), "id").mapInPandas(run, "graph bigint, trial int, n bigint, u bigint, v bigint, w bigint, rules array<bigint>")
+
+
+def contract_iso(rules: DataFrame) -> DataFrame:
+    """Right-hand sides as used with full boundary information: boundary nodes outside the subtree that touch only one inside node become one
+    node ``iso``. Takes (rule_id, rhs_edges) whose nodes below ``inside`` are internal; returns (rule_id, a, b, w) with iso as -1."""
+    e = rules.select("rule_id", "inside", F.explode("rhs_edges").alias("x")).select("rule_id", "inside", "x.*")
+    ends = e.select("rule_id", "inside", F.explode(F.array("a", "b")).alias("node")).groupBy("rule_id", "inside", "node").agg(F.count(F.lit(1)).alias("d"))
+    lone = ends.filter("node >= inside AND d = 1").select("rule_id", "node", F.lit(-1).alias("to"))
+    a, b = lone.toDF("rule_id", "a", "ta"), lone.toDF("rule_id", "b", "tb")
+    return e.join(a, ["rule_id", "a"], "left").join(b, ["rule_id", "b"], "left").select("rule_id", F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "w").groupBy("rule_id", "a", "b").agg(F.sum("w").alias("w"))
+
+
+def full_rules(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rule_id, inside, rhs_edges) of disjoint node sets (grp, id) with their boundary edges kept: inside nodes are numbered from 0 within the
+    set, outside ones after them."""
+    from pyspark.sql import Window
+
+    a, b = groups.toDF("ga", "u"), groups.toDF("gb", "v")
+    e = edges.join(a, "u", "left").join(b, "v", "left").filter("ga IS NOT NULL OR gb IS NOT NULL")
+    each = e.select(F.explode(F.array_distinct(F.array("ga", "gb"))).alias("grp"), "u", "v", "w", "ga", "gb").filter("grp IS NOT NULL")
+    own = groups.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1)
+    size = groups.groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("inside"))
+    out = each.select("grp", F.explode(F.array(F.when(~F.coalesce(F.col("ga") == F.col("grp"), F.lit(False)), F.col("u")), F.when(~F.coalesce(F.col("gb") == F.col("grp"), F.lit(False)), F.col("v")))).alias("id")).filter("id IS NOT NULL").distinct()
+    out = out.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("id")) - 1).join(size, "grp").select("grp", "id", (F.col("k") + F.col("inside")).alias("k"))
+    names = own.select("grp", "id", "k").union(out)
+    x = each.join(names.toDF("grp", "u", "a"), ["grp", "u"]).join(names.toDF("grp", "v", "b"), ["grp", "v"])
+    return x.join(size, "grp").groupBy(F.col("grp").alias("rule_id"), "inside").agg(F.array_sort(F.collect_list(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w"))).alias("rhs_edges"))

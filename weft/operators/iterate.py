@@ -15,7 +15,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large star and small star in turn: all neighbours of a node hang on the smallest one, so chains shrink exponentially and a node with
     very many neighbours is only ever the key of a partial minimum and of a join that splits.
     """
-    e = cut(edges.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "cc")
+    given = cut(edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "cc")
+    e = given.filter("a <> b")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -34,7 +35,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return nodes(edges).join(e.select(F.col("b").alias("id"), F.col("a").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+    ids = given.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return ids.join(e.select(F.col("b").alias("id"), F.col("a").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

@@ -330,3 +330,34 @@ def match_cost(a: tuple[list[str], list[tuple[int, int, str, bool]]], b: tuple[l
             for x in new:
                 heapq.heappush(heap, x)
     return math.inf
+
+
+def recursive(instances: DataFrame, e: DataFrame) -> DataFrame:
+    """(canon, label, group, vs): instances of one substructure joined through edges of one label, as connected groups.
+
+    Instances that share an edge of the label are linked (through the edge's ends), and links of each (substructure, label) are joined into components.
+    """
+    from weft.operators.iterate import components
+
+    i = cut(instances.withColumn("iid", F.xxhash64("canon", "vs")).select("canon", "iid", "vs"), "rec")
+    at = i.select("canon", "iid", F.explode("vs").alias("vid"))
+    x = e.select("v1", "v2", "label").join(at.toDF("canon", "i1", "v1"), "v1").join(at.toDF("canon", "i2", "v2"), ["canon", "v2"]).filter("i1 <> i2")
+    links = cut(x.select("canon", "label", F.least("i1", "i2").alias("i1"), F.greatest("i1", "i2").alias("i2")).distinct(), "rec")
+    # one component run for all labels: nodes are (instance, label) pairs
+    named = lambda c: F.xxhash64(c, "label")
+    comp = components(links.select(named("i1").alias("u"), named("i2").alias("v"), F.lit(1).cast("long").alias("w")))
+    ends = links.select("canon", "label", F.explode(F.array("i1", "i2")).alias("iid")).distinct().withColumn("id", named("iid"))
+    g = ends.join(comp, "id").join(i.select("iid", "vs"), "iid")
+    return g.groupBy("canon", "label", F.col("component").alias("group")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))).alias("vs"))
+
+
+def overlaps(instances: DataFrame) -> DataFrame:
+    """(vid, members): vertices that more than one instance of a substructure holds, which compression marks by OVERLAP edges."""
+    return instances.select("canon", F.explode("vs").alias("vid")).groupBy("canon", "vid").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+
+
+def compress_pattern(v: DataFrame, e: DataFrame, pattern_vertices: list[str], pattern_edges: list[tuple[int, int, str, bool]], label: str = "SUB") -> tuple[DataFrame, DataFrame]:
+    """Compression with a given pattern: its matches, a disjoint choice of them, and their contraction."""
+    m = find_instances(v, e, pattern_vertices, pattern_edges).select(F.array_sort("vs").alias("vs")).distinct()
+    apart = disjoint(m.select(F.lit("p").alias("canon"), "vs", F.array().cast("array<bigint>").alias("es")))
+    return compress(v, e, apart, label)
