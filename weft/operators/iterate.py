@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.core import degrees, nodes, symmetric
-from weft.operators.rest import cut
+from weft.operators.rest import cut, drop, put
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,9 +26,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         moved = joined.filter("b > a").select("b", "m") if large else joined.select("b", "m").union(low.select(F.col("a").alias("b"), "m"))
         return moved.filter("b <> m").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).distinct()
 
-    before = None
+    before, old = None, None
     for _ in range(most_rounds):
-        e = cut(star(star(e, True), False), "cc")
+        e, path = put(star(star(e, True), False), "cc")
+        drop(old)
+        old = path
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

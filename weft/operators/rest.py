@@ -1,14 +1,17 @@
-"""Putting intermediate tables at rest in the folder that the whole cluster shares."""
+"""Putting intermediate tables at rest in the folder that the whole cluster shares, and taking them away again."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
@@ -20,8 +23,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet and read it back, so that lineage ends and a lost executor costs nothing already written."""
-    path = f"{shared_dir(df.sparkSession)}/weft-{name}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def put(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet and read it back, so that lineage ends and a lost executor costs nothing already written; also its path."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    return put(df, name)[0]
+
+
+def drop(path: str | None) -> None:
+    """Delete a table that nothing reads any more."""
+    if path is None or (spark := _written.pop(path, None)) is None:
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_written):
+        with contextlib.suppress(Exception):  # the session may be gone already
+            drop(path)
