@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import decontam, langid, packing, simhash, toxicity
-from weft.llm.common import cut
+from weft.llm.common import drop, put
 from weft.llm.queries import table, tokenizer_path
 
 
@@ -48,7 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn. A stage's table is taken away once the next one is written; the last stage reads its own table of pieces only."""
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = put(stage(spark, docs, sf_dir), name)
+        drop(old)
+        old = path
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    drop(old)
+    return packed

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.operators.rest import cut, shared_dir  # noqa: F401
+from weft.operators.rest import cut, drop, fresh_path, put  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words (after lower-casing A-Z): all ASCII but digits and lower-case letters.
@@ -45,10 +44,6 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
-
-
 def with_next(df: DataFrame, key: str, order: list[str], carry: list[str], name: str = "next", rows_per_bucket: int = 256, max_buckets: int = 100_000) -> DataFrame:
     """Add a struct column ``name`` with the ``carry`` columns of the next row by (key, *order); the last row gets the first one's.
 

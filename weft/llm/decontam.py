@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import words
+from weft.llm.common import cut, words
 
 WINDOW = 13
-#: At most so many distinct windows (about 8 bytes each as hashes, 100 as text) are broadcast.
+#: At most so many distinct windows (about 8 bytes each as hashes, 100 as text), with at most 16 times as many item ids, are broadcast.
 MAX_BROADCAST = 65_536
 
 
@@ -50,11 +50,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
 
     The rows of one text's hits meet again by a row number given before they are spread, so repeated doc_ids stay apart.
     """
-    found = item_windows(benchmark, window)
-    sample = found.select("n", "h").distinct().limit(max_broadcast + 1).collect()
-    small = len(sample) <= max_broadcast
+    found = cut(item_windows(benchmark, window), "windows")
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("refs")).first()
+    small = size.n <= max_broadcast and size.refs <= 16 * max_broadcast
     lengths: dict[int, list[int] | None] = {}
-    for r in sample if small else found.select("n").distinct().collect():
+    for r in found.select("n", "h").distinct().collect() if small else found.select("n").distinct().collect():
         lengths.setdefault(r.n, [] if small else None)
         if small:
             lengths[r.n].append(r.h)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import batch_rows, cut, small_batches
+from weft.llm.common import batch_rows, cut, drop, put, small_batches
 
 SHINGLE, SEED, BITS, BLOCKS = 4, 42, 4, 7
 #: A key with more distinct fingerprints than this is linked by the exact detour of ``_linked_by_halfway`` instead.
@@ -178,7 +178,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round hangs all neighbours of a node on the smallest one (large star, then small star); rounds end when nothing changes. Every
     round is two partial aggregations and equi-joins and is written to the shared folder.
     """
-    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b"), "links")
+    edges, old = put(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b"), "links")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -189,7 +189,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     before = None
     for _ in range(most_rounds):
-        edges = cut(star(star(edges, True), False), "round")
+        edges, path = put(star(star(edges, True), False), "round")
+        drop(old)
+        old = path
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break

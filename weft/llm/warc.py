@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import fresh_dir, small_batches
+from weft.llm.common import fresh_path, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 MAX_BYTES, DICT_BYTES, LEVEL, SAMPLES = 16 << 20, 64 << 10, 6, 400
@@ -141,7 +141,7 @@ def write_archives(classified: DataFrame, folder: str, max_bytes: int = MAX_BYTE
     spark = classified.sparkSession
     small_batches(spark)
     files = classified.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records bigint, bytes bigint")
-    files.write.parquet(listing := f"{folder}-files")
+    files.write.parquet(listing := fresh_path(spark, "warc-files"))
     return spark.read.parquet(listing)
 
 
@@ -208,5 +208,5 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
 
 def archive_pages(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """Write all pages as archives in the shared folder and read them back."""
-    folder = fresh_dir(pages.sparkSession, "warc")
+    folder = fresh_path(pages.sparkSession, "warc")
     return read_archives(write_archives(classify(pages, min_revisit), folder), folder)
