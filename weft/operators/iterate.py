@@ -22,7 +22,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
         both = e.union(back) if large else back
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        joined = both.join(low, "a")
+        # the key in another form keeps the join from sharing the sums' exchange, which could not be split if a node has very many neighbours
+        joined = both.join(low.select(F.col("a").bitwiseXOR(F.lit(0)).alias("k"), "m"), F.col("a") == F.col("k"))
         moved = joined.filter("b > a").select("b", "m") if large else joined.select("b", "m").union(low.select(F.col("a").alias("b"), "m"))
         return moved.filter("b <> m").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).distinct()
 
