@@ -183,7 +183,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        moved = both.join(low, "a")
+        # the key in another form keeps the join from sharing the sums' exchange, which could not be split if a node has very many neighbours
+        moved = both.join(low.select(F.col("a").bitwiseXOR(F.lit(0)).alias("k"), "m"), F.col("a") == F.col("k"))
         moved = moved.filter("b > a").select(F.col("b"), "m") if large else moved.select("b", "m").union(low.select(F.col("a").alias("b"), "m"))
         return moved.filter("b <> m").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).distinct()
 
@@ -204,7 +205,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fp, component_id): per row of ``docs`` the smallest doc_id reachable over links of at most ``bits`` differing bits."""
     fps = cut(fingerprints(docs), "fingerprints")
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "classes")
     with batch_rows(docs.sparkSession, 8192):  # short rows
         comp = components(close_links(reps.filter("rep IS NOT NULL"), bits, blocks))
     classes = cut(reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "components")
