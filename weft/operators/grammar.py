@@ -427,8 +427,12 @@ def greedy_schedule(edges: DataFrame, tree: Tree, mu: int, kind: str) -> list[tu
     return steps
 
 
-def derive(rules: dict[int, list[dict]], upper: int, rng: np.random.Generator) -> tuple[list[tuple[int, int, int]], list[int], int] | None:
-    """One random derivation: (edges, fired rule ids, nodes), or None when it outgrows ``upper`` nodes or meets a boundary no rule has."""
+def derive(rules: dict[int, list[dict]], upper: int, rng: np.random.Generator, mode: str = "part") -> tuple[list[tuple[int, int, int]], list[int], int] | None:
+    """One random derivation: (edges, fired rule ids, nodes), or None when it outgrows ``upper`` nodes or meets a boundary no rule has.
+
+    part: broken edges go to right-hand side nodes by their boundary degrees. no: without that information, to any of them (a non-terminal
+    then may get another number of edges than its label; the derivation goes on with the rules of its label's size).
+    """
     label: dict[int, int] = {0: 0}
     adj: dict[int, dict[int, int]] = {0: {}}
     opened, counter, fired = [0], 1, []
@@ -456,6 +460,12 @@ def derive(rules: dict[int, list[dict]], upper: int, rng: np.random.Generator) -
                 label[counter] = n["label"]
                 opened.append(counter)
             counter += 1
+        if mode == "no":
+            inside = list(at.values())
+            for v in broken:
+                u = inside[int(rng.integers(len(inside)))]
+                adj[u][v] = adj[v][u] = adj[u].get(v, 0) + 1
+            broken = []
         k = 0
         for n in r["nodes"]:
             for v in broken[k : k + n["b_deg"]]:
@@ -468,7 +478,7 @@ def derive(rules: dict[int, list[dict]], upper: int, rng: np.random.Generator) -
     return [(u, v, w) for u, x in adj.items() for v, w in x.items() if u <= v], fired, len(adj)
 
 
-def generate(rules: DataFrame, target: int, graphs: int = 1, tolerance: float = 0.05, trials: int = 200, seed: int = 0) -> DataFrame:
+def generate(rules: DataFrame, target: int, graphs: int = 1, tolerance: float = 0.05, trials: int = 200, seed: int = 0, mode: str = "part") -> DataFrame:
     """(graph, trial, n, u, v, w, rules): for each wanted graph the first trial whose order is within the tolerance.
 
     Trials are numbered and independent, so they run anywhere and a repeated one gives the same graph. The grammar is sent with the function:
@@ -483,7 +493,7 @@ def generate(rules: DataFrame, target: int, graphs: int = 1, tolerance: float =
         for b in batches:
             for g in b["id"]:
                 for t in range(trials):
-                    got = derive(by, int(high), np.random.default_rng([seed, int(g), t]))
+                    got = derive(by, int(high), np.random.default_rng([seed, int(g), t]), mode)
                     if got and low <= got[2] <= high:
                         e, fired, n = got
                         yield pd.DataFrame({"graph": int(g), "trial": t, "n": n, "u": [x[0] for x in e], "v": [x[1] for x in e], "w": [x[2] for x in e], "rules": [fired if i == 0 else None for i in range(len(e))]})

@@ -68,3 +68,11 @@ def rule_dot(nodes: list[tuple], edges: list[tuple]) -> str:
     """A rule's right-hand side as DOT: non-terminals are boxes with their size, terminals circles with their boundary degree."""
     rows = [f'  {n} [shape={"box" if lab is not None else "circle"}, label="{lab if lab is not None else b}"];' for n, lab, b in nodes]
     return "\n".join(["graph rule {", *rows, *[f'  {a} -- {b} [label="{w}"];' for a, b, w in edges], "}"])
+
+
+def lattice_lines(links: DataFrame) -> DataFrame:
+    """Lines of a DOT graph of substructures: an arrow from each one (parent) to those it was extended to (child), with the child's value."""
+    head = links.sparkSession.createDataFrame([(0, "digraph substructures {"), (2, "}")], "k int, value string")
+    name = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', "'"), F.lit('"'))
+    rows = links.select(F.lit(1).alias("k"), F.concat(F.lit("  "), name("parent"), F.lit(" -> "), name("child"), F.lit(' [label="'), F.round("value", 4).cast("string"), F.lit('"];')).alias("value")).distinct()
+    return head.union(rows).orderBy("k", "value").select("value")
