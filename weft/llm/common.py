@@ -22,7 +22,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The array of words of a text; null has none."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS.replace("\\", "\\")), "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -74,7 +74,11 @@ def with_next(df: DataFrame, key: str, order: list[str], carry: list[str], name:
         return df.withColumn(name, F.struct(*carry))
     before = [(firsts[i - 1].b, None if f.nulls else f.k, bool(f.nulls)) for i, f in enumerate(firsts)]
     guests = spark.createDataFrame([(f.b, to, k, isnull, i == 0) for i, (f, (to, k, isnull)) in enumerate(zip(firsts, before, strict=True))], "__b int, __to int, __first long, __null boolean, __wrap boolean")
-    placed = placed.join(F.broadcast(guests), "__b")  # at most max_buckets short rows
+    if len(firsts) == 1:
+        (f,), ((to, k, isnull),) = firsts, before
+        placed = placed.withColumns({"__to": F.lit(to), "__first": F.lit(k).cast("long"), "__null": F.lit(isnull), "__wrap": F.lit(True)})
+    else:
+        placed = placed.join(F.broadcast(guests), "__b")  # at most max_buckets short rows
     is_first = F.when(F.col("__null"), F.col("__k").isNull()).otherwise(F.col("__k") == F.col("__first"))
     copies = F.when(F.coalesce(is_first, F.lit(False)), F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("__to").alias("b"), F.when(F.col("__wrap"), 2).otherwise(1).alias("guest")))).otherwise(F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("guest"))))
     dealt = placed.select(*df.columns, F.explode(copies).alias("__d"))
