@@ -50,11 +50,11 @@ def degree_parameters(spark, d):
     return spark.createDataFrame([(a, b, c)], "alpha double, beta double, gamma double")
 
 
-@query(f"WITH p AS (SELECT deg, count(*) AS c FROM (WITH {PARTS}, {DEG} SELECT deg FROM d) GROUP BY 1), q AS (SELECT deg, count(*) AS c FROM (WITH {PARTS45}, {DEG} SELECT deg FROM d) GROUP BY 1) SELECT coalesce(p.deg, q.deg) AS deg, CAST(p.c AS BIGINT) AS first, CAST(q.c AS BIGINT) AS second FROM p FULL JOIN q ON p.deg = q.deg")
+@query(f"WITH p AS (SELECT deg, count(*) AS c FROM (WITH {PARTS}, {DEG} SELECT deg FROM d) GROUP BY 1), q AS (SELECT deg, count(*) AS c FROM (WITH {PARTS45}, {DEG} SELECT deg FROM d) GROUP BY 1) SELECT coalesce(p.deg, q.deg) AS deg, CAST(coalesce(p.c, 0) AS BIGINT) AS first, CAST(coalesce(q.c, 0) AS BIGINT) AS second FROM p FULL JOIN q ON p.deg = q.deg")
 def degree_tables_side_by_side(spark, d):
-    """Vertex counts per degree of two graphs, aligned by a full outer join."""
+    """Vertex counts per degree of two graphs, aligned by a full outer join; 0 where a graph lacks the degree."""
     h = lambda g, n: core.degrees(g).groupBy("deg").agg(F.count(F.lit(1)).alias(n))
-    return h(views.parts(spark, d), "first").join(h(views.parts45(spark, d), "second"), "deg", "full")
+    return h(views.parts(spark, d), "first").join(h(views.parts45(spark, d), "second"), "deg", "full").na.fill(0)
 
 
 @query(f"WITH {PARTS45}, {DEG}, h AS (SELECT g.u AS a, g.v AS b FROM g UNION ALL SELECT v, u FROM g), st AS (SELECT a, b FROM h JOIN d ON d.id = h.a WHERE deg >= 4) SELECT a AS sid, least(a, b) AS u, greatest(a, b) AS v FROM st")
