@@ -1,0 +1,25 @@
+"""Operators judge alike whatever the size of the table."""
+
+import numpy as np
+
+from weft.llm import toxicity
+
+
+def test_toxicity_rows_stand_for_the_mix_of_all_labels(spark, monkeypatch):
+    n = 24_000
+    d = spark.range(n).selectExpr("id AS doc_id", "concat(if(id % 8 = 0, 'you stupid idiot ', 'a fine day '), id % 97) AS text")
+    lab = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 8 = 0 AS INT) AS toxic")
+    got = {}
+    monkeypatch.setattr(toxicity, "fit_chain", lambda x, y, *a, **kw: got.update(y=y[:, -1], **kw))
+    toxicity.fit(d, lab)
+    assert abs(len(got["y"]) - 7000) < 350  # 4,000 clean rows and all 3,000 toxic ones
+    assert abs(np.average(got["y"], weights=got["weight"]) - 1 / 8) < 0.01
+
+
+def test_a_weight_counts_like_copies():
+    rng = np.random.default_rng(2)
+    x = (rng.random((400, 3)) < 0.4).astype(np.float32)
+    y = (rng.random(400) < 0.1 + 0.5 * x[:, 0]).astype(float)
+    k = np.where(y > 0, 1, 5)
+    a = toxicity.logistic(x, y, weight=k.astype(float))
+    assert np.allclose(a, toxicity.logistic(x.repeat(k, 0), y.repeat(k)), atol=1e-3) and a[-1] < toxicity.logistic(x, y)[-1] - 1

@@ -6,7 +6,9 @@ and ``contempt`` (labelled toxic and holding one of the category's seed words) a
 
 Features are the presence of words and of word beginnings (a stem has many forms). The classifier
 is fitted on a bounded sample of labelled rows, chosen by hash, half of them toxic if there are enough: SAMPLE rows give the vocabulary
-(the features whose share among toxic documents most surely exceeds that among all), MAX_ROWS of them the models. The last threshold is the one with the best F1 out of fold.
+(the features whose share among toxic documents most surely exceeds that among all), MAX_ROWS of them the models. As the sample's mix of
+classes isn't that of the labels, rows weigh the inverse of their class's sampling rate in the fits and in the threshold, which is the one
+with the best F1 out of fold.
 
 Nulls: a null text has no words; without labels nothing is toxic (probabilities 0.0). Documents are judged one by one, whole.
 """
@@ -35,14 +37,15 @@ MAX_WORDS, MIN_DOCS, MIN_Z, SAMPLE, MAX_ROWS, FOLDS = 512, 5, 4.0, 20_000, 8000,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most about ``most`` labelled rows, half of them toxic if there are enough: those with the smallest hash of
-    their id. Of several labels of a document the largest counts. Only the sampled labels (16 bytes each) are broadcast; no text is shuffled."""
+    """(doc_id, text, toxic, rate) of at most about ``most`` labelled rows, half of them toxic if there are enough: those with the smallest hash of
+    their id; ``rate`` is the share of a row's class that is taken. Of several labels of a document the largest counts. Only the sampled labels
+    (some 24 bytes each) are broadcast; no text is shuffled."""
     one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
     span = 1 << 32
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(13)), F.lit(span))
-    cap = lambda k: int(min(1.0, most / 2 / max(1, counts.get(k, 1))) * span)
-    picked = one.filter(rank < F.when(F.col("toxic") == 1, cap(1)).otherwise(cap(0)))
+    cap = lambda k: min(1.0, most / 2 / max(1, counts.get(k, 1)))
+    picked = one.withColumn("rate", F.when(F.col("toxic") == 1, cap(1)).otherwise(cap(0))).filter(rank < F.col("rate") * span)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
@@ -69,10 +72,12 @@ def vocabulary(rows: DataFrame, max_words: int = MAX_WORDS, min_docs: int = MIN_
     return sorted(r.word for r in best.collect())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12, start: np.ndarray | None = None) -> np.ndarray:
-    """Ridge logistic regression by Newton steps from ``start`` (the bias is the last weight and isn't shrunk); one class only gives a constant."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12, start: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton steps from ``start`` (the bias is the last weight and isn't shrunk); one class only gives a constant.
+    A row counts ``weight`` times (once by default)."""
     w = np.zeros(x.shape[1] + 1)
-    rate = (y.sum() + 0.5) / (len(y) + 1.0)
+    weight = np.ones(len(y)) if weight is None else weight
+    rate = ((weight * y).sum() + 0.5) / (weight.sum() + 1.0)
     w[-1] = np.log(rate / (1 - rate))
     if y.min(initial=1) == y.max(initial=0):
         return w
@@ -84,9 +89,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12,
         g, hess = shrink * w, np.diag(shrink)
         for i in range(0, len(x), 1024):  # a part of the rows at a time bounds what is copied
             part = np.hstack([x[i : i + 1024], np.ones((len(x[i : i + 1024]), 1), x.dtype)])
-            p = prob(part[:, :-1], w)
-            g += part.T @ (p - y[i : i + 1024])
-            hess += (part * (p * (1 - p) + 1e-9)[:, None].astype(x.dtype)).T @ part
+            p, a = prob(part[:, :-1], w), weight[i : i + 1024]
+            g += part.T @ (a * (p - y[i : i + 1024]))
+            hess += (part * (a * (p * (1 - p) + 1e-9))[:, None].astype(x.dtype)).T @ part
         s = np.linalg.solve(hess, g)
         w -= s
         if np.abs(s).max() < 1e-2:
@@ -113,22 +118,23 @@ class Chain:
         return out
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, vocab: list[str], categories: list[str], folds: int = FOLDS, seed: int = 5) -> Chain:
-    """y: one column for each category, in chain order."""
+def fit_chain(x: np.ndarray, y: np.ndarray, vocab: list[str], categories: list[str], folds: int = FOLDS, seed: int = 5, weight: np.ndarray | None = None) -> Chain:
+    """y: one column for each category, in chain order; weight: how often each row counts (once by default)."""
+    weight = np.ones(len(x)) if weight is None else weight
     chain = Chain({w: i for i, w in enumerate(vocab)}, categories)
     fold = np.random.default_rng(seed).permutation(len(x)) % folds
     oof = np.zeros((len(x), 0), np.float32)
     for k in range(y.shape[1]):
         xk = np.hstack([x, oof])
-        chain.weights.append(logistic(xk, y[:, k]))
+        chain.weights.append(logistic(xk, y[:, k], weight=weight))
         p = np.zeros(len(x))
         for f in range(folds):
             if (fold == f).any():
-                p[fold == f] = prob(xk[fold == f], logistic(xk[fold != f], y[fold != f, k], rounds=4, start=chain.weights[-1]))
+                p[fold == f] = prob(xk[fold == f], logistic(xk[fold != f], y[fold != f, k], rounds=4, start=chain.weights[-1], weight=weight[fold != f]))
         oof = np.hstack([oof, p[:, None].astype(np.float32)])
     last, truth = oof[:, -1], y[:, -1]
     cuts = np.linspace(0.3, 0.95, 66)
-    f1 = [2 * ((last >= c) & (truth > 0)).sum() / max(1, (last >= c).sum() + truth.sum()) for c in cuts]
+    f1 = [2 * weight[(last >= c) & (truth > 0)].sum() / max(1e-9, weight[last >= c].sum() + weight[truth > 0].sum()) for c in cuts]
     best = np.flatnonzero(np.isclose(f1, max(f1)))
     chain.threshold = float(cuts[best[len(best) // 2]])
     return chain
@@ -154,26 +160,27 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seeds: dict[str, list[str]] = SEEDS) -> Chain | None:
-    rows = labelled(docs, labels).select("doc_id", "toxic", words(F.col("text")).alias("w"))
-    rows = cut(rows.select("doc_id", "toxic", F.array_join(features(F.array_distinct("w")), " ").alias("text")), "labelled")
+    rows = labelled(docs, labels).select("doc_id", "toxic", "rate", words(F.col("text")).alias("w"))
+    rows = cut(rows.select("doc_id", "toxic", "rate", F.array_join(features(F.array_distinct("w")), " ").alias("text")), "labelled")
     vocab = vocabulary(rows)
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not vocab or len(counts) < 2:
         return None
-    span = 1 << 32
     share = {k: min(1.0, max_rows / 2 / v) for k, v in counts.items()}
-    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(13)), F.lit(span))
-    limit = F.when(F.col("toxic") == 1, int(share.get(1, 1) * span)).otherwise(int(share.get(0, 1) * span))
+    # another seed than in labelled(), whose rows all have small ranks; as a part of the class's share, so that head() cuts all classes alike
+    own = F.when(F.col("toxic") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 32)) / (own * (1 << 32))
     has = {c: F.arrays_overlap(F.split("text", " "), F.lit(ws)) for c, ws in seeds.items()}
     # only which of the vocabulary's words a row has comes to the driver
     seen = F.array_intersect(F.split("text", " "), F.lit(vocab))
-    picked = rows.withColumn("rank", rank).filter(F.col("rank") < limit).select("rank", "toxic", seen.alias("seen"), *[(v & (F.col("toxic") == 1)).cast("int").alias(c) for c, v in has.items()])
+    picked = rows.withColumn("rank", rank).filter("rank < 1").select("rank", "toxic", (1 / (F.col("rate") * own)).alias("weight"), seen.alias("seen"), *[(v & (F.col("toxic") == 1)).cast("int").alias(c) for c, v in has.items()])
     got = picked.toPandas().sort_values(["rank", "toxic"]).head(2 * max_rows)
     at = {w: i for i, w in enumerate(vocab)}
     x = np.zeros((len(got), len(vocab)), np.float32)
     for i, s in enumerate(got["seen"]):
         x[i, [at[w] for w in s]] = 1
-    return fit_chain(x, got[[*seeds, "toxic"]].to_numpy(float), vocab, [*seeds, "toxic"])
+    weight = got["weight"].to_numpy(float)
+    return fit_chain(x, got[[*seeds, "toxic"]].to_numpy(float), vocab, [*seeds, "toxic"], weight=weight / weight.mean())
 
 
 def judge(docs: DataFrame, chain: Chain | None, keep: list[str], categories: list[str] | None = None) -> DataFrame:
