@@ -133,13 +133,13 @@ def bter(spark, d):
 
 @query()
 def slashburn(spark, d):
-    return summary.slashburn(views.parts(spark, d, 48), k=2)
+    return summary.slashburn(views.parts(spark, d), k=2)
 
 
 @query()
 def vog_greedy(spark, d):
-    g = cut(views.parts(spark, d, 48), "view")
-    return summary.greedy(g, summary.slashburn(g, k=2), most=100)
+    g = cut(views.parts(spark, d), "view")
+    return summary.greedy(g, summary.slashburn(g, k=2))
 
 
 _CC = """r AS (SELECT id, id AS c FROM n UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.id WHERE r.c < s.v), comp AS (SELECT id, min(c) AS component FROM r GROUP BY id)"""
