@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from weft.llm import toxicity
+from weft.llm import licenses, toxicity
 
 
 def test_toxicity_rows_stand_for_the_mix_of_all_labels(spark, monkeypatch):
@@ -23,3 +23,12 @@ def test_a_weight_counts_like_copies():
     k = np.where(y > 0, 1, 5)
     a = toxicity.logistic(x, y, weight=k.astype(float))
     assert np.allclose(a, toxicity.logistic(x.repeat(k, 0), y.repeat(k)), atol=1e-3) and a[-1] < toxicity.logistic(x, y)[-1] - 1
+
+
+def test_a_word_put_in_anywhere_leaves_the_license(spark):
+    w = licenses.template_words(dict(licenses.NOTICES)["apache-2"])
+    texts = [[*w[:i], "really", *w[i:]] for i in range(len(w) + 1)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: [s for s in x.spans if s.label == "apache-2" and not s.exact] for x in licenses.scan(d).collect()}
+    bad = [i for i in got if not got[i] or got[i][0].cover < 0.92]
+    assert len(got) == len(w) + 1 and not bad

@@ -75,12 +75,14 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES, k: int = K, coverage: floa
     diagonals = votes.groupBy(*key, "tid", "label", "exact", "need", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.count("tpos").cast("int").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     per = diagonals.groupBy(*key, "tid", "label", "exact", "need").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "diag", "votes"))).alias("d"))
     # neighbours on one diagonal band that follow each other closely become one span; exact templates keep every diagonal apart
-    last = lambda acc: F.element_at(acc, -1)
-    joins = lambda acc, x: (F.size(acc) > 0) & (~F.col("exact")) & (F.abs(last(acc)["diag"] - x["diag"]) <= NEIGHBOUR) & (x["lo"] <= last(acc)["hi"] + NEIGHBOUR + k)
+    # other diagonals may start in between
+    joins = lambda s, x: ~F.col("exact") & (F.abs(s["diag"] - x["diag"]) <= NEIGHBOUR) & (x["lo"] <= s["hi"] + NEIGHBOUR + k)
+    at = lambda acc, x: F.coalesce(F.array_max(F.transform(acc, lambda s, i: F.when(joins(s, x), i).otherwise(-1))), F.lit(-1))
+    both = lambda s, x: F.struct(s["lo"].alias("lo"), F.greatest(s["hi"], x["hi"]).alias("hi"), x["diag"].alias("diag"), (s["votes"] + x["votes"]).alias("votes"))
     merged = F.aggregate(
         "d",
         F.expr("cast(array() AS array<struct<lo:int,hi:int,diag:int,votes:int>>)"),
-        lambda acc, x: F.when(joins(acc, x), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], x["hi"]).alias("hi"), x["diag"].alias("diag"), (last(acc)["votes"] + x["votes"]).alias("votes"))))).otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when(at(acc, x) >= 0, F.transform(acc, lambda s, i: F.when(i == at(acc, x), both(s, x)).otherwise(s))).otherwise(F.concat(acc, F.array(x))),
     )
     cover = lambda x: F.least(F.lit(1.0), x["votes"] / F.col("need"))
     good = F.filter(merged, lambda x: F.when(F.col("exact"), x["votes"] == F.col("need")).otherwise(cover(x) >= F.when(F.col("need") <= SHORT, 1.0).otherwise(coverage)))
