@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import permutations
+from itertools import count, permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -196,7 +196,7 @@ class Search:
     by: str = "size"
     overlap: bool = False
     by_value: bool = False
-    rounds: int = 4
+    rounds: int | None = None
     prune: bool = False
 
 
@@ -204,6 +204,7 @@ def discover(v: DataFrame, e: DataFrame, options: Search = Search()) -> DataFram
     """(canon, n, m, instances, examples, value): the best compressing substructures by beam search.
 
     Each round extends the instances of the beam's substructures by one edge, groups them by canonical string, values them and keeps the beam.
+    This goes on until the limit is used up or nothing is left to extend; ``rounds`` ends it before.
     """
     o = options
     v, e = cut(v, "v"), cut(with_ids(e), "e")
@@ -211,7 +212,7 @@ def discover(v: DataFrame, e: DataFrame, options: Search = Search()) -> DataFram
     labels = initial(v)
     now = v.join(labels.select("label"), "label", "left_semi").select(F.array("vid").alias("vs"), F.array().cast("array<bigint>").alias("es"), F.concat("label", F.lit("#")).alias("canon"))
     now, best, done = cut(now, "beam"), None, 0
-    for _ in range(o.rounds):
+    for _ in count() if o.rounds is None else range(o.rounds):
         done += now.select("canon").distinct().count()
         grown = cut(extend(now, v, e), "grown")
         if o.most:
