@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +28,44 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts go to Python a few hundred rows at a time: a batch of the default ten thousand would hold too much of a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) -> None:
+    """Texts go to Python a few hundred rows or ``size`` bytes at a time: a batch of the default ten thousand would hold too much of a
+    worker's memory. The plans that follow are lazy, so the setting stays with the session; it never changes a result."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def kept_rows(docs: DataFrame, good: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose text is good, judged a batch at a time in Python; every column passes once and comes back as it was."""
+    small_batches(docs.sparkSession)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(good(b.column(text)), pa.bool_()))
+
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    plain = docs.toDF(*names)
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(names, docs.schema, strict=True))
+    return plain.mapInArrow(run, kinds).toDF(*docs.columns)
+
+
+#: The column that ``numbered`` adds.
+ROW = "__row"
+
+
+def numbered(df: DataFrame, name: str = "numbered") -> tuple[DataFrame, str]:
+    """``df`` with a unique number per row, at rest, and its path: however often it is read, and whatever is lost, a row keeps its number."""
+    return put(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def by_row(df: DataFrame, rows: DataFrame, how: str, most: int = 1 << 20) -> DataFrame:
+    """A numbered table joined with ``rows`` (short ones, at rest, a number at most once) on the number. Up to ``most`` rows are broadcast, so
+    no text is shuffled; more are joined by shuffle on the number, which no two rows share."""
+    return df.join(F.broadcast(rows) if rows.count() <= most else rows, ROW, how)
 
 
 @contextlib.contextmanager
