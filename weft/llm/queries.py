@@ -123,22 +123,20 @@ def _op6_sql() -> str:
 
 
 def _op9_sql() -> str:
-    k, near = licenses.K, licenses.NEIGHBOUR
-    rows = []
-    for tid, (label, text, exact) in enumerate([(a, b, True) for a, b in licenses.BASE] + [(a, b, False) for a, b in licenses.NOTICES]):
-        w = licenses.template_words(text)
-        rows += [f"({tid}, '{label}', {exact}, {len(w) - k + 1}, {i}, '{' '.join(w[i:i + k])}')" for i in range(len(w) - k + 1)]
+    k, near, far = licenses.K, licenses.NEIGHBOUR, licenses.reach()
+    rows = [f"({tid}, '{label}', {exact}, {len(w) - k + 1}, CAST({least} AS DOUBLE), {i}, '{' '.join(w[i:i + k])}')" for tid, label, exact, least, w in licenses.templates() for i in range(len(w) - k + 1)]
     return f"""
-    WITH t(tid, label, exact, need, tpos, gram) AS (VALUES {', '.join(rows)}),
+    WITH t(tid, label, exact, need, least, tpos, gram) AS (VALUES {', '.join(rows)}),
     d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text='text')} AS w FROM documents),
     pos AS (SELECT rid, i - 1 AS pos, array_to_string(w[i:i + {k - 1}], ' ') AS gram FROM d, LATERAL (SELECT unnest(range(1, len(w) - {k - 2})) AS i)),
-    diag AS (SELECT rid, tid, label, exact, need, pos - tpos AS diag, count(*) AS votes, min(pos) AS lo, max(pos) AS hi FROM pos JOIN t USING (gram) GROUP BY ALL),
-    marked AS (SELECT *, CASE WHEN NOT exact AND abs(diag - lag(diag) OVER o) <= {near} AND lo <= max(hi) OVER (PARTITION BY rid, tid ORDER BY lo, hi, diag, votes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {near + k} THEN 0 ELSE 1 END AS fresh
-      FROM diag WINDOW o AS (PARTITION BY rid, tid ORDER BY lo, hi, diag, votes)),
-    isl AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, tid ORDER BY lo, hi, diag, votes ROWS UNBOUNDED PRECEDING) AS island FROM marked),
-    span AS (SELECT rid, tid, label, exact, need, island, sum(votes) AS votes, min(lo) AS lo FROM isl GROUP BY ALL),
-    good AS (SELECT *, least(1.0, CAST(votes AS DOUBLE) / need) AS cover FROM span WHERE CASE WHEN exact THEN votes = need ELSE least(1.0, CAST(votes AS DOUBLE) / need) >= CASE WHEN need <= {licenses.SHORT} THEN 1.0 ELSE {licenses.COVERAGE} END END),
-    per AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(lo) FILTER (exact) AS first_word, max(lo) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM good GROUP BY rid)
+    hit AS (SELECT rid, tid, label, exact, need, least, pos, tpos, pos - tpos AS diag FROM pos JOIN t USING (gram)),
+    off AS (SELECT unnest(range(-{near}, {near + 1})) AS o),
+    merged AS (SELECT rid, tid, label, exact, need, least, diag + o AS anchor, count(DISTINCT tpos) AS votes, min(pos) AS first, max(pos) + {k - 1} AS last FROM hit JOIN off ON NOT exact OR o = 0 GROUP BY ALL),
+    good AS (SELECT * FROM merged WHERE votes >= least * need),
+    best AS (SELECT g.* FROM good g WHERE exact OR NOT EXISTS (SELECT 1 FROM good h WHERE h.rid = g.rid AND h.tid = g.tid AND abs(h.anchor - g.anchor) <= {2 * near} AND (h.votes, abs(g.last - g.first), -h.anchor) > (g.votes, abs(h.last - h.first), -g.anchor))),
+    span AS (SELECT x.*, CAST(votes AS DOUBLE) / need AS cover FROM best x),
+    kept AS (SELECT * FROM span x WHERE exact OR NOT EXISTS (SELECT 1 FROM span y WHERE y.rid = x.rid AND NOT y.exact AND y.label <> x.label AND y.cover > x.cover AND y.first <= x.last AND y.last >= x.first AND abs(y.first - x.first) <= {far})),
+    per AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word, max(first) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM kept GROUP BY rid)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score FROM d LEFT JOIN per USING (rid)"""
 
