@@ -1,11 +1,13 @@
-"""Benchmark decontamination: find every occurrence of a test item's word windows in the training texts.
+"""Benchmark decontamination: find every occurrence of a test item's word windows in the training texts, and take the documents or the spans out.
 
 Windows are ``window`` consecutive words of an item (the whole item if it has fewer words). While the set of windows is small
-(``max_broadcast`` checked by a count) its hashes go to every task as a literal hash set: a text's windows are scanned in place, only
-hits leave the row, and an equality join on the words themselves verifies them. A larger set is joined by hash instead, by shuffle.
+(``max_literal`` checked by a count) its hashes go to every task as a literal hash set: a text's windows are scanned in place, only
+hits leave the row, and an equality join on the words themselves verifies them. The 8-byte hashes of up to ``max_broadcast`` windows are
+broadcast as a hash table and still no text moves; beyond that (row, place, hash) is joined by shuffle, and in both cases the words of hits
+alone are taken from the texts again and verified.
 
 Only DataFrame functions are used. Null texts have no words. Items without words are ignored; an item whose id is null still
-marks words as hit but cannot be listed. Repeated rows are judged one by one.
+marks words as hit but cannot be listed. Repeated rows are judged one by one, whatever their doc_id.
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, words
+from weft.llm.common import ROW, SEPARATORS, by_row, cut, numbered, words
 
 WINDOW = 13
-#: At most so many distinct windows (about 8 bytes each as hashes, 100 as text), with at most 16 times as many item ids, are broadcast.
-MAX_BROADCAST = 65_536
+#: At most so many distinct windows (about 8 bytes each as hashes, 100 as text), with at most 16 times as many item ids, become literals.
+MAX_LITERAL = 65_536
+#: At most so many hashes (about 50 bytes each in a task's hash table) are broadcast.
+MAX_BROADCAST = 1 << 20
 
 
 def _hashes(w: Column) -> Column:
@@ -33,37 +37,54 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.groupBy("gram", "n", "h").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-def _hits(lengths: dict[int, list[int] | None]) -> Column:
-    """Places in the word array ``w`` (hashes ``wh``) whose window hash is in the set of its length; None: all places."""
+def _hits(lengths: dict[int, list[int]]) -> Column:
+    """Places in the word array ``w`` (hashes ``wh``) whose window hash is in the set of its length."""
     parts = []
     for n, hashes in sorted(lengths.items()):
-        at = f"sequence(1, size(wh) - {n - 1})"
-        if hashes is not None:
-            at = f"filter({at}, i -> xxhash64(slice(wh, i, {n})) IN ({','.join(map(str, hashes))}))"
+        at = f"filter(sequence(1, size(wh) - {n - 1}), i -> xxhash64(slice(wh, i, {n})) IN ({','.join(map(str, hashes))}))"
         parts.append(f"if(size(wh) >= {n}, transform({at}, i -> struct(i - 1 AS pos, {n} AS n, xxhash64(slice(wh, i, {n})) AS h, array_join(slice(w, i, {n}), ' ') AS gram)), array())")
     kind = "array<struct<pos:int,n:int,h:bigint,gram:string>>"
     return F.expr(f"cast({parts[0] if len(parts) == 1 else 'concat(' + ', '.join(parts) + ')'} AS {kind})" if parts else f"cast(array() AS {kind})")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, spans (merged hit ranges of word positions, end exclusive), n_hit, items.
+def _marked(texts: DataFrame, found: DataFrame, lengths: list[int], small: bool) -> DataFrame:
+    """(ROW, hits) for a large set of windows: places whose window hash is in the set, with their words; rows without one are left out."""
+    h = found.select("h").distinct()
+    rows = texts.select(ROW, words(F.col("text")).alias("w")).select(ROW, _hashes(F.col("w")).alias("wh"))
+    at = None
+    for n in lengths:
+        own = rows.filter(F.size("wh") >= n).select(ROW, F.lit(n).alias("n"), F.explode(F.expr(f"transform(sequence(1, size(wh) - {n - 1}), i -> struct(i - 1 AS pos, xxhash64(slice(wh, i, {n})) AS h))")).alias("x")).select(ROW, "n", "x.*")
+        own = own.join(F.broadcast(h) if small else h, "h", "left_semi")
+        at = own if at is None else at.union(own)
+    places = cut(at.groupBy(ROW).agg(F.collect_list(F.struct("pos", "n", "h")).alias("at")), "places")
+    got = by_row(texts.select(ROW, "text"), places, "inner").select(ROW, words(F.col("text")).alias("w"), "at")
+    return got.select(ROW, F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), x["h"].alias("h"), F.array_join(F.slice("w", x["pos"] + 1, x["n"]), " ").alias("gram"))).alias("hits"))
 
-    The rows of one text's hits meet again by a row number given before they are spread, so repeated doc_ids stay apart.
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_literal: int = MAX_LITERAL, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Per row of ``docs``: its row number, doc_id, n_words, spans (merged hit ranges of word positions, end exclusive), n_hit, items.
+
+    The rows of one text's hits meet again by row number (that of ``numbered`` if the rows have one), so repeated doc_ids stay apart.
     """
     found = cut(item_windows(benchmark, window), "windows")
     size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("refs")).first()
-    small = size.n <= max_broadcast and size.refs <= 16 * max_broadcast
-    lengths: dict[int, list[int] | None] = {}
-    for r in found.select("n", "h").distinct().collect() if small else found.select("n").distinct().collect():
-        lengths.setdefault(r.n, [] if small else None)
-        if small:
-            lengths[r.n].append(r.h)
-    base = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", _hashes(F.col("w")).alias("wh"))
-    base = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("w").cast("long").alias("n_words"), _hits(lengths).alias("hits"))
-    spread = base.select("rid", "doc_id", "n_words", F.explode_outer("hits").alias("x")).select("rid", "doc_id", "n_words", "x.*")
+    small = size.n <= max_literal and size.refs <= 16 * max_literal
+    key = [ROW, "doc_id", "n_words"]
+    if small:
+        lengths: dict[int, list[int]] = {}
+        for r in found.select("n", "h").distinct().collect():
+            lengths.setdefault(r.n, []).append(r.h)
+        own = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+        base = docs.select(own.alias(ROW), "doc_id", words(F.col("text")).alias("w")).select(ROW, "doc_id", "w", _hashes(F.col("w")).alias("wh"))
+        base = base.select(ROW, "doc_id", F.size("w").cast("long").alias("n_words"), _hits(lengths).alias("hits"))
+    else:
+        texts = docs if ROW in docs.columns else numbered(docs.select("doc_id", "text"), "texts")[0]
+        hits = cut(_marked(texts, found, sorted(r.n for r in found.select("n").distinct().collect()), size.n <= max_broadcast), "hits")
+        base = by_row(texts.select(ROW, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")), hits, "left")
+    spread = base.select(*key, F.explode_outer("hits").alias("x")).select(*key, "x.*")
     side = F.broadcast(found) if small else found
     joined = spread.join(side.withColumnRenamed("n", "bn"), ["h", "gram"], "left")
-    per = joined.groupBy("rid", "doc_id", "n_words").agg(
+    per = joined.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.when(F.col("bn").isNotNull(), F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("n")).alias("e"))))).alias("at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -73,16 +94,40 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
     )
     per = per.withColumn("spans", spans)
-    return per.select("rid", "doc_id", "n_words", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("n_hit"), "items")
+    return per.select(*key, "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("n_hit"), "items")
+
+
+def _contaminated():
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """Per document: n_words, n_hit, the items found, and whether at least a twentieth of its words is hit."""
     r = scan(docs, benchmark, **kw)
-    return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), _contaminated().alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents that aren't contaminated, all columns as they were. A doc_id any of whose rows is contaminated goes; null ids are judged by no row and stay."""
-    bad = report(docs, benchmark, **kw).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that aren't contaminated, all columns as they were. Each row is judged by its own text and number: a null or repeated doc_id
+    takes no other row with it. Null and empty texts stay."""
+    rows, _ = numbered(docs, "documents")
+    bad = cut(scan(rows, benchmark, **kw).filter(_contaminated()).select(ROW), "contaminated")
+    return by_row(rows, bad, "left_anti").select(*docs.columns)
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """All rows, all columns; from the texts every hit word is cut out together with what separates it from the word before. Texts without a hit,
+    null ones among them, stay as they are; a text that is hit as a whole keeps only what follows its last word."""
+    rows, _ = numbered(docs, "documents")
+    hit = cut(scan(rows, benchmark, **kw).filter("n_hit > 0").select(ROW, F.col("spans").alias("__spans")), "spans")
+    joined = by_row(rows, hit, "left")
+    # every word with its separators before it; A-Z are letters here as the text isn't lower-cased
+    outside, inside = SEPARATORS[:-1].replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"), SEPARATORS[:-1].replace("[", "[^").replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    parts = F.regexp_extract_all("text", F.lit(f"({outside}*{inside}+)"), 1)
+    n = F.size("__parts")
+    bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform("__spans", lambda s: F.array(s["s"], s["e"]))), F.array(n))
+    gaps = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: F.slice("__parts", F.get("__b", 2 * i) + 1, F.get("__b", 2 * i + 1) - F.get("__b", 2 * i)))
+    left = joined.withColumn("__parts", F.when(F.col("__spans").isNotNull(), parts)).withColumn("__b", bounds)
+    tail = F.regexp_extract("text", f"({outside}*)$", 1)
+    clean = F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(F.flatten(gaps), ""), tail)).otherwise(F.col("text"))
+    return left.withColumn("text", clean).select(*docs.columns)
