@@ -2,10 +2,11 @@
 
 A text is lower-cased and all but letters become word ends; the character n-grams of its words (with their ends) are hashed into
 ``DIM`` buckets. The mean of the buckets' embeddings goes through a linear softmax. Embeddings and softmax are trained together by
-minibatch SGD on a bounded sample (``per_lang`` rows of each of at most ``max_langs`` labels, chosen by hash over all labelled rows).
+minibatch SGD on a bounded sample: ``per_lang`` rows of each label, fewer where that makes over MAX_ROWS rows or MAX_GRAMS counted n-grams,
+chosen by hash over all labelled rows. Over MAX_LANGS labels raise an error rather than leave any out.
 A quarter of the sample is kept back: on it a temperature is fitted, and a rejection threshold below nearly all right answers.
 
-Prediction reads whole texts and nothing but the text. Because the model is linear behind the mean, embedding times softmax is one
+Prediction reads whole texts, long ones as a stream of parts whose n-grams are exactly those of the whole, and nothing but the text. Because the model is linear behind the mean, embedding times softmax is one
 table (DIM x languages, 4 bytes each: under 1 MB for 16 languages) and is sent to the tasks with the function.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0.0 and is rejected. A null doc_id counts as held out. Without any
@@ -19,13 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import small_batches
+from weft.llm.common import cut, kept_rows, small_batches
 
 DIM, EMBED, ORDERS = 1 << 14, 16, (1, 2, 3)
-PER_LANG, MAX_LANGS, EPOCHS, BATCH, RATE = 600, 256, 12, 32, 0.5
+PER_LANG, EPOCHS, BATCH, RATE = 600, 12, 32, 0.5
+#: Bounds of what is learnt from: labels, rows, and distinct n-grams of all rows together (8 bytes each on the driver).
+MAX_LANGS, MAX_ROWS, MAX_GRAMS = 1024, 16_384, 24_000_000
+#: Texts of more characters are counted by themselves, so many characters at a time.
+LONG = 200_000
 #: Of right answers on the kept-back rows, the share that may fall under the rejection threshold; the threshold never exceeds one half.
 REJECT = 0.002
 UND = "und"
@@ -47,19 +52,9 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def buckets(texts: list[str], dim: int = DIM, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, text of each n-gram) for a few texts at once."""
-    letter = _letters()
-    codes = np.frombuffer((" " + " ".join(texts) + " ").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    # lower-casing may change a text's length, so owners come from the lower-cased lengths
-    lengths = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts)) + 1
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    owner = np.concatenate([[0], owner])[: len(codes)]
-    ok = letter[codes]
-    codes = np.where(ok, codes, 0).astype(np.uint64)
-    keep = ok | np.concatenate([[True], ok[:-1]])  # one word end between words
-    codes, owner, ok = codes[keep], owner[keep], ok[keep]
-    found, whose = [], []
+def _grams(codes: np.ndarray, dim: int, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, place of the middle letter) of all n-grams of one order after another; 0 is a word end and no two stand together."""
+    ok = codes > 0
     for n in orders:
         if len(codes) < n:
             continue
@@ -73,10 +68,40 @@ def buckets(texts: list[str], dim: int = DIM, orders: tuple[int, ...] = ORDERS)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        first = owner[n // 2 : n // 2 + len(h)]
-        found.append((h[inner] % np.uint64(dim)).astype(np.int32))
-        whose.append(first[inner])
-    return (np.concatenate(found), np.concatenate(whose)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        yield (h[inner] % np.uint64(dim)).astype(np.int32), np.flatnonzero(inner) + n // 2
+
+
+def _codes(text: str) -> np.ndarray:
+    """Code points of a lower-cased text, 0 for all but letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(_letters()[codes], codes, 0).astype(np.uint64)
+
+
+def buckets(texts: list[str], dim: int = DIM, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each n-gram, text of each n-gram) for a few texts at once."""
+    low = [t.lower() for t in texts]
+    codes = _codes(f" {' '.join(low)} ")
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, low), np.int64, len(low)) + 1)
+    owner = np.concatenate([[0], owner])[: len(codes)]
+    keep = (codes > 0) | np.concatenate([[True], codes[:-1] > 0])  # one word end between words
+    codes, owner = codes[keep], owner[keep]
+    got = [(b, owner[at]) for b, at in _grams(codes, dim, orders)]
+    return (np.concatenate([b for b, _ in got]), np.concatenate([w for _, w in got])) if got else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def counted(text: str, dim: int = DIM, orders: tuple[int, ...] = ORDERS, step: int = LONG) -> np.ndarray:
+    """How often each bucket occurs in one text, in parts: a part starts with the last letters of the one before, whose own n-grams count once."""
+    low, n = text.lower(), np.zeros(dim, np.int64)
+    carry = np.zeros(1, np.uint64)  # a word end before the first word
+    for at in range(0, len(low) + 1, step):
+        new = _codes(low[at : at + step] if at + step <= len(low) else low[at:] + " ")
+        new = new[(new > 0) | np.concatenate([carry[-1:] > 0, new[:-1] > 0])]
+        whole = np.concatenate([carry, new])
+        for part, sign in ((whole, 1), (carry, -1)):
+            for b, _ in _grams(part, dim, orders):
+                n += sign * np.bincount(b, minlength=dim)
+        carry = whole[-(max(orders) - 1) :] if max(orders) > 1 else whole[-1:]
+    return n
 
 
 @dataclass
@@ -89,19 +114,21 @@ class Model:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(calibrated probabilities, whether the text has a letter). Texts are taken a few at a time, so that memory is bounded by the longest."""
-        logits, seen, at = np.zeros((len(texts), len(self.langs)), np.float64), np.zeros(len(texts), bool), 0
+        logits, seen, at, dim = np.zeros((len(texts), len(self.langs)), np.float64), np.zeros(len(texts), bool), 0, len(self.table)
         while at < len(texts):
             end, size = at + 1, len(texts[at])
-            while end < len(texts) and size + len(texts[end]) < 200_000:
+            while end < len(texts) and size + len(texts[end]) < LONG:
                 size += len(texts[end])
                 end += 1
-            parts = [texts[at:end]] if size < 2_000_000 else None
-            sums, counts = np.zeros((end - at, len(self.langs))), np.zeros(end - at)
-            for chunk in parts or ([texts[at][i : i + 1_000_000]] for i in range(0, size, 1_000_000)):  # a very long text: its pieces' n-grams
-                b, who = buckets(chunk, len(self.table))
-                counts += np.bincount(who, minlength=end - at)
+            sums = np.zeros((end - at, len(self.langs)))
+            if size > LONG:  # one text
+                n = counted(texts[at], dim)
+                counts, sums[0] = np.array([n.sum()]), n @ self.table.astype(np.float64)
+            else:
+                b, who = buckets(texts[at:end], dim)
+                counts = np.bincount(who, minlength=end - at)
                 for k in range(len(self.langs)):
-                    sums[:, k] += np.bincount(who, weights=self.table[b, k], minlength=end - at)
+                    sums[:, k] = np.bincount(who, weights=self.table[b, k], minlength=end - at)
             seen[at:end] = counts > 0
             logits[at:end] = sums / np.maximum(counts, 1)[:, None] + self.bias
             at = end
@@ -155,33 +182,44 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[
     return Model(langs, table.astype(np.float32), b, temperature, threshold)
 
 
-def sample_counts(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[str]]:
-    """(buckets, counts) and labels of a bounded sample: about ``per_lang`` rows of each label, those with the smallest hash of their id."""
+def sample_counts(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[str]]:
+    """(buckets, counts) and labels of a bounded sample: about ``per_lang`` rows of each label, those with the smallest hash of id and text.
+
+    Equal rows count once, so a repeated row can't fill the sample; what is left is cut in Spark, by rank as a part of the label's share, so
+    that all labels are cut alike: only rows within ``max_grams`` come to the driver.
+    """
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     small_batches(docs.sparkSession)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = usable.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()
+    if len(counts) > max_langs:
+        raise ValueError(f"over {max_langs} languages")
     if not counts:
         return [], np.zeros(0, int), []
-    langs = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, per_lang / r["count"]) for r in counts}
+    langs = [r["lang"] for r in counts]
+    per = max(1, min(per_lang, max_rows // len(langs)))
+    share = {r["lang"]: min(1.0, per / r["count"]) for r in counts}
     span = 1 << 32
-    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(span))
-    limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * span)))])
-    picked = usable.select("doc_id", "text", "lang", rank.alias("rank")).filter(F.col("rank") < limit[F.col("lang")])
+    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(11)), F.lit(span))
+    limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v * span))])
+    picked = usable.select("doc_id", "text", "lang", (rank / limit[F.col("lang")]).alias("rank")).filter("rank < 1").dropDuplicates(["doc_id", "text", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                b, _ = buckets([batch.column(0)[i].as_py()])
-                n = np.bincount(b, minlength=DIM)
+                n = counted(batch.column(0)[i].as_py())
                 at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), pa.array([at.astype(np.int32).tolist()], pa.list_(pa.int32())), pa.array([n[at].astype(np.int32).tolist()], pa.list_(pa.int32()))], ["lang", "rank", "at", "n"])
+                if len(at):
+                    lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(x.astype(np.int32))) for x in (at, n[at])]
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), *lists], ["lang", "rank", "at", "n"])
 
-    rows = picked.select("text", "lang", "rank").mapInArrow(run, "lang string, rank bigint, at array<int>, n array<int>").toPandas()
-    rows = rows.sort_values(["lang", "rank"]).groupby("lang").head(2 * per_lang)  # the hash gives per_lang on average; never over twice
-    rows = rows[rows["at"].map(len) > 0]
-    counted = [(np.asarray(at, np.int32), np.asarray(n, np.float32)) for at, n in zip(rows["at"], rows["n"], strict=True)]
-    return counted, np.array([langs.index(v) for v in rows["lang"]], int), langs
+    rows = cut(picked.select("text", "lang", "rank").mapInArrow(run, "lang string, rank double, at array<int>, n array<int>"), "sampled")
+    first = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    # the hash gives per rows of a label on average; never over twice that, and never over max_grams n-grams
+    ends = rows.select("rank", F.size("at").alias("grams")).orderBy("rank").limit(2 * per * len(langs)).select("rank", F.sum("grams").over(first).alias("sum"))
+    last = ends.agg(F.max(F.when(F.col("sum") <= max_grams, F.col("rank")))).first()[0]
+    got = rows.filter(F.col("rank") <= (last if last is not None else -1)).toPandas().sort_values(["lang", "rank"])
+    counted_ = [(np.asarray(at, np.int32), np.asarray(n, np.float32)) for at, n in zip(got["at"], got["n"], strict=True)]
+    return counted_, np.array([langs.index(v) for v in got["lang"]], int), langs
 
 
 def fit(docs: DataFrame, **kw) -> Model | None:
@@ -189,6 +227,16 @@ def fit(docs: DataFrame, **kw) -> Model | None:
     return train(rows, y, langs) if rows else None
 
 
+def _judge(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, accepted) of each text."""
+    whole = [t or "" for t in texts.to_pylist()]
+    if model is None:
+        return [UND] * len(whole), np.zeros(len(whole)), np.zeros(len(whole), bool)
+    p, seen = model.scores(whole)
+    score = np.where(seen, np.clip(p.max(axis=1), 0, 1), 0.0)
+    return [model.langs[k] if s else UND for k, s in zip(p.argmax(axis=1), seen, strict=True)], score, seen & (score >= model.threshold)
+
+
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """``keep`` columns plus lang_pred, score and accepted; reads only the text."""
     small_batches(docs.sparkSession)
@@ -196,15 +244,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            if model is None:
-                pred, score, seen = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            else:
-                p, seen = model.scores(texts)
-                best = p.argmax(axis=1)
-                pred = [model.langs[k] if s else UND for k, s in zip(best, seen, strict=True)]
-                score = np.where(seen, np.clip(p.max(axis=1), 0, 1), 0.0)
-            accepted = seen & (score >= (model.threshold if model else 1))
+            pred, score, accepted = _judge(model, b.column(0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], [*keep, "lang_pred", "score", "accepted"])
 
     return docs.select("text", *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double, accepted boolean")
@@ -216,8 +256,7 @@ def identify(docs: DataFrame, **kw) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, **kw) -> DataFrame:
-    """The documents whose language is accepted, with the columns they had."""
-    names = docs.columns
-    own = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.col(f"c{names.index('text')}"))
-    judged = predict(own, fit(docs, **kw), [f"c{i}" for i in range(len(names))])
-    return judged.filter("accepted").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    """The documents whose language is accepted, with the columns they had; each row is judged by itself, and each column sent once.
+    Rows with a null text or one without a letter go; a null doc_id, repeated rows and extra columns change nothing."""
+    model = fit(docs, **kw)
+    return kept_rows(docs, lambda texts: _judge(model, texts)[2])
