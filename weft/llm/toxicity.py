@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut, small_batches, words
+from weft.llm.common import cut, kept_rows, small_batches, words
 
 # Seed words of the finer categories.
 SEEDS = {
@@ -39,14 +39,19 @@ MAX_WORDS, MIN_DOCS, MIN_Z, SAMPLE, MAX_ROWS, FOLDS = 512, 5, 4.0, 20_000, 8000,
 def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic, rate) of at most about ``most`` labelled rows, half of them toxic if there are enough: those with the smallest hash of
     their id; ``rate`` is the share of a row's class that is taken. Of several labels of a document the largest counts. Only the sampled labels
-    (some 24 bytes each) are broadcast; no text is shuffled."""
+    (some 24 bytes each) are broadcast; no text of other rows is shuffled. Equal rows count once, and of rows that share an id so often that
+    the sample would outgrow twice its size those with the smallest hash of the text stay."""
     one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    one = one.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     counts = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
     span = 1 << 32
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(13)), F.lit(span))
     cap = lambda k: min(1.0, most / 2 / max(1, counts.get(k, 1)))
     picked = one.withColumn("rate", F.when(F.col("toxic") == 1, cap(1)).otherwise(cap(0))).filter(rank < F.col("rate") * span)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"]), "sampled")
+    tied = F.xxhash64("text", F.col("doc_id").cast("string"))
+    parts = [found.filter(F.col("toxic") == k).orderBy(rank, tied).limit(most) for k in (0, 1)]
+    return parts[0].union(parts[1])
 
 
 def features(w):
@@ -173,8 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seeds: dic
     has = {c: F.arrays_overlap(F.split("text", " "), F.lit(ws)) for c, ws in seeds.items()}
     # only which of the vocabulary's words a row has comes to the driver
     seen = F.array_intersect(F.split("text", " "), F.lit(vocab))
-    picked = rows.withColumn("rank", rank).filter("rank < 1").select("rank", "toxic", (1 / (F.col("rate") * own)).alias("weight"), seen.alias("seen"), *[(v & (F.col("toxic") == 1)).cast("int").alias(c) for c, v in has.items()])
-    got = picked.toPandas().sort_values(["rank", "toxic"]).head(2 * max_rows)
+    picked = rows.withColumn("rank", rank).filter("rank < 1").orderBy("rank", F.xxhash64("text")).limit(2 * max_rows).select("rank", "toxic", (1 / (F.col("rate") * own)).alias("weight"), seen.alias("seen"), *[(v & (F.col("toxic") == 1)).cast("int").alias(c) for c, v in has.items()])
+    got = picked.toPandas().sort_values(["rank", "toxic"])
     at = {w: i for i, w in enumerate(vocab)}
     x = np.zeros((len(got), len(vocab)), np.float32)
     for i, s in enumerate(got["seen"]):
@@ -183,6 +188,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seeds: dic
     return fit_chain(x, got[[*seeds, "toxic"]].to_numpy(float), vocab, [*seeds, "toxic"], weight=weight / weight.mean())
 
 
+def _predicted(chain: Chain | None, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities of the n categories, rejected) of each text, a part at a time."""
+    p = np.zeros((len(texts), n))
+    if chain:
+        for i in range(0, len(texts), 512):
+            p[i : i + 512] = chain.predict(_presence(texts.slice(i, 512).to_pylist(), chain.vocab))
+    return p, p[:, -1] >= (chain.threshold if chain else 2)
+
+
 def judge(docs: DataFrame, chain: Chain | None, keep: list[str], categories: list[str] | None = None) -> DataFrame:
     """``keep`` columns plus one probability for each category and ``rejected``."""
     small_batches(docs.sparkSession)
@@ -192,11 +206,7 @@ def judge(docs: DataFrame, chain: Chain | None, keep: list[str], categories: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.zeros((b.num_rows, len(cats)))
-            if chain:
-                for i in range(0, b.num_rows, 512):
-                    p[i : i + 512] = chain.predict(_presence(b.column(0).slice(i, 512).to_pylist(), chain.vocab))
-            bad = p[:, -1] >= (chain.threshold if chain else 2)
+            p, bad = _predicted(chain, b.column(0), len(cats))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array(p[:, k]) for k in range(len(cats))], pa.array(bad)], [*keep, *names, "rejected"])
 
     return docs.select("text", *keep).mapInArrow(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}, rejected boolean")
@@ -208,8 +218,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with the columns they had."""
-    names = docs.columns
-    own = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.col(f"c{names.index('text')}"))
-    judged = judge(own, fit(docs, labels), [f"c{i}" for i in range(len(names))])
-    return judged.filter("NOT rejected").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    """The documents that aren't rejected, with the columns they had; each row is judged by itself, and each column sent once. Rows with a
+    null or empty text stay, as do null doc_ids; repeated rows are judged alike."""
+    chain = fit(docs, labels)
+    return kept_rows(docs, lambda texts: ~_predicted(chain, texts, len(SEEDS) + 1)[1])
