@@ -1,7 +1,9 @@
 """URL filters: rules on host suffix and path prefix, and for the rest naive Bayes over segmented host and path words.
 
 Hosts run words together, so every host label is split by a unigram Viterbi search: known words cost their negative log frequency,
-unknown ones a cost that grows with their length. Multinomial naive Bayes then scores the words of host and path. It is fitted on a
+unknown ones a cost that grows with their length. The frequencies are counted over all pages: the words of their texts, and the words that
+stand alone between hyphens of distinct hosts; the ``MAX_WORDS`` most frequent are kept, and a short list of common words counts once more.
+Multinomial naive Bayes then scores the words of host and path. It is fitted on a
 bounded sample of distinct hosts and paths, labelled by seed words among a host's segments (weak labels).
 
 A rule (verdict, host, path) fits its host and all subdomains if the url's path starts with the rule's; the longest rule (host and path
@@ -27,7 +29,7 @@ from weft.llm.common import ascii_lower
 # The default rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-# Words of hosts, most frequent first, and the words that mark a host as unwanted.
+# Common words of hosts, and the words that mark a host as unwanted.
 COMMON = (
     "the of and to in for on is by my new your all best free home shop online store web site news blog world media group tech data cloud app "
     "game games play music video photo travel hotel health food car cars auto home house garden city life love kids school learn book books job jobs "
@@ -39,6 +41,8 @@ COMMON = (
 UNWANTED = "pills pill casino bet bets poker slots adult sex ads ad track tracker spam pharma viagra lottery xxx".split()
 #: Every seed word counts as seen so often in unwanted hosts.
 MAX_URLS, BLOCK_AT, SEED_COUNT = 20_000, 0.5, 20
+#: So many words are known to the segmenter at most (some 100 bytes each, sent to the tasks).
+MAX_WORDS = 50_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -72,30 +76,43 @@ class Segmenter:
     def split(self, run: str) -> list[str]:
         if run in self.memo:
             return self.memo[run]
-        best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
+        best, back, low = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1), (math.inf, 0)
         for end in range(1, len(run) + 1):
-            # known words of any length, and unknown ones: one cost however they are cut, so the longest start suffices
-            for start in range(max(0, end - 64), end):
-                w = run[start:end]
-                c = best[start] + (self.cost.get(w) or self.unknown(end - start))
-                if c < best[end]:
-                    best[end], back[end] = c, start
+            for start in range(max(0, end - self.longest), end):
+                if (c := self.cost.get(run[start:end])) is not None and best[start] + c < best[end]:
+                    best[end], back[end] = best[start] + c, start
+            # an unknown word costs a constant and so much a letter, so the best place for it to start is carried along
+            if best[end - 1] - 3.0 * (end - 1) < low[0]:
+                low = best[end - 1] - 3.0 * (end - 1), end - 1
+            if low[0] + 3.0 * end + self.unknown(0) < best[end]:
+                best[end], back[end] = low[0] + 3.0 * end + self.unknown(0), low[1]
         out, end = [], len(run)
         while end:
             out.append(run[back[end] : end])
             end = back[end]
-        if len(self.memo) < 100_000:
+        if len(self.memo) < 100_000 and len(run) <= 64:
             self.memo[run] = out[::-1]
         return out[::-1]
 
 
-def lexicon(words_: list[str] = COMMON, seen: Counter | None = None) -> dict[str, float]:
-    """Counts by rank (Zipf) for the common words; words that stand alone in sampled hosts add theirs."""
-    out = {w: 1e6 / (i + 10) for i, w in reversed(list(enumerate(words_)))}
+def lexicon(words_: list[str] = COMMON, seen: dict[str, int] | None = None) -> dict[str, float]:
+    """Counts of the segmenter's words: as seen, common words once more, and unwanted ones as seeds."""
+    out = dict.fromkeys(words_, 1.0)
     for w, n in (seen or {}).items():
-        if len(w) > 3:
-            out[w] = out.get(w, 0) + n
-    return out
+        out[w] = out.get(w, 0) + n
+    return out | {w: max(out.get(w, 0), SEED_COUNT) for w in UNWANTED}
+
+
+def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
+    """The most frequent words of all pages' texts and of the hyphenated labels of all distinct hosts, with their counts."""
+    letters = r"[^\p{L}]+"
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ")
+    found = pages.select(F.explode(F.split(F.lower(text), letters)).alias("word"))
+    hosts = pages.select(host_path(F.col("url"))[0].alias("h")).distinct()
+    labels = hosts.select(F.explode(F.filter(F.split("h", r"\."), lambda x: x.contains("-"))).alias("l"))
+    both = found.union(labels.select(F.explode(F.split("l", letters)).alias("word")))
+    counts = both.filter(F.length("word").between(2, 64)).groupBy("word").count()
+    return {r["word"]: r["count"] for r in counts.orderBy(F.desc("count"), "word").limit(max_words).collect()}
 
 
 def tokens(host: str, path: str, seg: Segmenter) -> tuple[list[str], list[str]]:
@@ -103,7 +120,7 @@ def tokens(host: str, path: str, seg: Segmenter) -> tuple[list[str], list[str]]:
     labels = re.split(r"\.", host.split("@")[-1].split(":")[0])
     names = labels[:-1] or labels
     runs = [r for label in names for r in re.findall(r"[^\W\d_]+|\d+", label) if r != "www"]
-    h = [w for r in runs for w in (["#"] if r.isdigit() else seg.split(r[:256]) + ([r[256:]] if len(r) > 256 else []))]
+    h = [w for r in runs for w in (["#"] if r.isdigit() else seg.split(r))]
     p = [w for r in re.findall(r"[^\W\d_]+|\d+", path) for w in (["#"] if r.isdigit() else [r.lower()])]
     return h, p
 
@@ -130,9 +147,8 @@ def fit(pages: DataFrame, max_urls: int = MAX_URLS, unwanted: list[str] = UNWANT
     shaped = pages.filter("url IS NOT NULL").select(host.alias("h"), F.regexp_replace(path, r"\d+", "0").alias("p")).groupBy("h", "p").count().select("h", "p")
     n = shaped.count()
     span = 1 << 32
-    picked = shaped.filter(F.pmod(F.xxhash64("h", "p", F.lit(17)), F.lit(span)) < int(min(1.0, max_urls / max(1, n)) * span)).limit(2 * max_urls).collect()
-    alone = Counter(r for h in {r.h for r in picked} for label in h.split(".")[:-1] if "-" in label for r in label.split("-") if r.isalpha())
-    seg = Segmenter(lexicon(seen=alone))
+    picked = shaped.filter(F.pmod(F.xxhash64("h", "p", F.lit(17)), F.lit(span)) < int(min(1.0, max_urls / max(1, n)) * span)).orderBy("h", "p").limit(2 * max_urls).collect()
+    seg = Segmenter(lexicon(seen=unigrams(pages)))
     counts, docs, bad = (Counter(), Counter()), [0, 0], set(unwanted)
     for r in picked:
         h, p = tokens(r.h, r.p, seg)
