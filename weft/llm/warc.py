@@ -2,8 +2,8 @@
 
 Each task writes archives (``.warc.zst``): a skippable frame that holds a dictionary built from a spread sample of the archive's own
 records, then one Zstandard frame per record, so any record can be read by its offset. An archive is closed at ``max_bytes`` of raw
-records, which bounds a task's memory. Files are written under a name of the attempt and renamed when whole, so a repeated task leaves
-one copy; they go through Arrow's file systems to whatever store the folder is in.
+records, which bounds a task's memory. A file's name holds its attempt's number and the committed listing says which attempts count, so a
+repeated task can't touch what another one wrote; files go through Arrow's file systems to whatever store the folder is in.
 
 Of records with equal payloads of at least ``min_revisit`` bytes that with the largest page_id is a response, others revisit it. Ties:
 rows that repeat the largest page_id are all responses. Nulls: a null html is an empty payload; a null page_id is no candidate for the
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import fresh_path, small_batches
+from weft.llm.common import ROW, by_row, cut, fresh_path, numbered, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 MAX_BYTES, DICT_BYTES, LEVEL, SAMPLES = 16 << 20, 64 << 10, 6, 400
@@ -36,14 +36,14 @@ def digest(payload: bytes) -> str:
 def classify(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """page_id, url, html (null as empty) and refers_to: the response's page_id for revisits, else null.
 
-    The largest id of each payload comes from a partial aggregation on its digest; only payloads that occur more than once are joined
-    back, so a huge group of copies is an ordinary equi-join with one row on its other side.
+    Rows are numbered and put at rest. Digests alone are grouped (a partial aggregation) and joined back, so all copies of a payload meet as
+    short rows that a skewed join can split; what they refer to returns to the pages by row number, and no payload is dealt by its digest.
     """
-    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1(F.encode("html", "utf-8"))))
-    many = base.filter(F.octet_length("html") >= min_revisit).groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND top IS NOT NULL").select("sha", "top")
-    joined = base.join(many, "sha", "left")
-    revisit = F.col("top").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("top"), F.lit(False))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("top")).alias("refers_to"))
+    rows, _ = numbered(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "pages")
+    keys = cut(rows.filter(F.octet_length("html") >= min_revisit).select(ROW, "page_id", F.unhex(F.sha1(F.encode("html", "utf-8"))).alias("sha")), "digests")
+    many = keys.groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND top IS NOT NULL").select("sha", "top")
+    again = cut(keys.join(many, "sha").filter(~F.coalesce(F.col("page_id") == F.col("top"), F.lit(False))).select(ROW, F.col("top").alias("refers_to")), "revisits")
+    return by_row(rows, again, "left").select("page_id", "url", "html", "refers_to")
 
 
 def _urn(page_id: object) -> str:
@@ -114,8 +114,8 @@ def write_archives(classified: DataFrame, folder: str, max_bytes: int = MAX_BYTE
 
         def flush():
             nonlocal held, size, number
-            name = f"part-{ctx.partitionId():06d}-{number:05d}.warc.zst"
-            own = f"{base}/.{name}.{ctx.taskAttemptId()}"
+            name = f"part-{ctx.partitionId():06d}-{number:05d}-{ctx.taskAttemptId()}.warc.zst"
+            own = f"{base}/.{name}"
             written = 0
             with store.open_output_stream(own, compression=None) as out:
                 for p in archive(held):
