@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import batch_rows, cut, drop, put, small_batches
+from weft.llm.common import ROW, batch_rows, by_row, cut, drop, numbered, put, small_batches
 
 SHINGLE, SEED, BITS, BLOCKS = 4, 42, 4, 7
 #: A key with more distinct fingerprints than this is linked by the exact detour of ``_linked_by_halfway`` instead.
-MAX_MEMBERS = 262_144
+MAX_MEMBERS = 65_536
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -49,17 +49,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """(*keep, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(0)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps)], [*keep, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("text", *keep).mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def block_masks(bits: int = BITS, blocks: int = BLOCKS) -> list[int]:
@@ -138,18 +138,19 @@ def _links_of_sorted(bits: int):
 
 
 def _linked_by_halfway(keyed: DataFrame, masks: list[int], bits: int) -> DataFrame:
-    """Exact links for keys with very many members, without comparing members: two fingerprints within ``bits`` (even) bits have a point
-    halfway, at most bits / 2 from each, that agrees with both in the key's blocks. Members meet at such points; each emits a fixed number of them."""
-    half = bits // 2
+    """Exact links for keys with very many members, without comparing members: two fingerprints within ``bits`` bits have a point at most
+    half of them (rounded down) from one and the rest (rounded up) from the other, that agrees with both in the key's blocks. Each member
+    emits a fixed number of points; at a point all are linked with the first that is near enough for any other member there."""
+    near_, far = bits // 2, bits - bits // 2
     balls = []
     for m in masks:
         free = [i for i in range(64) if not (m >> i) & 1]
-        balls.append([sum(1 << i for i in c) for n in range(half + 1) for c in combinations(free, n)])
-    signed = [[v - (1 << 64) if v >= 1 << 63 else v for v in ball] for ball in balls]
+        balls.append([(sum(1 << i for i in c), n <= near_) for n in range(far + 1) for c in combinations(free, n)])
     out = None
-    for number, ball in enumerate(signed):
-        points = keyed.filter(F.col("no") == number).select("rep", F.explode(F.transform(F.lit(ball), lambda d: d.bitwiseXOR(F.col("fp")))).alias("point"))
-        firsts = points.groupBy("point").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("point", "a")
+    for number, ball in enumerate(balls):
+        at = F.array(*[F.struct(F.lit(v - (1 << 64) if v >= 1 << 63 else v).cast("long").alias("d"), F.lit(close).alias("close")) for v, close in ball])
+        points = keyed.filter(F.col("no") == number).select("rep", F.explode(F.transform(at, lambda x: F.struct(x["d"].bitwiseXOR(F.col("fp")).alias("point"), x["close"].alias("close")))).alias("x")).select("rep", "x.*")
+        firsts = points.groupBy("point").agg(F.min(F.when(F.col("close"), F.col("rep"))).alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND a IS NOT NULL").select("point", "a")
         part = points.join(firsts, "point").filter("rep <> a").select("a", F.col("rep").alias("b"))
         out = part if out is None else out.union(part)
     return out
@@ -202,21 +203,32 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
+def classes(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, component_id) of the fingerprints of ``nodes`` (node, fp; at rest): the smallest node reachable; null where none has a node."""
+    reps = cut(nodes.groupBy("fp").agg(F.min("node").cast("long").alias("rep")), "classes")
+    with batch_rows(nodes.sparkSession, 8192):  # short rows
+        comp = components(close_links(reps.filter("rep IS NOT NULL"), bits, blocks))
+    return cut(reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "components")
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fp, component_id): per row of ``docs`` the smallest doc_id reachable over links of at most ``bits`` differing bits."""
     fps = cut(fingerprints(docs), "fingerprints")
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")), "classes")
-    with batch_rows(docs.sparkSession, 8192):  # short rows
-        comp = components(close_links(reps.filter("rep IS NOT NULL"), bits, blocks))
-    classes = cut(reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "components")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes(fps.select(F.col("doc_id").alias("node"), "fp"), bits, blocks), "fp").select("doc_id", "fp", "component_id")
+
 
+def deduplicate(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """One row of each component, all columns as they were: that with the smallest doc_id, of several such the first.
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, all columns as they were; rows with a null doc_id have no class and stay."""
-    keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    Rows are judged by their own number, not their doc_id: rows that share an id but not their text stay apart, and rows with a null id are
+    grouped like any other (an id goes before none). Empty and null texts are one group.
+    """
+    rows, _ = numbered(docs, "documents")
+    fps = cut(fingerprints(rows, [ROW, "doc_id"]), "fingerprints")
+    found = fps.join(classes(fps.select(F.col(ROW).alias("node"), "fp"), bits, blocks), "fp").select(ROW, "doc_id", "component_id")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias("first"))
+    gone = cut(found.join(first, "component_id").filter(F.col(ROW) != F.col("first")).select(ROW), "gone")
+    return by_row(rows, gone, "left_anti").select(*docs.columns)
 
 
 def hexed(fp: str = "fp"):
