@@ -10,18 +10,22 @@ Pieces are dealt into groups of about ``GROUP`` by a hash of their running numbe
 however often one document is repeated; a group packs to within about one sequence of the least possible, and no task ever holds more
 than a group's lengths.
 
-Nulls: a null text is an empty one: its one piece is the end id. A null doc_id is packed like any other.
+The search is bounded by ``NODES`` fillings tried in a group; when they are used up the best packing so far stands (never worse than best
+fit); at each step the 8 best of the fillings found in 512 looks, at most 16 lengths wide, are tried. A filling is applied as often as it fits, or once where that would waste more than can be afforded.
+
+Nulls: a null text is an empty one: its one piece is the end id. A null doc_id is packed like any other. A special token that stands in a
+text literally gets its id, as the plain tokenizer gives it.
 """
 
 from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,16 +34,18 @@ from pyspark.sql import functions as F
 from weft.llm.common import cut, small_batches
 
 CAPACITY, END, GROUP, NODES = 2048, 0, 32_768, 20_000
-MAX_CACHE = 500_000
+#: Bytes (as estimated) of pieces that an encoder remembers in each of two generations.
+CACHE_BYTES = 24 << 20
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and ignores case, so what stands between ASCII white space is encoded by itself and remembered: at
-    most 2 * MAX_CACHE pieces, of which those not met since the last MAX_CACHE new ones are forgotten. A letter and a mark after it are
+    most twice CACHE_BYTES of pieces, of which those not met since the last CACHE_BYTES of new ones are forgotten. A letter and a mark after it are
     never in one token, so marks are split off first. New pieces are encoded many at a time: letters alone are one word, whose last id
-    is a word end; between others stands a lone 0, whose id no piece without a 0 can give.
+    is a word end; between others stands a lone 0, whose id no piece without a 0 can give. Texts that hold a special token are split
+    there first, as the tokenizer itself does.
     """
 
     def __init__(self, path: str):
@@ -47,13 +53,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self.marks = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
+        self.tok.encode_special_tokens = True  # what is left between special tokens holds none
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         (self.zero,) = self._encode("0").tolist()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -94,9 +104,23 @@ class Encoder:
         odd = set(wide)
         self._others([w for w, _ in rest if w not in odd and b"0" not in w])
         self.known.update((w, self._encode(t).tobytes()) for w, t in rest if b"0" in w)
+        self.size += sum(180 + len(w) + len(self.known[w]) for w in new)  # two objects and their place in the table, besides the bytes
 
     def encode(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
-        """(all ids one after another, offsets of each text in ids). Texts are split and their pieces numbered by Arrow, so that only
+        """(all ids one after another, offsets of each text in ids)."""
+        marked = pc.match_substring_regex(texts, self.marks).to_numpy(zero_copy_only=False) if self.marks else np.zeros(len(texts), bool)
+        if not marked.any():
+            return self._plain(texts)
+        raw, ends = self._plain(pc.if_else(pa.array(marked), "", texts))
+        parts, lengths, done = [], np.diff(ends), 0
+        for i in np.flatnonzero(marked).tolist():
+            own = [self.special[p] if p in self.special else self._plain(pa.array([p], pa.large_string()))[0] for p in re.split(f"({self.marks})", texts[i].as_py())]
+            parts += [raw[4 * done : 4 * int(ends[i])], *own]
+            done, lengths[i] = int(ends[i]), sum(map(len, own)) // 4
+        return b"".join([*parts, raw[4 * done :]]), np.concatenate([[0], np.cumsum(lengths)])
+
+    def _plain(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The same for texts without special tokens. Texts are split and their pieces numbered by Arrow, so that only
         distinct pieces are looked up; the ids are then gathered by number."""
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([[:punct:]])", r"\1 \2"))
         coded = lists.flatten().dictionary_encode()
@@ -104,8 +128,8 @@ class Encoder:
         if new := set(words).difference(self.known):
             self._learn(new)
         own = list(map(self.known.__getitem__, words))
-        if len(self.known) > MAX_CACHE:
-            self.known, self.older = {}, self.known
+        if self.size > CACHE_BYTES:
+            self.known, self.older, self.size = {}, self.known, 0
         size = np.fromiter(map(len, own), np.int64, len(own)) // 4
         start = np.cumsum(size) - size
         at = coded.indices.to_numpy(zero_copy_only=False)
@@ -268,7 +292,7 @@ def pack_lengths(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODE
             top = int(at[-1])
             state = state.copy()
             state[top] -= 1
-            return fillings(state, capacity - top, 8 if len(at) < 400 else 2), state, top, wasted
+            return fillings(state, capacity - top, 8), state, top, wasted
 
         state, wasted = left, waste
         while True:
@@ -342,11 +366,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id bigint, offset bigint"
     names = parts.columns
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seq, off = place(pdf["length"].to_numpy(np.int64), capacity)
-        return pdf[names].assign(sequence_id=seq + (int(key[0]) << 32), offset=off)
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        seq, off = place(part["length"].to_numpy().astype(np.int64), capacity)
+        return part.select(names).append_column("sequence_id", pa.array(seq + (key[0].as_py() << 32))).append_column("offset", pa.array(off))
 
-    return dealt.groupBy("__g").applyInPandas(run, schema)
+    return dealt.groupBy("__g").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
