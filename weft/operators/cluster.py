@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.core import degrees, nodes, ranked, symmetric
+from weft.operators.randgraph import drawn
 from weft.operators.rest import cut
 
 #: A cluster of at most so many nodes is split to the end by one task; larger ones level by level.
@@ -21,7 +22,7 @@ LOCAL = 2_000
 def random_tree(edges: DataFrame, seed: int = 0) -> DataFrame:
     """Halving in a seeded random order: a leaf's path is the binary prefix of its rank, so the tree is arithmetic on ranks."""
     ids = nodes(edges)
-    order = ranked(ids.withColumn("__h", F.xxhash64("id", F.lit(seed)).bitwiseAND((1 << 62) - 1)), "__h").select("id", "rank")
+    order = ranked(ids.withColumn("__h", drawn(seed, "id", digits=15)), "__h").select("id", "rank")
     n = order.count()
     levels = max(1, (n - 1).bit_length()) if n > 1 else 1
     # a path at depth k is rank * 2^k // n': halves of equal size up to one

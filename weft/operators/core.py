@@ -55,18 +55,18 @@ def relabel(edges: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
-    """Add ``rank`` from 0 in order of ``key`` (distinct integers): keys are dealt to equal-width ranges, whose sizes come to the driver."""
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
+    """Add ``rank`` from 0 in order of ``key`` (distinct integers): keys are dealt to ranges of about equal numbers of keys (quantiles, so an
+    outlier changes nothing), whose sizes come to the driver."""
+    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
+    if not cuts:
         return df.withColumn("rank", F.lit(None).cast("long"))
-    width = max(1, -(-(hi - lo + 1) // parts))
-    placed = df.withColumn("__b", F.floor((F.col(key) - lo) / width).cast("long"))
+    placed = df.withColumn("__b", F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(key))))
     sizes = {r["__b"]: r["count"] for r in placed.groupBy("__b").count().collect()}
     start, rows = 0, []
     for b in sorted(sizes):
         rows.append((b, start))
         start += sizes[b]
-    offsets = df.sparkSession.createDataFrame(rows, "__b long, __o long")
+    offsets = df.sparkSession.createDataFrame(rows, "__b int, __o long")
     w = Window.partitionBy("__b").orderBy(key)
     return placed.join(F.broadcast(offsets), "__b").withColumn("rank", F.row_number().over(w) - 1 + F.col("__o")).drop("__b", "__o")
 

@@ -23,9 +23,16 @@ def log_normal_pdf(spark: SparkSession, top: int, alpha: float, beta: float) ->
     return x.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy()))
 
 
+def drawn(seed: int, *cols, digits: int = 13) -> Column:
+    """An integer of so many hexadecimal digits (15 at most) from the columns and the seed alone: the same row draws the same number in any run and
+    any engine (MD5 of the values and the seed, joined by commas)."""
+    values = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return F.conv(F.left(F.md5(F.concat_ws(",", *[c.cast("string") for c in values], F.lit(str(seed)))), F.lit(digits)), 16, 10).cast("bigint")
+
+
 def uniform(seed: int, *cols) -> Column:
-    """A number in [0, 1) that depends on the columns and the seed alone: the same row draws the same number in any run."""
-    return (F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11)).cast("double") / float(1 << 53)
+    """A number in [0, 1), see ``drawn``."""
+    return drawn(seed, *cols).cast("double") / float(1 << 52)
 
 
 def pick(cum: list[float], r: Column) -> Column:

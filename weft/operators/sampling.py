@@ -68,9 +68,9 @@ def sampled_clustering(edges: DataFrame, per_bin: int = 1000, seed: int = 0) ->
     a = F.floor(uniform(seed + 2, "bin", "i") * F.col("deg"))
     b = F.floor(uniform(seed + 3, "bin", "i") * (F.col("deg") - 1))
     picked = picked.withColumn("a", a).withColumn("b", F.when(b >= F.col("a"), b + 1).otherwise(b))
-    s = symmetric(edges.filter("u <> v")).select("u", "v").withColumn("h", F.xxhash64("u", "v", F.lit(seed)))
-    near = picked.join(s, picked["id"] == s["u"]).groupBy("bin", "i", "a", "b").agg(F.array_sort(F.collect_list(F.struct("h", "v"))).alias("nb"))  # a node's neighbours: as many as its degree
-    two = near.select("bin", F.get("nb", F.col("a").cast("int"))["v"].alias("x"), F.get("nb", F.col("b").cast("int"))["v"].alias("y"))
+    s = symmetric(edges.filter("u <> v")).select("u", "v")
+    near = picked.join(s, picked["id"] == s["u"]).groupBy("bin", "i", "a", "b").agg(F.array_sort(F.collect_list("v")).alias("nb"))  # a node's neighbours: as many as its degree
+    two = near.select("bin", F.get("nb", F.col("a").cast("int")).alias("x"), F.get("nb", F.col("b").cast("int")).alias("y"))
     closed = two.join(edges.select("u", "v", F.lit(1).alias("hit")), (F.least("x", "y") == F.col("u")) & (F.greatest("x", "y") == F.col("v")), "left")
     return closed.groupBy("bin").agg(F.count(F.lit(1)).alias("samples"), F.avg(F.coalesce("hit", F.lit(0))).alias("cd"))
 

@@ -334,7 +334,7 @@ def match_cost(a: tuple[list[str], list[tuple[int, int, str, bool]]], b: tuple[l
 
 
 def recursive(instances: DataFrame, e: DataFrame) -> DataFrame:
-    """(canon, label, group, vs): instances of one substructure joined through edges of one label, as connected groups.
+    """(canon, label, group, vs): instances of one substructure joined through edges of one label, as connected groups (named by their smallest vertex).
 
     Instances that share an edge of the label are linked (through the edge's ends), and links of each (substructure, label) are joined into components.
     """
@@ -349,7 +349,8 @@ def recursive(instances: DataFrame, e: DataFrame) -> DataFrame:
     comp = components(links.select(named("i1").alias("u"), named("i2").alias("v"), F.lit(1).cast("long").alias("w")))
     ends = links.select("canon", "label", F.explode(F.array("i1", "i2")).alias("iid")).distinct().withColumn("id", named("iid"))
     g = ends.join(comp, "id").join(i.select("iid", "vs"), "iid")
-    return g.groupBy("canon", "label", F.col("component").alias("group")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))).alias("vs"))
+    whole = g.groupBy("canon", "label", "component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))).alias("vs"))
+    return whole.select("canon", "label", F.array_min("vs").alias("group"), "vs")
 
 
 def overlaps(instances: DataFrame) -> DataFrame:

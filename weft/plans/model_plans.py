@@ -6,8 +6,15 @@ from pyspark.sql import functions as F
 
 from weft.operators import cluster, compare, core, grammar, iterate, motifs, randgraph, summary
 from weft.operators.rest import cut
-from weft.plans.registry import query
+from weft.plans import mdl_plans
+from weft.plans.registry import SQL, query
+from weft.plans.structure import DEG, SYM
 from weft.sources import views
+from weft.sources.views import PARTS, PARTS45, PARTS_SQL, draw_sql, uniform_sql
+
+
+_LCC = f"""WITH RECURSIVE {PARTS45}, {SYM}, n0 AS (SELECT u AS id FROM g UNION SELECT v FROM g), r AS (SELECT id, id AS c FROM n0 UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.id WHERE r.c < s.v),
+comp AS (SELECT id, min(c) AS component FROM r GROUP BY id), size AS (SELECT component, count(*) AS n FROM comp GROUP BY 1), m AS (SELECT id FROM comp WHERE component = (SELECT component FROM size ORDER BY n DESC, component LIMIT 1))"""
 
 
 def connected(spark, d, least=45):
@@ -47,9 +54,17 @@ def grammar_cost(spark, d):
     return rules.agg(F.round(F.sum("cost"), 6).alias("cost"), F.count(F.lit(1)).alias("rules"), F.sum("freq").alias("steps"))
 
 
-@query()
+_TREE = f"""{_LCC}, i AS (SELECT id, row_number() OVER (ORDER BY {draw_sql(1, 'id', digits=15)}) - 1 AS r, count(*) OVER () AS n FROM m),
+p AS (SELECT id, k AS level, CAST(floor(r * (1::BIGINT << k) / CAST(n AS DOUBLE)) AS BIGINT) AS c FROM i, LATERAL (SELECT unnest(range(0, CAST(floor(log2(greatest(n - 1, 1))) AS BIGINT) + 2)) AS k)),
+z AS (SELECT *, count(*) OVER (PARTITION BY level, c) AS n FROM p),
+up AS (SELECT *, lag(c) OVER o AS prev, lag(n) OVER o AS pn, max(level) OVER (PARTITION BY id) AS deep FROM z WINDOW o AS (PARTITION BY id ORDER BY level))"""
+
+
+@query(f"""{_TREE} SELECT level || '/' || c AS tnode, CASE WHEN level > 0 THEN (level - 1) || '/' || min(prev) END AS parent, level, false AS is_leaf, CAST(NULL AS BIGINT) AS id FROM up WHERE n > 1 GROUP BY level, c
+UNION ALL SELECT '=' || id, CASE WHEN level > 0 THEN (level - 1) || '/' || prev END, level, true, id FROM up WHERE n = 1 AND (pn IS NULL OR pn > 1)
+UNION ALL SELECT '=' || id, level || '/' || c, level + 1, true, id FROM up WHERE level = deep AND n > 1""")
 def random_tree(spark, d):
-    return cluster.paths_to_tree(cluster.random_tree(connected(spark, d), seed=1))
+    return cluster.paths_to_tree(cluster.random_tree(connected(spark, d), seed=1)).withColumn("level", F.col("level").cast("long"))
 
 
 @query()
@@ -90,14 +105,23 @@ def deltacon0(spark, d):
     return spark.createDataFrame([(compare.deltacon0(a, b),)], "deltacon0 double")
 
 
-@query()
+_RHO = f"{mdl_plans._ORB_SQL} SELECT " + ", ".join(f"coalesce(CASE WHEN isnan(corr(o{i}, o{j})) THEN 1.0 ELSE corr(o{i}, o{j}) END, 1.0) AS r{i}_{j}" for i in range(15) for j in range(i + 1, 15)) + " FROM rk"
+_AT45 = lambda sql: sql.replace(PARTS, PARTS45)
+
+
+@query(f"SELECT round(sqrt(2 * ({' + '.join(f'pow(a.r{i}_{j} - b.r{i}_{j}, 2)' for i in range(15) for j in range(i + 1, 15))})), 6) AS gcd FROM ({_RHO}) a, ({_AT45(_RHO)}) b")
 def graphlet_correlation_distance(spark, d):
-    return compare.graphlet_correlation_distance(motifs.orbits(views.parts(spark, d)), motifs.orbits(views.parts(spark, d, 45)))
+    got = compare.graphlet_correlation_distance(motifs.orbits(cut(views.parts(spark, d), "view")), motifs.orbits(cut(views.parts(spark, d, 45), "view")))
+    return got.withColumn("gcd", F.round("gcd", 6))
 
 
-@query()
+_G = ["triangle", "path3", "clique4", "chordal4", "tailed", "cycle4", "star3", "path4"]
+_GS = lambda t: {c: f"ln(({t}.{c} + 1) / CAST({' + '.join(f'{t}.{x}' for x in _G)} AS DOUBLE))" for c in _G}
+
+
+@query(f"SELECT round({' + '.join(f'abs({_GS("a")[c]} - {_GS("b")[c]})' for c in _G)}, 9) AS rgf FROM ({SQL['graphlet_totals']}) a, ({_AT45(SQL['graphlet_totals'])}) b")
 def relative_graphlet_distance(spark, d):
-    return compare.relative_graphlet_distance(motifs.graphlet_totals(views.parts(spark, d)), motifs.graphlet_totals(views.parts(spark, d, 45)))
+    return compare.relative_graphlet_distance(motifs.graphlet_totals(cut(views.parts(spark, d), "view")), motifs.graphlet_totals(cut(views.parts(spark, d, 45), "view"))).withColumn("rgf", F.round("rgf", 9))
 
 
 @query()
@@ -105,22 +129,32 @@ def barabasi_albert(spark, d):
     return randgraph.barabasi_albert(spark, 1000, 2)
 
 
-@query()
+@query(f"""WITH {PARTS}, {DEG}, x AS (SELECT id, deg, sum(deg) OVER (ORDER BY id) AS hi, sum(deg) OVER () AS total FROM d), sl AS (SELECT id, unnest(range(CAST(hi - deg AS BIGINT), CAST(hi AS BIGINT))) AS slot FROM x),
+dr AS (SELECT id, (SELECT max(total) FROM x) AS total FROM (SELECT unnest(range(0, CAST((SELECT max(total) FROM x) // 2 AS BIGINT))) AS id)),
+pr AS (SELECT CAST(floor({uniform_sql(1, 'id', 0)} * total) AS BIGINT) AS s, CAST(floor({uniform_sql(1, 'id', 1)} * total) AS BIGINT) AS t FROM dr)
+SELECT DISTINCT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v, CAST(1 AS BIGINT) AS w FROM pr JOIN sl a ON a.slot = pr.s JOIN sl b ON b.slot = pr.t WHERE a.id <> b.id""")
 def chung_lu(spark, d):
     return randgraph.chung_lu(core.degrees(views.parts(spark, d)))
 
 
-@query()
+_CELL = "CASE WHEN {0} = 0 AND {1} = 0 THEN 0.9::DOUBLE WHEN {0} <> {1} THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END"
+
+
+@query(f"SELECT CAST(i AS BIGINT) AS u, CAST(j AS BIGINT) AS v, CAST(1 AS BIGINT) AS w FROM (SELECT unnest(range(0, 256)) AS i), (SELECT unnest(range(0, 256)) AS j) WHERE i < j AND {uniform_sql(1, 'i', 'j')} < " + " * ".join(_CELL.format(f"((i >> {b}) & 1)", f"((j >> {b}) & 1)") for b in range(8)))
 def kronecker(spark, d):
     return randgraph.kronecker(spark, [[0.9, 0.5], [0.5, 0.2]], 8)
 
 
-@query()
+_TWO = [float(x) for x in (0.9 / 2.1, 0.9 / 2.1 + 0.5 / 2.1, 0.9 / 2.1 + 0.5 / 2.1 + 0.5 / 2.1)]
+_FAST = [f"CAST({' + '.join(f'(CASE WHEN {uniform_sql(1, "id", b)} >= {t!r}::DOUBLE THEN 1 ELSE 0 END)' for t in _TWO)} AS BIGINT)" for b in range(10)]
+
+
+@query(f"WITH x AS (SELECT id, {', '.join(f'{c} AS c{b}' for b, c in enumerate(_FAST))} FROM (SELECT unnest(range(0, 50000)) AS id)), e AS (SELECT {' + '.join(f'c{b} // 2 * {1 << b}' for b in range(10))} AS u, {' + '.join(f'c{b} % 2 * {1 << b}' for b in range(10))} AS v, min(id) AS id FROM x GROUP BY 1, 2) SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, CAST(1 AS BIGINT) AS w FROM e ORDER BY e.id LIMIT {int(2.1**10)}")
 def kronecker_fast(spark, d):
     return randgraph.kronecker_fast(spark, [[0.9, 0.5], [0.5, 0.2]], 10)
 
 
-@query()
+@query(f"WITH x AS (SELECT CAST(d AS BIGINT) AS d, pow(d, -2.5) AS p FROM (SELECT unnest(range(1, 101)) AS d)), c AS (SELECT d, sum(p / s) OVER (ORDER BY d) AS hi FROM (SELECT d, p, sum(p) OVER () AS s FROM x)), r AS (SELECT id, {uniform_sql(0, 'id')} * (SELECT max(hi) FROM c) AS r FROM (SELECT unnest(range(0, 10000)) AS id)), k AS (SELECT id, 1 + count(c.d) AS d FROM r LEFT JOIN c ON c.hi <= r.r AND c.d < 100 GROUP BY id) SELECT CAST(d AS BIGINT) AS d, CAST(count(*) AS BIGINT) AS cnt FROM k GROUP BY d")
 def sampled_degrees(spark, d):
     return randgraph.sample_degrees(randgraph.power_law_pdf(spark, 100, 2.5), 10_000)
 
@@ -143,9 +177,6 @@ def vog_greedy(spark, d):
 
 
 _CC = """r AS (SELECT id, id AS c FROM n UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.id WHERE r.c < s.v), comp AS (SELECT id, min(c) AS component FROM r GROUP BY id)"""
-from weft.plans.structure import DEG, SYM  # noqa: E402
-from weft.sources.views import PARTS_SQL  # noqa: E402
-
 _PROFILE = f"WITH RECURSIVE {PARTS_SQL.format(least=48)}, {SYM}, n AS (SELECT u AS id FROM g UNION SELECT v FROM g), {_CC}, {DEG}, p AS (SELECT component, count(*) AS n, sum(deg) // 2 AS m, max(deg) AS top, count(*) FILTER (deg = 1) AS ones FROM comp JOIN d USING (id) GROUP BY 1)"
 
 

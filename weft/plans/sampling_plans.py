@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from weft.operators import compare, core, grammar, sampling, substructure, summary, temporal
 from weft.operators.rest import cut
-from weft.plans.registry import query
-from weft.plans.structure import DEG
+from weft.plans import temporal_plans
+from weft.plans.registry import SQL, query
+from weft.plans.structure import DEG, SYM
 from weft.sources import views
-from weft.sources.views import LABELLED, PARTS, PARTS45, SUPPLIERS
+from weft.sources.views import LABELLED, PARTS, PARTS45, SUPPLIERS, uniform_sql
 
 _RANK = "((s * 4 + {0} + 1) * 1103515245 + 12345) % 2147483648 % (SELECT count(*) FROM i)"
 
@@ -25,12 +26,25 @@ def subgraph_census(spark, d):
     return sampling.census(views.suppliers(spark, d).filter("w >= 26"), 20_000)
 
 
-@query()
+_R = uniform_sql(0, "bin", "i")
+
+
+@query(f"""WITH {PARTS}, {DEG}, {SYM}, x AS (SELECT id, deg, CAST(floor(log2(deg) + 1e-9) AS BIGINT) + 1 AS bin FROM d WHERE deg >= 2),
+h AS (SELECT *, sum(wedges) OVER (PARTITION BY bin ORDER BY deg) AS hi, sum(wedges) OVER (PARTITION BY bin) AS a FROM (SELECT bin, deg, count(*) AS n, count(*) * deg * (deg - 1) / 2 AS wedges FROM x GROUP BY bin, deg)),
+dr AS (SELECT * FROM (SELECT h.*, unnest(range(1, CAST(least(a, 500) AS BIGINT) + 1)) AS i FROM h) WHERE {_R} * a < hi AND {_R} * a >= hi - wedges),
+o AS (SELECT id, deg, row_number() OVER (PARTITION BY deg ORDER BY id % 64, id) - 1 AS k FROM x),
+p AS (SELECT bin, i, id, CAST(floor({uniform_sql(2, 'bin', 'i')} * deg) AS BIGINT) AS x1, CAST(floor({uniform_sql(3, 'bin', 'i')} * (deg - 1)) AS BIGINT) AS y1 FROM dr JOIN o USING (deg) WHERE k = CAST(floor({uniform_sql(1, 'bin', 'i')} * n) AS BIGINT)),
+nb AS (SELECT u, list(v ORDER BY v) AS l FROM s GROUP BY u),
+t AS (SELECT bin, l[x1 + 1] AS x, l[CASE WHEN y1 >= x1 THEN y1 + 1 ELSE y1 END + 1] AS y FROM p JOIN nb ON nb.u = p.id)
+SELECT bin, CAST(count(*) AS BIGINT) AS samples, round(avg(CASE WHEN g.u IS NULL THEN 0 ELSE 1 END), 9) AS cd FROM t LEFT JOIN g ON g.u = least(x, y) AND g.v = greatest(x, y) GROUP BY bin""")
 def wedge_sampled_clustering(spark, d):
-    return sampling.sampled_clustering(views.parts(spark, d), 500)
+    return sampling.sampled_clustering(views.parts(spark, d), 500).select(F.col("bin").cast("long").alias("bin"), "samples", F.round("cd", 9).alias("cd"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {temporal_plans._B.removeprefix("WITH ")}, e AS (SELECT DISTINCT block, least(src, trg) AS u, greatest(src, trg) AS v FROM y), s2 AS (SELECT block, u, v FROM e UNION ALL SELECT block, v, u FROM e),
+c AS (SELECT block, [u, v] AS q FROM e UNION ALL SELECT c.block, list_append(c.q, s2.v) FROM c JOIN s2 ON s2.block = c.block AND s2.v > c.q[-1] AND list_contains(c.q, s2.u) GROUP BY c.block, c.q, s2.v HAVING count(*) = len(c.q)),
+w AS (SELECT DISTINCT block, q FROM (SELECT c.block, c.q, s2.v FROM c JOIN s2 ON s2.block = c.block AND list_contains(c.q, s2.u) GROUP BY c.block, c.q, s2.v HAVING count(*) = len(c.q)))
+SELECT CAST(block AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS cliques, round(avg(len(q)), 9) AS mean_size FROM (SELECT block, q FROM c EXCEPT SELECT block, q FROM w) GROUP BY block""")
 def clique_sizes_per_block(spark, d):
     return temporal.clique_sizes(views.users(spark, d)).withColumn("mean_size", F.round("mean_size", 9))
 
@@ -83,7 +97,7 @@ def rules_per_block(spark, d):
     return temporal.rules_per_block(views.users(spark, d))
 
 
-@query()
+@query(f"SELECT block, nodes, edges, total_nodes, total_edges, mean_degree FROM ({SQL['mean_degree_per_block']}) JOIN (SELECT block, nodes AS total_nodes, edges AS total_edges FROM ({SQL['cumulative_snapshots']})) USING (block)")
 def evolving_structure(spark, d):
     return temporal.evolution(views.users(spark, d)).withColumn("mean_degree", F.round("mean_degree", 9))
 
@@ -96,12 +110,12 @@ def overlapping_vertices(spark, d):
     return substructure.overlaps(pairs.select(F.lit("p").alias("canon"), F.array("v1", "v2").alias("vs"))).select("vid", "members")
 
 
-@query()
+@query(f"WITH {LABELLED}, k AS (SELECT v2, v1 FROM se JOIN sv a ON a.vid = v1 AND a.label = 'BUILDING' JOIN sv b ON b.vid = v2 AND b.label = 'nation'), m AS (SELECT v2, unnest([v1, v2]) AS vid FROM k) SELECT 'x' AS canon, 'in' AS label, min(vid) AS \"group\", string_agg(DISTINCT CAST(vid AS VARCHAR), ',' ORDER BY CAST(vid AS VARCHAR)) AS vs FROM m GROUP BY v2")
 def recursive_substructures(spark, d):
-    """Groups of customers of one segment joined through their nation."""
+    """Groups of customers of one segment joined through their nation; vertices as sorted text."""
     v, e = views.labelled(spark, d)
     i = v.filter("label = 'BUILDING' OR label = 'nation'").select(F.lit("x").alias("canon"), F.array("vid").alias("vs"))
-    return substructure.recursive(i, e)
+    return substructure.recursive(i, e).withColumn("vs", F.array_join(F.array_sort(F.transform("vs", lambda x: x.cast("string"))), ","))
 
 
 @query()

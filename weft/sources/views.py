@@ -86,3 +86,12 @@ USERS = """t AS (SELECT ts, prev AS src, user_id AS trg FROM (SELECT ts, user_id
 LABELLED = """oc AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey),
 sv AS (SELECT c_custkey * 4 AS vid, c_mktsegment AS label, CAST(c_nationkey AS BIGINT) AS example FROM customer UNION ALL SELECT o_orderkey * 4 + 1, 'order-' || o_orderstatus, CAST(c_nationkey AS BIGINT) FROM oc UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 4 + 2, 'nation', CAST(n_nationkey AS BIGINT) FROM nation),
 se AS (SELECT o_custkey * 4 AS v1, o_orderkey * 4 + 1 AS v2, o_orderpriority AS label, true AS directed FROM oc UNION ALL SELECT c_custkey * 4, CAST(c_nationkey AS BIGINT) * 4 + 2, 'in', false FROM customer)"""
+
+
+def draw_sql(seed: object, *cols: object, digits: int = 13) -> str:
+    """The SQL of ``randgraph.drawn``."""
+    return f"CAST('0x' || left(md5(concat_ws(',', {', '.join(map(str, cols))}, {seed})), {digits}) AS BIGINT)"
+
+
+def uniform_sql(seed: object, *cols: object) -> str:
+    return f"({draw_sql(seed, *cols)} / 4503599627370496.0::DOUBLE)"
