@@ -314,18 +314,13 @@ def cophenetic(merges: np.ndarray, n: int) -> np.ndarray:
     return c
 
 
-def embedding_tree(vectors: DataFrame, most: int = LOCAL) -> DataFrame:
-    """(id, path): the agglomerative tree, over all linkage methods, with the best cophenetic correlation; at most ``most`` nodes (checked)."""
-    if vectors.count() > most:
-        raise ValueError(f"linkage is limited to {most} nodes")
-    pdf = vectors.orderBy("id").toPandas()
-    ids, x = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist())
+def linkage_paths(ids: np.ndarray, x: np.ndarray) -> dict[int, list[int]]:
+    """The path of each id in the agglomerative tree, over all linkage methods, with the best cophenetic correlation; it ends on the id."""
     n = len(ids)
-    spark = vectors.sparkSession
     if n < 3:
-        return spark.createDataFrame([(int(i), [0, int(i)]) for i in ids], "id bigint, path array<bigint>")
+        return {int(i): [0, int(i)] for i in ids}
     up = np.triu_indices(n, 1)
-    base = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))[up]
+    base = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))[up] if n <= 256 else np.concatenate([np.sqrt(((x[i + 1 :] - x[i]) ** 2).sum(axis=1)) for i in range(n - 1)])
     best = max((linkage(x, m) for m in METHODS), key=lambda z: np.nan_to_num(np.corrcoef(base, cophenetic(z, n)[up])[0, 1], nan=-1))
     kids = {n + k: (int(a), int(b)) for k, (a, b, *_) in enumerate(best)}
     paths: dict[int, list[int]] = {}
@@ -333,7 +328,67 @@ def embedding_tree(vectors: DataFrame, most: int = LOCAL) -> DataFrame:
     while stack:
         t, path = stack.pop()
         if t < n:
-            paths[t] = [*path, int(ids[t])]
+            paths[int(ids[t])] = [*path, int(ids[t])]
         else:
             stack += [(c, [*path, t]) for c in kids[t]]
-    return spark.createDataFrame([(int(ids[t]), p) for t, p in sorted(paths.items())], "id bigint, path array<bigint>")
+    return paths
+
+
+def cells(vectors: DataFrame, most: int) -> DataFrame:
+    """(id, vec, cell): vectors dealt to cells of at most ``most`` by k-means, again within a cell that is too large; equal vectors are dealt by id."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    done, left = None, cut(vectors.select("id", "vec", F.lit(0).cast("long").alias("cell")), "cells")
+    used = 1
+    while n := left.count():
+        parts = []
+        for r in left.groupBy("cell").count().collect():  # at most a cell for every `most` nodes
+            own = left.filter(F.col("cell") == r["cell"])
+            k = max(2, -(-2 * r["count"] // most))
+            fitted = KMeans(k=k, maxIter=10, seed=1, featuresCol="f").fit(own.withColumn("f", array_to_vector("vec")))
+            got = fitted.transform(own.withColumn("f", array_to_vector("vec")))
+            if len(fitted.clusterCenters()) < 2:  # nothing to tell them apart
+                got = got.withColumn("prediction", F.pmod("id", F.lit(k)))
+            parts.append(got.select("id", "vec", (F.col("prediction") + used).cast("long").alias("cell")))
+            used += k
+        dealt = parts[0]
+        for p in parts[1:]:
+            dealt = dealt.union(p)
+        dealt = cut(dealt, "cells")
+        big = dealt.groupBy("cell").count().filter(F.col("count") > most).select("cell")
+        fits = dealt.join(F.broadcast(big), "cell", "left_anti").select("id", "vec", "cell")  # at most a row for every `most` nodes
+        done = fits if done is None else done.union(fits)
+        left = cut(dealt.join(F.broadcast(big), "cell", "left_semi").select("id", "vec", "cell"), "cells")
+        if left.count() == n and used > 4 * n:
+            raise RuntimeError("cells don't get smaller")
+    return cut(done, "cells")
+
+
+def embedding_tree(vectors: DataFrame, most: int = LOCAL) -> DataFrame:
+    """(id, path): the agglomerative tree with the best cophenetic correlation over all linkage methods.
+
+    Up to ``most`` nodes it is one tree. More are dealt to cells of near vectors first: each cell's tree is made in a task of its own, and the
+    tree of the cells' means (as many as ``most``, checked) stands on top.
+    """
+    spark, schema = vectors.sparkSession, "id bigint, path array<bigint>"
+    if vectors.count() <= most:
+        pdf = vectors.orderBy("id").toPandas()
+        paths = linkage_paths(pdf["id"].to_numpy(), np.array(pdf["vec"].tolist()))
+        return spark.createDataFrame(sorted(paths.items()), schema)
+    dealt = cells(vectors, most)
+    size = len(dealt.first()["vec"])
+    means = dealt.groupBy("cell").agg(F.array(*[F.avg(F.element_at("vec", i + 1)) for i in range(size)]).alias("vec")).orderBy("cell").limit(most + 1).collect()
+    if len(means) > most:
+        raise ValueError(f"over {most} cells")
+    top = linkage_paths(np.array([r["cell"] for r in means]), np.array([r["vec"] for r in means]))
+    ends = sorted((c, p[:-1]) for c, p in top.items())
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        got = sorted(linkage_paths(pdf["id"].to_numpy(), np.array(pdf["vec"].tolist())).items())
+        # cells are named by negative numbers, so no name meets one of another level's
+        return pd.DataFrame({"cell": int(key[0]), "id": [i for i, _ in got], "tail": [[-int(key[0]), *p[1:]] if len(p) > 2 or len(got) > 1 else [i] for i, p in got]})
+
+    tails = dealt.groupBy("cell").applyInPandas(run, "cell bigint, id bigint, tail array<bigint>")
+    return tails.join(F.broadcast(spark.createDataFrame(ends, "cell bigint, top array<bigint>")), "cell").select("id", F.concat("top", "tail").alias("path"))  # at most `most` rows

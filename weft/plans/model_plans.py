@@ -96,13 +96,13 @@ def node2vec_tree(spark, d):
 @query()
 def lambda_dist(spark, d):
     a, b = views.parts(spark, d, 45), views.parts(spark, d, 48)
-    return spark.createDataFrame([(compare.lambda_distance(a, b),)], "lambda_dist double")
+    return spark.createDataFrame([(compare.lambda_distance(cut(a, "view"), cut(b, "view")),)], "lambda_dist double")
 
 
 @query()
 def deltacon0(spark, d):
     a, b = views.parts(spark, d, 45), views.parts(spark, d, 48)
-    return spark.createDataFrame([(compare.deltacon0(a, b),)], "deltacon0 double")
+    return spark.createDataFrame([(compare.deltacon0(cut(a, "view"), cut(b, "view")),)], "deltacon0 double")
 
 
 _RHO = f"{mdl_plans._ORB_SQL} SELECT " + ", ".join(f"coalesce(CASE WHEN isnan(corr(o{i}, o{j})) THEN 1.0 ELSE corr(o{i}, o{j}) END, 1.0) AS r{i}_{j}" for i in range(15) for j in range(i + 1, 15)) + " FROM rk"
