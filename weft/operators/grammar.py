@@ -13,13 +13,13 @@ import heapq
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.forms import least_order
 from weft.operators.rest import cut
 
 #: Schedules are made on the driver from one row per tree node: at most so many.
@@ -196,47 +196,18 @@ def rules_from_schedule(edges: DataFrame, tree: Tree, steps: list[tuple[int, lis
     return r.select(F.col("k").alias("step"), "lhs", "level", "rhs_nodes", F.coalesce("rhs_edges", none).alias("rhs_edges"))
 
 
-def canonical_form(nodes: list[tuple], edges: list[tuple], most: int = 5_000) -> str:
-    """A string that two right-hand sides share iff some bijection keeps labels and weights (boundary degrees don't count).
-
-    Colours are refined by neighbours' colours and weights; what they leave open is tried out by permutation. If that would be over
-    ``most`` orders, the refined colours alone are used and marked with a star (equal forms are then only likely isomorphic).
-    """
+def canonical_form(nodes: list[tuple], edges: list[tuple]) -> str:
+    """A string that two right-hand sides share iff some bijection keeps labels and weights (boundary degrees don't count)."""
     n = len(nodes)
     pos = {x[0]: i for i, x in enumerate(nodes)}
-    w = np.zeros((n, n), np.int64)
+    w = [[0] * n for _ in range(n)]
     for a, b, k in edges:
-        w[pos[a], pos[b]] += k
+        w[pos[a]][pos[b]] += int(k)
         if a != b:
-            w[pos[b], pos[a]] += k
-    colour = [(-1 if x[1] is None else x[1], int(w[i, i])) for i, x in enumerate(nodes)]
-    rank = {c: i for i, c in enumerate(sorted(set(colour)))}
-    c = [rank[x] for x in colour]
-    while True:
-        sig = [(c[i], tuple(sorted((c[j], int(w[i, j])) for j in range(n) if w[i, j] and j != i))) for i in range(n)]
-        rank = {s: i for i, s in enumerate(sorted(set(sig)))}
-        new = [rank[s] for s in sig]
-        if len(rank) == len(set(c)):
-            break
-        c = new
-    groups = defaultdict(list)
-    for i, x in enumerate(c):
-        groups[x].append(i)
-    orders = math.prod(math.factorial(len(g)) for g in groups.values())
-    head = ";".join(",".join(map(str, colour[groups[g][0]])) + f"*{len(groups[g])}" for g in sorted(groups))
-    if orders > most:
-        return head + "|*" + ",".join(sorted(f"{min(c[pos[a]], c[pos[b]])}-{max(c[pos[a]], c[pos[b]])}:{k}" for a, b, k in edges))
-
-    def ways(gs: list[list[int]]) -> Iterator[list[int]]:
-        if not gs:
-            yield []
-            return
-        for p in permutations(gs[0]):
-            for rest in ways(gs[1:]):
-                yield [*p, *rest]
-
-    best = min(tuple(int(w[o[i], o[j]]) for i in range(n) for j in range(i + 1, n)) for o in ways([groups[g] for g in sorted(groups)]))
-    return head + "|" + ",".join(map(str, best))
+            w[pos[b]][pos[a]] += int(k)
+    colour = [-1 if x[1] is None else x[1] for x in nodes]
+    o = least_order(colour, w)
+    return ",".join(str(colour[i]) for i in o) + "|" + ",".join(str(w[o[i]][o[j]]) for i in range(n) for j in range(i, n))
 
 
 def with_cost(rules: DataFrame, mode: str = "part") -> DataFrame:
@@ -478,8 +449,9 @@ def derive(rules: dict[int, list[dict]], upper: int, rng: np.random.Generator, m
     return [(u, v, w) for u, x in adj.items() for v, w in x.items() if u <= v], fired, len(adj)
 
 
-def generate(rules: DataFrame, target: int, graphs: int = 1, tolerance: float = 0.05, trials: int = 200, seed: int = 0, mode: str = "part") -> DataFrame:
-    """(graph, trial, n, u, v, w, rules): for each wanted graph the first trial whose order is within the tolerance.
+def generate(rules: DataFrame, target: int, graphs: int = 1, tolerance: float = 0.05, trials: int = 1_000, seed: int = 0, mode: str = "part") -> DataFrame:
+    """(graph, trial, n, u, v, w, rules): for each wanted graph the first trial whose order is within the tolerance; a graph that none of its
+    trials fits is one row whose other columns are null.
 
     Trials are numbered and independent, so they run anywhere and a repeated one gives the same graph. The grammar is sent with the function:
     a rule has at most a right-hand side of nodes, and isomorphic ones are merged. An over-large derivation counts as a trial.
@@ -498,6 +470,8 @@ def generate(rules: DataFrame, target: int, graphs: int = 1, tolerance: float =
                         e, fired, n = got
                         yield pd.DataFrame({"graph": int(g), "trial": t, "n": n, "u": [x[0] for x in e], "v": [x[1] for x in e], "w": [x[2] for x in e], "rules": [fired if i == 0 else None for i in range(len(e))]})
                         break
+                else:
+                    yield pd.DataFrame({"graph": [int(g)], "trial": [None], "n": [None], "u": [None], "v": [None], "w": [None], "rules": [None]})
 
     return rules.sparkSession.range(graphs).repartition(min(graphs, 1024), "id").mapInPandas(run, "graph bigint, trial int, n bigint, u bigint, v bigint, w bigint, rules array<bigint>")
 

@@ -9,15 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.core import degrees, symmetric
+from weft.operators.core import degrees
+from weft.operators.rest import cut
+
+
+def with_degrees(edges: DataFrame) -> DataFrame:
+    """(u, v, du, dv): each distinct pair with the degrees of its ends."""
+    d = degrees(edges).select("id", "deg")
+    return edges.filter("u <> v").select("u", "v").join(d.toDF("u", "du"), "u").join(d.toDF("v", "dv"), "v").select("u", "v", "du", "dv")
 
 
 def oriented(edges: DataFrame) -> DataFrame:
     """(a, b): each distinct pair from lower to higher degree."""
-    d = degrees(edges).select("id", "deg")
-    e = edges.filter("u <> v").select("u", "v").join(d.toDF("u", "du"), "u").join(d.toDF("v", "dv"), "v")
     low = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    return e.select(F.when(low, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("b"))
+    return with_degrees(edges).select(F.when(low, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("b"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -27,9 +32,9 @@ def triangles(edges: DataFrame) -> DataFrame:
     return wedge.join(o.toDF("y", "z"), ["y", "z"], "left_semi").select("x", "y", "z")
 
 
-def triangles_per_node(edges: DataFrame) -> DataFrame:
-    """(id, deg, tri) for every node, also those in no triangle."""
-    t = triangles(edges).select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("tri"))
+def triangles_per_node(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(id, deg, tri) for every node, also those in no triangle; ``found`` are the triangles if they are known already."""
+    t = (triangles(edges) if found is None else found).select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("tri"))
     return degrees(edges).select("id", "deg").join(t, "id", "left").select("id", "deg", F.coalesce("tri", F.lit(0)).cast("long").alias("tri"))
 
 
@@ -45,9 +50,9 @@ def global_clustering(edges: DataFrame) -> DataFrame:
     return t.withColumn("gcc", F.when(F.col("wedges") > 0, 3 * F.col("triangles") / F.col("wedges")).otherwise(0.0))
 
 
-def edge_triangles(edges: DataFrame) -> DataFrame:
-    """(u, v, t): number of triangles on each edge."""
-    tri = triangles(edges)
+def edge_triangles(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(u, v, t): number of triangles on each edge; ``found`` as above."""
+    tri = triangles(edges) if found is None else found
     pairs = tri.select(F.explode(F.array(F.struct(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), F.struct(F.least("x", "z").alias("u"), F.greatest("x", "z").alias("v")), F.struct(F.least("y", "z").alias("u"), F.greatest("y", "z").alias("v")))).alias("p")).select("p.*")
     t = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("t"))
     return edges.filter("u <> v").select("u", "v").join(t, ["u", "v"], "left").select("u", "v", F.coalesce("t", F.lit(0)).cast("long").alias("t"))
@@ -61,24 +66,41 @@ def four_cliques(edges: DataFrame) -> DataFrame:
     return t.join(t.toDF("x", "y", "q"), ["x", "y"]).filter("z <> q").join(o.toDF("z", "q"), ["z", "q"], "left_semi").select("x", "y", "z", "q")
 
 
-def codegrees(edges: DataFrame) -> DataFrame:
-    """(u, v, c): common neighbours of every pair at distance two or less, u < v. Paths are counted from their middle, whose rows are combined map-side."""
-    s = symmetric(edges.filter("u <> v")).select("u", "v")
-    return s.toDF("m", "u").join(s.toDF("m", "v"), "m").filter("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
+def high_paths(edges: DataFrame) -> DataFrame:
+    """(a, m, b): paths of two edges whose end ``a`` ranks above both others by (degree, id).
+
+    A middle node meets its neighbours only with those above it, at most sqrt(2 edges), so a hub never meets all pairs of its neighbours.
+    """
+    e = with_degrees(edges)
+    s = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("dv").alias("du"), F.col("du").alias("dv")))
+    up = s.select(F.col("u").alias("m"), F.col("v").alias("a"), F.struct(F.col("dv").alias("d"), F.col("v").alias("i")).alias("ra"), F.struct(F.col("du").alias("d"), F.col("u").alias("i")).alias("rm")).filter("rm < ra").drop("rm")
+    on = s.select(F.col("u").alias("m"), F.col("v").alias("b"), F.struct(F.col("dv").alias("d"), F.col("v").alias("i")).alias("rb"))
+    return up.join(on, "m").filter("rb < ra").select("a", "m", "b")
 
 
 def four_cycles(edges: DataFrame) -> DataFrame:
-    """(cycles): cycles of four nodes, chords allowed; each is seen from both of its diagonals."""
-    return codegrees(edges).agg((F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)) / 2).cast("long").alias("cycles"))
+    """(cycles): cycles of four nodes, chords allowed; each is seen once, from its highest node to the opposite one."""
+    c = high_paths(edges).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    return c.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).cast("long").alias("cycles"))
+
+
+def four_cycles_per_node(edges: DataFrame) -> DataFrame:
+    """(u, c4): cycles of four nodes, chords allowed, through each node that is in one."""
+    paths = cut(high_paths(edges), "paths")
+    c = cut(paths.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "opposite")
+    ends = c.select(F.explode(F.array("a", "b")).alias("u"), (F.col("c") * (F.col("c") - 1) / 2).alias("k"))
+    middles = paths.join(c, ["a", "b"]).select(F.col("m").alias("u"), (F.col("c") - 1).cast("double").alias("k"))
+    return ends.union(middles).groupBy("u").agg(F.sum("k").alias("c4"))
 
 
 def graphlet_totals(edges: DataFrame) -> DataFrame:
     """One row of induced counts of the connected graphlets of three and four nodes: triangle, path3, clique4, chordal4, tailed, cycle4, star3, path4."""
     d = degrees(edges.filter("u <> v")).select("id", "deg")
     node = d.agg(F.sum(F.col("deg") * (F.col("deg") - 1) / 2).alias("p3"), F.sum(F.col("deg") * (F.col("deg") - 1) * (F.col("deg") - 2) / 6).alias("s3"))
-    per = edge_triangles(edges).join(d.toDF("u", "du"), "u").join(d.toDF("v", "dv"), "v")
+    found = cut(triangles(edges), "triangles")
+    per = edge_triangles(edges, found).join(d.toDF("u", "du"), "u").join(d.toDF("v", "dv"), "v")
     edge = per.agg((F.sum("t") / 3).alias("tri"), F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ch"), F.sum((F.col("du") - 1) * (F.col("dv") - 1)).alias("p4raw"))
-    tailed = triangles_per_node(edges).agg(F.sum(F.col("tri") * (F.col("deg") - 2)).alias("tl"))
+    tailed = triangles_per_node(edges, found).agg(F.sum(F.col("tri") * (F.col("deg") - 2)).alias("tl"))
     k4 = four_cliques(edges).agg(F.count(F.lit(1)).alias("k4"))
     c4 = four_cycles(edges).select(F.col("cycles").alias("c4"))
     row = F.broadcast(node).join(F.broadcast(edge)).join(F.broadcast(tailed)).join(F.broadcast(k4)).join(F.broadcast(c4))  # one row each
@@ -93,12 +115,13 @@ def graphlet_totals(edges: DataFrame) -> DataFrame:
 def orbits(edges: DataFrame) -> DataFrame:
     """(id, o0..o14): for every node how often it stands in each orbit of the connected graphlets of two to four nodes.
 
-    All orbits follow from degrees, triangles per node and edge, codegrees and four-cliques, each an equi-join with a map-side sum.
+    All orbits follow from degrees, triangles per node and edge, four-cycles per node and four-cliques, each an equi-join with a map-side sum.
     """
     e = edges.filter("u <> v").select("u", "v").withColumn("w", F.lit(1).cast("long"))
     d = degrees(e).select("id", "deg")
-    tri = triangles_per_node(e).select("id", "tri")
-    et = edge_triangles(e)
+    t3 = cut(triangles(e), "triangles")
+    tri = cut(triangles_per_node(e, t3).select("id", "tri"), "per-node")
+    et = cut(edge_triangles(e, t3), "per-edge")
     s = et.select("u", "v", "t").union(et.select(F.col("v").alias("u"), F.col("u").alias("v"), "t"))
     nb = s.join(d.toDF("v", "dv"), "v").join(tri.toDF("v", "tv"), "v").groupBy("u").agg(
         F.sum(F.col("dv") - 1).alias("n1"),  # paths of two edges that start here
@@ -108,11 +131,8 @@ def orbits(edges: DataFrame) -> DataFrame:
         F.sum(F.col("t") * (F.col("dv") - 2)).alias("tdv"),
     )
     k4 = four_cliques(e).select(F.explode(F.array("x", "y", "z", "q")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("k4"))
-    cd = codegrees(e)
-    both = cd.select("u", "v", "c").union(cd.select(F.col("v").alias("u"), F.col("u").alias("v"), "c"))
-    c4 = both.groupBy("u").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("c4"))
+    c4 = four_cycles_per_node(e)
     # chordal quads where the node is off the chord: triangles (u, a, b) and edge ab in another triangle
-    t3 = triangles(e)
     opposite = t3.select(F.explode(F.array(F.struct(F.col("x").alias("n"), F.least("y", "z").alias("u"), F.greatest("y", "z").alias("v")), F.struct(F.col("y").alias("n"), F.least("x", "z").alias("u"), F.greatest("x", "z").alias("v")), F.struct(F.col("z").alias("n"), F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))).alias("p")).select("p.*")
     off = opposite.join(et, ["u", "v"]).groupBy(F.col("n").alias("u")).agg(F.sum(F.col("t") - 1).alias("off"))
     # paths u - a - b - c counted from the end and from the middle

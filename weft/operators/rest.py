@@ -51,6 +51,17 @@ def drop(path: str | None) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written() -> set[str]:
+    """Paths of the tables that are still there."""
+    return set(_written)
+
+
+def release(before: set[str], keep: str) -> None:
+    """Delete the tables that came since ``before``, but for one: once a result is at rest, nothing reads what it was made from."""
+    for path in set(_written) - before - {keep}:
+        drop(path)
+
+
 @atexit.register
 def _drop_all() -> None:
     for path in list(_written):

@@ -124,18 +124,25 @@ def dfs_order(adj: dict[int, list[int]], start: int, size: int) -> list[int]:
     return out
 
 
-def dfs_sample(edges: DataFrame, start: int, size: int, reach: int | None = None) -> DataFrame:
-    """Edges induced on the first ``size`` nodes of a depth-first walk. The walk is sequential, so it runs on the part of the graph within ``size`` hops
-    layers collected breadth-first up to ``reach`` nodes (ten times the size by default)."""
+class _Near(dict):
+    """Neighbours of nodes, fetched when the walk first asks for them."""
+
+    def __init__(self, s: DataFrame):
+        self.s = s
+
+    def __missing__(self, v: int) -> list[int]:
+        self[v] = [r["v"] for r in self.s.filter(F.col("u") == v).select("v").collect()]  # one node's neighbours
+        return self[v]
+
+
+def dfs_sample(edges: DataFrame, start: int, size: int) -> DataFrame:
+    """Edges induced on the first ``size`` nodes of a depth-first walk, smallest neighbour first. The walk is sequential, so it asks for the
+    neighbours of one node after another: a short job for each of the ``size`` nodes, over the whole graph at rest."""
     from weft.operators.core import induced
-    from weft.operators.iterate import bfs_sample
-
-    near = bfs_sample(edges, start, reach or 10 * size).select("u", "v").toPandas().to_numpy()
-    adj: dict[int, list[int]] = defaultdict(list)
-    for u, v in near.tolist():
-        adj[u].append(v)
-        adj[v].append(u)
-    ids = dfs_order(adj, start, size)
+    from weft.operators.rest import cut
+
+    s = cut(symmetric(edges.filter("u <> v")).select("u", "v").distinct(), "dfs")
+    ids = dfs_order(_Near(s), start, size)
     return induced(edges, edges.sparkSession.createDataFrame([(i,) for i in ids], "id long"))
 
 

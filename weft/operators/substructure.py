@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, permutations
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import mdl
+from weft.operators.forms import least_order
 from weft.operators.rest import cut
 
 
@@ -76,29 +77,17 @@ def find_instances(v: DataFrame, e: DataFrame, pattern_vertices: list[str], patt
 
 
 def canonical(labels: list[str], edges: list[tuple[int, int, str, bool]]) -> str:
-    """The least string over all vertex orders that keep labels sorted; equal for isomorphic labelled graphs. Patterns are small."""
+    """A string that labelled graphs share iff they are isomorphic: labels and edges in a least order of the vertices."""
     n = len(labels)
-    groups: dict[str, list[int]] = {}
-    sig = [(labels[i], tuple(sorted((lab, d, (1 if a == i else 0) if d else 2, labels[b if a == i else a]) for a, b, lab, d in edges if i in (a, b)))) for i in range(n)]
-    for i in range(n):
-        groups.setdefault(repr(sig[i]), []).append(i)
-    best = None
-
-    def ways(keys: list[str]) -> Iterator[list[int]]:
-        if not keys:
-            yield []
-            return
-        for p in permutations(groups[keys[0]]):
-            for rest in ways(keys[1:]):
-                yield [*p, *rest]
-
-    for order in ways(sorted(groups)):
-        at = {v: i for i, v in enumerate(order)}
-        rows = sorted((at[a], at[b], lab, 1) if d else (min(at[a], at[b]), max(at[a], at[b]), lab, 0) for a, b, lab, d in edges)
-        form = "|".join(labels[i] for i in order) + "#" + ";".join(f"{a}{'>' if d else '-'}{b}:{lab}" for a, b, lab, d in rows)
-        if best is None or form < best:
-            best = form
-    return best or ""
+    rel: list[list[list[tuple[str, int]]]] = [[[] for _ in range(n)] for _ in range(n)]
+    for a, b, label, directed in edges:
+        rel[a][b].append((label, 1 if directed else 0))
+        if a != b:
+            rel[b][a].append((label, -1 if directed else 0))
+    order = least_order(labels, [[sorted(x) for x in row] for row in rel])
+    at = {v: i for i, v in enumerate(order)}
+    rows = sorted((at[a], at[b], lab, 1) if d else (min(at[a], at[b]), max(at[a], at[b]), lab, 0) for a, b, lab, d in edges)
+    return "|".join(labels[i] for i in order) + "#" + ";".join(f"{a}{'>' if d else '-'}{b}:{lab}" for a, b, lab, d in rows)
 
 
 def extend(instances: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
@@ -133,14 +122,12 @@ def with_canon(instances: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def disjoint(instances: DataFrame) -> DataFrame:
-    """A maximal set of instances per substructure without a shared vertex, in instance order.
+    """A maximal set of instances per substructure without a shared vertex, in the order of their vertices and edges as text.
 
     Rounds of "no earlier rival": an instance stays if it is the first of all live ones at each of its vertices, and its rivals leave; this gives
     the same set as going through them one by one, and a popular vertex is only the key of a partial minimum.
     """
-    live = cut(instances.withColumn("iid", F.struct("vs", "es")).select("canon", "vs", "es"), "dj")
-    key = F.to_json(F.struct("vs", "es"))
-    live = cut(live.withColumn("iid", key), "dj")
+    live = cut(instances.select("canon", "vs", "es", F.to_json(F.struct("vs", "es")).alias("iid")), "dj")
     out = None
     while True:
         x = live.select("canon", "iid", F.explode("vs").alias("vid"))
@@ -156,24 +143,140 @@ def disjoint(instances: DataFrame) -> DataFrame:
         live = cut(live.join(hit, ["canon", "iid"], "left_anti"), "dj")
 
 
-def evaluate(instances: DataFrame, v: DataFrame, e: DataFrame, by: str = "size", total_examples: int | None = None) -> DataFrame:
-    """(canon, instances, examples, value) by size, setcover or mdl, from instances without overlap.
+def covered(instances: DataFrame) -> DataFrame:
+    """(canon, n, m, instances, vertices, edges): pattern size, number of instances, and distinct vertices and edges in any of them."""
+    g = instances.groupBy("canon").agg(F.count(F.lit(1)).alias("instances"), F.max(F.size("vs")).alias("n"), F.max(F.size("es")).alias("m"))
+    count = lambda c: instances.select("canon", F.explode_outer(c).alias("x")).distinct().groupBy("canon").agg(F.count("x").alias("k"))
+    return g.join(count("vs").withColumnRenamed("k", "vertices"), "canon").join(count("es").withColumnRenamed("k", "edges"), "canon")
 
-    size: graph size over pattern plus compressed size, where k instances of n vertices and m edges shrink the graph by k (n - 1) vertices and
-    k m edges. mdl: the same ratio in bits, with the vertex and edge bits of pattern and compressed graph. setcover: share of examples covered.
+
+def overlap_edges(instances: DataFrame, e: DataFrame) -> DataFrame:
+    """(canon, extra): edges that compression adds where instances share vertices: an OVERLAP edge from the first instance at the vertex to each
+    other one (a pair once), and a copy for each of those of every edge at the vertex that is in no instance."""
+    at = cut(instances.select("canon", F.struct("vs", "es").alias("iid"), F.explode("vs").alias("vid")), "at")
+    first = at.groupBy("canon", "vid").agg(F.min("iid").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    pairs = at.join(first, ["canon", "vid"]).filter(F.col("iid") != F.col("first")).select("canon", "first", "iid").distinct().groupBy("canon").agg(F.count(F.lit(1)).alias("pairs"))
+    ends = e.select(F.col("v1").alias("vid"), "eid").union(e.filter("v1 <> v2").select(F.col("v2").alias("vid"), "eid"))
+    used = instances.select("canon", F.explode("es").alias("eid")).distinct()
+    copies = first.join(ends, "vid").join(used, ["canon", "eid"], "left_anti").groupBy("canon").agg(F.sum(F.col("k") - 1).alias("copies"))
+    return pairs.join(copies, "canon", "left").select("canon", (F.col("pairs") + F.coalesce("copies", F.lit(0))).alias("extra"))
+
+
+def compressed_size(instances: DataFrame, v: DataFrame, e: DataFrame, overlap: bool) -> DataFrame:
+    """(canon, n, m, instances, size): vertices and edges of the graph once every instance is one vertex."""
+    c = covered(instances)
+    if overlap:
+        c = c.join(overlap_edges(instances, e), "canon", "left")
+    extra = F.coalesce("extra", F.lit(0)) if overlap else F.lit(0)
+    return c.select("canon", "n", "m", "instances", (F.lit(v.count() + e.count()) + F.col("instances") - F.col("vertices") - F.col("edges") + extra).alias("size"))
+
+
+def _bits(vv, ee, kk, b, mm, rb, labels: int):
+    """Description length of a labelled graph from its counts, see ``graph_mdl``."""
+    lg = math.log2(max(1, labels))
+    return F.log2(F.greatest(vv, F.lit(1))) + vv * lg + (vv + 1) * F.log2(b + 1) + rb + ee * (1 + lg) + (kk + 1) * F.log2(F.greatest(mm, F.lit(1)))
+
+
+def compressed_bits(instances: DataFrame, v: DataFrame, e: DataFrame, labels: int) -> DataFrame:
+    """(canon, n, m, instances, bits): description length of the graph once every one of the disjoint instances is one vertex, with the bits
+    that say where outer edges meet an instance.
+
+    Only rows of the adjacency matrix that an instance touches are counted anew; all others come from histograms of the whole graph (a row per
+    distinct count), so no compressed graph is written. Instances stand first in the order of vertices.
     """
-    ex = instances.withColumn("first", F.element_at("vs", 1)).join(v.select(F.col("vid").alias("first"), "example"), "first")
-    g = ex.groupBy("canon").agg(F.count(F.lit(1)).alias("instances"), F.countDistinct("example").alias("examples"), F.max(F.size("vs")).alias("n"), F.max(F.size("es")).alias("m"))
     nv, ne = v.count(), e.count()
+    es = cut(e.select("eid", "v1", "v2", "directed"), "mdl")
+    head = covered(instances)
+    cover = cut(instances.select("canon", F.array_min("vs").alias("sub"), F.explode("vs").alias("vid")), "cover")
+    used = instances.select("canon", F.explode("es").alias("eid")).withColumn("used", F.lit(True))
+    # a vertex of the compressed graph is (0, instance) or (1, vertex); rows of undirected edges are those of the earlier end
+    key = lambda sub, vid: F.when(F.col(sub).isNotNull(), F.struct(F.lit(0).alias("k"), F.col(sub).alias("i"))).otherwise(F.struct(F.lit(1).alias("k"), F.col(vid).alias("i")))
+    touched = es.join(cover.select("canon", F.col("vid").alias("v1")), "v1").select("canon", "eid").union(es.join(cover.select("canon", F.col("vid").alias("v2")), "v2").select("canon", "eid")).distinct()
+    t = touched.join(es, "eid").join(used, ["canon", "eid"], "left")
+    t = t.join(cover.toDF("canon", "s1", "v1"), ["canon", "v1"], "left").join(cover.toDF("canon", "s2", "v2"), ["canon", "v2"], "left")
+    t = cut(t.select("canon", "eid", "v1", "v2", "directed", F.coalesce("used", F.lit(False)).alias("used"), key("s1", "v1").alias("a"), key("s2", "v2").alias("b")), "touched")
+    row = lambda d, x, y: (F.when(F.col(d), F.col(x)).otherwise(F.least(x, y)), F.when(F.col(d), F.col(y)).otherwise(F.greatest(x, y)))
+    (r, c), (r2, c2) = row("directed", "v1", "v2"), row("directed", "a", "b")
+    old_rows = es.select(r.alias("s"), c.alias("t")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("k"))
+    gone = t.select("canon", r.alias("s"), c.alias("t")).distinct().groupBy("canon", "s").agg(F.count(F.lit(1)).alias("gone")).join(old_rows, "s")
+    gone = gone.join(cover.select("canon", F.col("vid").alias("s"), F.lit(True).alias("inside")), ["canon", "s"], "left").select("canon", F.struct(F.lit(1).alias("k"), F.col("s").alias("i")).alias("row"), "gone", "k", F.coalesce("inside", F.lit(False)).alias("inside"))
+    left = t.filter("NOT used")
+    fresh = left.select("canon", r2.alias("row"), c2.alias("t")).distinct().groupBy("canon", "row").agg(F.count(F.lit(1)).alias("fresh"))
+    rows = gone.join(fresh, ["canon", "row"], "full")
+    new_k = F.when(F.coalesce("inside", F.lit(False)), F.lit(None)).otherwise(F.coalesce("k", F.lit(0)) - F.coalesce("gone", F.lit(0)) + F.coalesce("fresh", F.lit(0)))
+    rows = cut(rows.select("canon", F.col("k").alias("was"), F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("fresh", F.lit(0)).alias("fresh"), new_k.alias("now")), "rows")
+    hist = cut(old_rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "hist")  # a row per distinct number of neighbours
+    size = head.select("canon", "n", "m", "instances", (F.lit(nv) - F.col("vertices") + F.col("instances")).alias("vv"), (F.lit(ne) - F.col("edges")).alias("ee"))
+    was = rows.filter("was IS NOT NULL").groupBy("canon", F.col("was").alias("k")).agg(F.count(F.lit(1)).alias("minus"))
+    rest = size.select("canon", "vv").join(F.broadcast(hist)).join(was, ["canon", "k"], "left").withColumn("c", F.col("c") - F.coalesce("minus", F.lit(0)))  # every substructure with each of few counts
+    rest = rest.filter("c > 0").groupBy("canon").agg(F.sum(F.col("c") * mdl.log2_choose(F.col("vv"), F.col("k"))).alias("rb"), F.max("k").alias("b"), F.sum(F.col("c") * F.col("k")).alias("kk"))
+    changed = rows.join(size.select("canon", "vv"), "canon").filter("now > 0").groupBy("canon").agg(F.sum(mdl.log2_choose(F.col("vv"), F.col("now"))).alias("rb2"), F.max("now").alias("b2"), F.sum("now").alias("kk2"))
+    # the most edges between two vertices
+    pair = lambda x, y: [F.least(x, y).alias("p"), F.greatest(x, y).alias("q")]
+    many = es.select(*pair("v1", "v2")).groupBy("p", "q").agg(F.count(F.lit(1)).alias("k"))
+    old_many = t.select("canon", *pair("v1", "v2")).distinct().join(many, ["p", "q"]).groupBy("canon", "k").agg(F.count(F.lit(1)).alias("minus"))
+    many_hist = cut(many.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "hist")
+    most = size.select("canon").join(F.broadcast(many_hist)).join(old_many, ["canon", "k"], "left").filter("c > coalesce(minus, 0)").groupBy("canon").agg(F.max("k").alias("mm"))  # as above
+    most2 = left.select("canon", *pair("a", "b")).groupBy("canon", "p", "q").agg(F.count(F.lit(1)).alias("k")).groupBy("canon").agg(F.max("k").alias("mm2"))
+    outer = left.groupBy("canon").agg(F.sum((F.col("a.k") == 0).cast("int") + (F.col("b.k") == 0).cast("int")).alias("ends"))
+    x = size.join(rest, "canon", "left").join(changed, "canon", "left").join(most, "canon", "left").join(most2, "canon", "left").join(outer, "canon", "left").na.fill(0)
+    bits = _bits(F.col("vv"), F.col("ee"), F.col("kk") + F.col("kk2"), F.greatest("b", "b2"), F.greatest("mm", "mm2"), F.col("rb") + F.col("rb2"), labels)
+    return x.select("canon", "n", "m", "instances", (bits + F.col("ends") * F.log2("n")).alias("bits"))
+
+
+def pattern_bits(instances: DataFrame, e: DataFrame, labels: int) -> DataFrame:
+    """(canon, bits): description length of each substructure, from its first instance."""
+    one = cut(instances.groupBy("canon").agg(F.min(F.struct("vs", "es")).alias("x")).select("canon", "x.*"), "first")
+    own = one.select("canon", F.explode("es").alias("eid")).join(e.select("eid", "v1", "v2", "directed"), "eid")
+    pairs = own.select("canon", F.when(F.col("directed"), F.col("v1")).otherwise(F.least("v1", "v2")).alias("s"), F.when(F.col("directed"), F.col("v2")).otherwise(F.greatest("v1", "v2")).alias("t")).distinct()
+    size = one.select("canon", F.size("vs").alias("vv"), F.size("es").alias("ee"))
+    rows = pairs.groupBy("canon", "s").agg(F.count(F.lit(1)).alias("k")).join(size, "canon").groupBy("canon").agg(F.sum(mdl.log2_choose(F.col("vv"), F.col("k"))).alias("rb"), F.max("k").alias("b"), F.sum("k").alias("kk"))
+    most = own.groupBy("canon", F.least("v1", "v2"), F.greatest("v1", "v2")).agg(F.count(F.lit(1)).alias("c")).groupBy("canon").agg(F.max("c").alias("mm"))
+    x = size.join(rows, "canon", "left").join(most, "canon", "left").na.fill(0)
+    return x.select("canon", _bits(F.col("vv"), F.col("ee"), F.col("kk"), F.col("b"), F.col("mm"), F.col("rb"), labels).alias("bits"))
+
+
+def evaluate(instances: DataFrame, v: DataFrame, e: DataFrame, by: str = "size", negative: tuple[DataFrame, DataFrame, DataFrame] | None = None, overlap: bool = False) -> DataFrame:
+    """(canon, instances, examples, value) of substructures by mdl, size or setcover.
+
+    mdl and size: size(G) over size(S) + size(G | S), in bits or in vertices and edges, where in G | S every instance is one vertex. With
+    negative graphs N (instances, vertices, edges): size(G) + size(N) over size(S) + size(G | S) + size(N) - size(N | S). setcover: the share of
+    examples that are positive and covered or negative and not. Instances are disjoint (see ``disjoint``) unless ``overlap`` says otherwise,
+    where shared structure is taken away once and overlaps cost edges; mdl takes disjoint ones only.
+    """
+    examples = lambda i, w: i.withColumn("vid", F.element_at("vs", 1)).join(w.select("vid", "example"), "vid").groupBy("canon").agg(F.countDistinct("example").alias("examples"))
+    ni, nv, ne = negative or (None, None, None)
+    pos = instances.groupBy("canon").agg(F.count(F.lit(1)).alias("instances")).join(examples(instances, v), "canon")
     if by == "setcover":
-        return g.select("canon", "instances", "examples", (F.col("examples") / F.lit(total_examples or v.select("example").distinct().count())).alias("value"))
-    cv, ce = F.lit(nv) - F.col("instances") * (F.col("n") - 1), F.lit(ne) - F.col("instances") * F.col("m")
-    if by == "size":
-        return g.select("canon", "instances", "examples", (F.lit(nv + ne) / (F.col("n") + F.col("m") + cv + ce)).alias("value"))
-    labels = v.select("label").union(e.select("label")).distinct().count()
-    bits = lambda n, m, k: F.log2(F.greatest(n, F.lit(1))) + n * math.log2(k) + m * (1 + math.log2(k)) + m * F.log2(F.greatest(n, F.lit(2)))
-    whole = bits(F.lit(nv), F.lit(ne), labels)
-    return g.select("canon", "instances", "examples", (whole / (bits(F.col("n"), F.col("m"), labels) + bits(cv, ce, labels + 1))).alias("value"))
+        p = v.select("example").distinct().count()
+        if negative is None:
+            return pos.select("canon", "instances", "examples", (F.col("examples") / F.lit(p)).alias("value"))
+        q = nv.select("example").distinct().count()
+        hit = examples(ni, nv).withColumnRenamed("examples", "wrong")
+        return pos.join(hit, "canon", "left").select("canon", "instances", "examples", ((F.col("examples") + q - F.coalesce("wrong", F.lit(0))) / F.lit(p + q)).alias("value"))
+    if by == "mdl":
+        if overlap:
+            raise ValueError("mdl needs disjoint instances")
+        both = v.select("label").union(e.select("label"))
+        labels = (both if negative is None else both.union(nv.select("label")).union(ne.select("label"))).distinct().count()
+        whole = lambda w, x, k: float(graph_mdl(w, x, k).first()["bits"])
+        s, c = pattern_bits(instances, e, labels), compressed_bits(instances, v, e, labels + 1).select("canon", F.col("bits").alias("size"))
+        g = whole(v, e, labels)
+        if negative:
+            n, n1 = whole(nv, ne, labels), whole(nv, ne, labels + 1)
+            wrong = compressed_bits(ni, nv, ne, labels + 1).select("canon", F.col("bits").alias("wrong"))
+    else:
+        c = compressed_size(instances, v, e, overlap)
+        s, c = c.select("canon", (F.col("n") + F.col("m")).alias("bits")), c.select("canon", "size")
+        g = v.count() + e.count()
+        if negative:
+            n = n1 = nv.count() + ne.count()
+            wrong = compressed_size(ni, nv, ne, overlap).select("canon", F.col("size").alias("wrong"))
+    x = pos.join(s, "canon").join(c, "canon")
+    if negative is None:
+        return x.select("canon", "instances", "examples", (F.lit(g) / (F.col("bits") + F.col("size"))).alias("value"))
+    x = x.join(wrong, "canon", "left")
+    return x.select("canon", "instances", "examples", (F.lit(g + n) / (F.col("bits") + F.col("size") + n - F.coalesce("wrong", F.lit(n1)))).alias("value"))
 
 
 def beam(values: DataFrame, width: int, by_value: bool = False) -> DataFrame:
@@ -222,7 +325,7 @@ def discover(v: DataFrame, e: DataFrame, options: Search = Search()) -> DataFram
         if not grown.limit(1).count():
             break
         apart = grown if o.overlap else disjoint(grown)
-        val = cut(evaluate(apart, v, e, o.by), "value")
+        val = cut(evaluate(apart, v, e, o.by, overlap=o.overlap), "value")
         top = cut(beam(val, o.width, o.by_value), "top")
         now = cut(grown.join(F.broadcast(top.select("canon")), "canon", "left_semi"), "beam")  # width rows
         sized = now.groupBy("canon").agg(F.max(F.size("vs")).alias("n"), F.max(F.size("es")).alias("m"))
@@ -252,12 +355,12 @@ def remove_covered(v: DataFrame, e: DataFrame, instances: DataFrame) -> tuple[Da
     return nv, e.join(keep.toDF("v1"), "v1", "left_semi").join(keep.toDF("v2"), "v2", "left_semi").select("v1", "v2", "label", "directed")
 
 
-def graph_mdl(v: DataFrame, e: DataFrame) -> DataFrame:
+def graph_mdl(v: DataFrame, e: DataFrame, labels: int | None = None) -> DataFrame:
     """(vertices, edges, bits): vertex, row and edge bits of a labelled graph.
 
     A row's ones are its distinct neighbours, an undirected edge counted at its smaller end only.
     """
-    labels = v.select("label").union(e.select("label")).distinct().count()
+    labels = labels or v.select("label").union(e.select("label")).distinct().count()
     lg = math.log2(max(1, labels))
     ends = e.select(F.when(F.col("directed"), F.col("v1")).otherwise(F.least("v1", "v2")).alias("s"), F.when(F.col("directed"), F.col("v2")).otherwise(F.greatest("v1", "v2")).alias("t"))
     per = ends.groupBy("s", "t").agg(F.count(F.lit(1)).alias("k"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import substructure as sub
+from weft.operators.rest import cut
 from weft.plans.registry import query
 from weft.sources import views
 from weft.sources.views import LABELLED, PARTS
@@ -109,11 +110,82 @@ def kfold_error(spark, d):
     return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.col("truth") != F.col("said")) / F.count(F.lit(1)), 9).alias("error"))
 
 
+def instances(v, e):
+    """Disjoint instances of all directed one-edge substructures."""
+    lab = lambda i: v.select(F.col("vid").alias(f"v{i}"), F.col("label").alias(f"l{i}"))
+    x = e.filter("directed").join(lab(1), "v1").join(lab(2), "v2")
+    return sub.disjoint(x.select(F.concat_ws("|", "l1", "label", "l2").alias("canon"), F.array_sort(F.array("v1", "v2")).alias("vs"), F.array("eid").alias("es")))
+
+
+def halves(spark, d):
+    """The labelled graph of even nations (positive) and of odd ones (negative), each with its disjoint one-edge instances."""
+    v, e = views.labelled(spark, d)
+    v, e = cut(v, "v"), cut(sub.with_ids(e), "e")
+    for odd in (0, 1):
+        w = v.filter(F.pmod("example", F.lit(2)) == odd)
+        x = e.join(w.select(F.col("vid").alias("v1")), "v1", "left_semi").join(w.select(F.col("vid").alias("v2")), "v2", "left_semi")
+        yield cut(instances(w, x), "inst"), cut(w, "v"), cut(x, "e")
+
+
+# one instance per customer and substructure: orders are met by one customer only, so the first in order of vertices goes
+_INST = f"""{LABELLED}, i0 AS (SELECT a.label || '|' || se.label || '|' || b.label AS canon, v1, v2, a.example % 2 AS half, a.example FROM se JOIN sv a ON a.vid = v1 JOIN sv b ON b.vid = v2 WHERE directed),
+inst AS (SELECT canon, half, v1, arg_min(v2, least(v1, v2) || ',' || greatest(v1, v2) || ']') AS v2, any_value(example) AS example FROM i0 GROUP BY canon, half, v1),
+k AS (SELECT half, canon, count(*) AS k, count(DISTINCT example) AS examples FROM inst GROUP BY 1, 2)"""
+_OUT = "p.canon, CAST(p.k AS BIGINT) AS instances, CAST(p.examples AS BIGINT) AS examples"
+
+
+@query(f"WITH {_INST}, t AS (SELECT half, count(*) + (SELECT count(*) FROM se JOIN sv ON vid = v1 WHERE example % 2 = half) AS s FROM (SELECT example % 2 AS half FROM sv) GROUP BY half) SELECT {_OUT}, round((a.s + b.s) / CAST(3 + a.s - 2 * p.k + b.s - (b.s - 2 * coalesce(n.k, 0)) AS DOUBLE), 9) AS value FROM k p LEFT JOIN k n ON n.canon = p.canon AND n.half = 1 JOIN t a ON a.half = 0 JOIN t b ON b.half = 1 WHERE p.half = 0")
+def subdue_value_size(spark, d):
+    """Values by size of one-edge substructures with the odd nations' graph as the negative one."""
+    (i, v, e), neg = halves(spark, d)
+    return sub.evaluate(i, v, e, "size", neg).withColumn("value", F.round("value", 9))
+
+
+@query(f"WITH {_INST}, x AS (SELECT count(DISTINCT example) FILTER (example % 2 = 0) AS p, count(DISTINCT example) FILTER (example % 2 = 1) AS q FROM sv) SELECT {_OUT}, round((p.examples + x.q - coalesce(n.examples, 0)) / CAST(x.p + x.q AS DOUBLE), 9) AS value FROM k p LEFT JOIN k n ON n.canon = p.canon AND n.half = 1, x WHERE p.half = 0")
+def subdue_value_setcover(spark, d):
+    """Values by covered examples of one-edge substructures: even nations are to be covered, odd ones not."""
+    (i, v, e), neg = halves(spark, d)
+    return sub.evaluate(i, v, e, "setcover", neg).withColumn("value", F.round("value", 9))
+
+
+_LCB = "(lgamma(vv + 1) - lgamma(ki + 1) - lgamma(vv - ki + 1)) / ln(2)"
+
+
+def _mdl_sql(edges: str, key: str, sizes: str, labels: str) -> str:
+    """Bits per ``key`` of graphs whose edges (key, s, t, directed; rows of undirected edges first) and sizes (key, vv, ee) are given."""
+    return f"""SELECT z.{key}, log2(vv) + vv * log2({labels}) + (vv + 1) * log2(coalesce(b, 0) + 1) + coalesce(rb, 0) + ee * (1 + log2({labels})) + (coalesce(kk, 0) + 1) * log2(greatest(coalesce(mm, 1), 1)) AS bits FROM {sizes} z
+ LEFT JOIN (SELECT {key}, sum({_LCB}) AS rb, max(ki) AS b, sum(ki) AS kk FROM (SELECT {key}, s, count(DISTINCT t) AS ki FROM {edges} GROUP BY 1, 2) JOIN {sizes} USING ({key}) GROUP BY 1) r USING ({key})
+ LEFT JOIN (SELECT {key}, max(c) AS mm FROM (SELECT {key}, count(*) AS c FROM {edges} GROUP BY {key}, least(s, t), greatest(s, t)) GROUP BY 1) m USING ({key})"""
+
+
+# every substructure's compressed graph written out: vertices are [0, instance] or [1, vertex]
+_MDL = f"""WITH {_INST}, nl AS (SELECT count(*) AS l FROM (SELECT label FROM sv UNION SELECT label FROM se)),
+se2 AS (SELECT se.*, example % 2 AS half FROM se JOIN sv ON vid = v1),
+gs AS (SELECT half, count(*) AS vv, (SELECT count(*) FROM se2 WHERE se2.half = h.half) AS ee FROM (SELECT example % 2 AS half FROM sv) h GROUP BY half),
+ge AS (SELECT half, CASE WHEN directed THEN v1 ELSE least(v1, v2) END AS s, CASE WHEN directed THEN v2 ELSE greatest(v1, v2) END AS t FROM se2),
+plain AS ({_mdl_sql('ge', 'half', 'gs', '(SELECT l FROM nl)')}), plain1 AS ({_mdl_sql('ge', 'half', 'gs', '(SELECT l + 1 FROM nl)')}),
+ck AS (SELECT k.half || '~' || k.canon AS hc, k.half, k.canon, k.k FROM k), cs AS (SELECT hc, vv - ck.k AS vv, ee - ck.k AS ee FROM ck JOIN gs USING (half)),
+cov AS (SELECT half || '~' || canon AS hc, least(v1, v2) AS sub, unnest([v1, v2]) AS vid FROM inst), used AS (SELECT half || '~' || canon AS hc, v1, v2 FROM inst),
+ce AS (SELECT ck.hc, directed, CASE WHEN a.sub IS NULL THEN [1, se2.v1] ELSE [0, a.sub] END AS x, CASE WHEN b.sub IS NULL THEN [1, se2.v2] ELSE [0, b.sub] END AS y
+ FROM ck JOIN se2 USING (half) LEFT JOIN cov a ON a.hc = ck.hc AND a.vid = se2.v1 LEFT JOIN cov b ON b.hc = ck.hc AND b.vid = se2.v2 LEFT JOIN used u ON u.hc = ck.hc AND u.v1 = se2.v1 AND u.v2 = se2.v2 AND directed WHERE u.hc IS NULL),
+cr AS (SELECT hc, CASE WHEN directed OR x <= y THEN x ELSE y END AS s, CASE WHEN directed OR x <= y THEN y ELSE x END AS t FROM ce),
+ext AS (SELECT hc, sum(CASE WHEN x[1] = 0 THEN 1 ELSE 0 END + CASE WHEN y[1] = 0 THEN 1 ELSE 0 END) AS ends FROM ce GROUP BY 1),
+cb AS (SELECT hc, bits + coalesce(ends, 0) AS bits FROM ({_mdl_sql('cr', 'hc', 'cs', '(SELECT l + 1 FROM nl)')}) LEFT JOIN ext USING (hc)),
+own AS (SELECT 1 + 2 * log2(l) + 3 * log2(2) + 1 + 1 * (1 + log2(l)) + 0 AS s FROM nl)"""
+
+
+@query(f"{_MDL} SELECT {_OUT}, round((a.bits + b.bits) / (own.s + cp.bits + b.bits - coalesce(cn.bits, b1.bits)), 7) AS value FROM k p JOIN cb cp ON cp.hc = '0~' || p.canon LEFT JOIN cb cn ON cn.hc = '1~' || p.canon JOIN plain a ON a.half = 0 JOIN plain b ON b.half = 1 JOIN plain1 b1 ON b1.half = 1, own WHERE p.half = 0")
+def subdue_value_mdl(spark, d):
+    """Values by description length of one-edge substructures with the odd nations' graph as the negative one."""
+    (i, v, e), neg = halves(spark, d)
+    return sub.evaluate(i, v, e, "mdl", neg).withColumn("value", F.round("value", 7))
+
+
 @query()
 def subdue_discover(spark, d):
-    """Best compressing substructures of the labelled graph by beam search (a top-k report)."""
+    """Best compressing substructures of the labelled graph by beam search over disjoint instances, two rounds (a top-k report)."""
     v, e = views.labelled(spark, d)
-    return sub.discover(v, e.filter("label <> 'in'"), sub.Search(width=3, rounds=2, overlap=True))
+    return sub.discover(v, e, sub.Search(rounds=2, by="mdl"))
 
 
 @query("SELECT * FROM (VALUES ('same', CAST(0 AS DOUBLE)), ('label', CAST(1 AS DOUBLE)), ('edge', CAST(1 AS DOUBLE)), ('vertex', CAST(2 AS DOUBLE))) t(pair, cost)")
