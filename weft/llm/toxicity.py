@@ -49,7 +49,10 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
     cap = lambda k: min(1.0, most / 2 / max(1, counts.get(k, 1)))
     picked = one.withColumn("rate", F.when(F.col("toxic") == 1, cap(1)).otherwise(cap(0))).filter(rank < F.col("rate") * span)
     found = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text"]), "sampled")
+    size = {r.toxic: r["count"] for r in found.groupBy("toxic").count().collect()}
     tied = F.xxhash64("text", F.col("doc_id").cast("string"))
+    if max(size.values(), default=0) <= most:  # always, unless an id has very many rows
+        return found
     parts = [found.filter(F.col("toxic") == k).orderBy(rank, tied).limit(most) for k in (0, 1)]
     return parts[0].union(parts[1])
 
@@ -178,7 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seeds: dic
     has = {c: F.arrays_overlap(F.split("text", " "), F.lit(ws)) for c, ws in seeds.items()}
     # only which of the vocabulary's words a row has comes to the driver
     seen = F.array_intersect(F.split("text", " "), F.lit(vocab))
-    picked = rows.withColumn("rank", rank).filter("rank < 1").orderBy("rank", F.xxhash64("text")).limit(2 * max_rows).select("rank", "toxic", (1 / (F.col("rate") * own)).alias("weight"), seen.alias("seen"), *[(v & (F.col("toxic") == 1)).cast("int").alias(c) for c, v in has.items()])
+    own_rows = rows.withColumn("rank", rank).filter("rank < 1")
+    if own_rows.count() > 2 * max_rows:  # never, unless an id has very many rows
+        own_rows = own_rows.orderBy("rank", F.xxhash64("text")).limit(2 * max_rows)
+    picked = own_rows.select("rank", "toxic", (1 / (F.col("rate") * own)).alias("weight"), seen.alias("seen"), *[(v & (F.col("toxic") == 1)).cast("int").alias(c) for c, v in has.items()])
     got = picked.toPandas().sort_values(["rank", "toxic"])
     at = {w: i for i, w in enumerate(vocab)}
     x = np.zeros((len(got), len(vocab)), np.float32)
