@@ -226,7 +226,7 @@ def deduplicate(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> Data
     rows, _ = numbered(docs, "documents")
     fps = cut(fingerprints(rows, [ROW, "doc_id"]), "fingerprints")
     found = fps.join(classes(fps.select(F.col(ROW).alias("node"), "fp"), bits, blocks), "fp").select(ROW, "doc_id", "component_id")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias("first"))
+    first = cut(found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias("first")), "firsts")
     gone = cut(found.join(first, "component_id").filter(F.col(ROW) != F.col("first")).select(ROW), "gone")
     return by_row(rows, gone, "left_anti").select(*docs.columns)
 
