@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import ascii_lower
+from weft.llm.common import ascii_lower, cut
 
 # The default rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -104,15 +104,22 @@ def lexicon(words_: list[str] = COMMON, seen: dict[str, int] | None = None) -> d
 
 
 def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
-    """The most frequent words of all pages' texts and of the hyphenated labels of all distinct hosts, with their counts."""
+    """The most frequent words of all pages' texts and of the hyphenated labels of all distinct hosts, with their counts: at most max_words come
+    to the driver, and of words that occur equally often all or none."""
     letters = r"[^\p{L}]+"
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ")
     found = pages.select(F.explode(F.split(F.lower(text), letters)).alias("word"))
     hosts = pages.select(host_path(F.col("url"))[0].alias("h")).distinct()
     labels = hosts.select(F.explode(F.filter(F.split("h", r"\."), lambda x: x.contains("-"))).alias("l"))
     both = found.union(labels.select(F.explode(F.split("l", letters)).alias("word")))
-    counts = both.filter(F.length("word").between(2, 64)).groupBy("word").count()
-    return {r["word"]: r["count"] for r in counts.orderBy(F.desc("count"), "word").limit(max_words).collect()}
+    counts = cut(both.filter(F.length("word").between(2, 64)).groupBy("word").count(), "unigrams")
+    # how many words occur how often: a short table, from which follows the least count that max_words leave room for
+    left, least = max_words, None
+    for r in sorted(counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["count"]):
+        if r["n"] > left:
+            break
+        left, least = left - r["n"], r["count"]
+    return {r["word"]: r["count"] for r in counts.filter(F.col("count") >= least).collect()} if least is not None else {}
 
 
 def tokens(host: str, path: str, seg: Segmenter) -> tuple[list[str], list[str]]:
