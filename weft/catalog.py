@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.plans import iterative, mdl_plans, model_plans, motif_plans, registry, sampling_plans, structure, substructure_plans, temporal_plans  # noqa: F401
+from weft.plans import iterative, mdl_plans, model_plans, motif_plans, registry, report_plans, sampling_plans, structure, substructure_plans, temporal_plans  # noqa: F401
 
 
 def queries() -> dict:

@@ -83,4 +83,4 @@ def degree_bin(x: Column, omega: float = 2.0, tau: int = 1) -> Column:
 
 
 def degree_bin_start(b: Column, omega: float = 2.0, tau: int = 1) -> Column:
-    return F.when(b <= tau, b).otherwise(F.round((F.pow(F.lit(omega), (b - tau).cast("double")) - 1) / (omega - 1)) + tau).cast("long")
+    return F.when(b <= tau, b).otherwise(F.ceil((F.pow(F.lit(omega), (b - tau).cast("double")) - 1) / (omega - 1) - 1e-9) + tau).cast("long")

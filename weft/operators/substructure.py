@@ -7,7 +7,8 @@ substructure share a canonical string of their labelled graph.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import operator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
@@ -48,19 +49,23 @@ def one_edge(v: DataFrame, e: DataFrame) -> DataFrame:
     return x.groupBy("l1", "edge", "directed", "l2").agg(F.count(F.lit(1)).alias("instances"), F.countDistinct("example").alias("examples"))
 
 
-def find_instances(v: DataFrame, e: DataFrame, pattern_vertices: list[str], pattern_edges: list[tuple[int, int, str, bool]]) -> DataFrame:
+def find_instances(v: DataFrame, e: DataFrame, pattern_vertices: list[str], pattern_edges: list[tuple[int, int, str, bool]], same: Callable[[Column, str], Column] = operator.eq) -> DataFrame:
     """(vs): injective matches of a connected labelled pattern, vs[i] the vertex of pattern vertex i.
 
+    ``same`` says whether a label of the graph matches one of the pattern: equality, or any other condition (tolerance, prefix, a set).
+
     The pattern is compiled into one equi-join per edge, from its first vertex outwards; automorphic matches are all listed.
     """
-    out = v.filter(F.col("label") == pattern_vertices[0]).select(F.col("vid").alias("p0"))
+    out = v.filter(same(F.col("label"), pattern_vertices[0])).select(F.col("vid").alias("p0"))
     bound, left = {0}, list(pattern_edges)
     while left:
         i = next((k for k, x in enumerate(left) if x[0] in bound or x[1] in bound), None)
         if i is None:
             raise ValueError("the pattern isn't connected")
         a, b, label, directed = left.pop(i)
-        own = e.filter((F.col("label") == label) & (F.col("directed") == directed)).select(F.col("v1").alias("s"), F.col("v2").alias("t"))
+        own = e.filter(same(F.col("label"), label) & (F.col("directed") == directed)).select(F.col("v1").alias("s"), F.col("v2").alias("t"))
+        if same is not operator.eq:
+            own = own.distinct()  # several labels of one pair may match
         if not directed:
             own = own.union(own.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct()
         if a in bound and b in bound:
@@ -68,7 +73,7 @@ def find_instances(v: DataFrame, e: DataFrame, pattern_vertices: list[str], patt
             continue
         old, new = (a, b) if a in bound else (b, a)
         side = own.select(F.col("s" if old == a else "t").alias(f"p{old}"), F.col("t" if old == a else "s").alias(f"p{new}"))
-        fresh = v.filter(F.col("label") == pattern_vertices[new]).select(F.col("vid").alias(f"p{new}"))
+        fresh = v.filter(same(F.col("label"), pattern_vertices[new])).select(F.col("vid").alias(f"p{new}"))
         out = out.join(side.join(fresh, f"p{new}", "left_semi"), f"p{old}")
         for k in bound:
             out = out.filter(F.col(f"p{k}") != F.col(f"p{new}"))

@@ -20,6 +20,16 @@ def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Tab-separated metrics with a header."""
+    df.write.mode(mode).option("header", True).option("sep", "\t").csv(path)
+
+
+def label_lines(v: DataFrame, e: DataFrame) -> DataFrame:
+    """The distinct labels of vertices and edges, one a line, in order; null labels are left out."""
+    return v.select("label").union(e.select("label")).filter("label IS NOT NULL").distinct().orderBy("label").select(F.col("label").alias("value"))
+
+
 def quoted(c: str):
     return F.when(F.col(c).rlike(r"\s"), F.concat(F.lit('"'), F.col(c), F.lit('"'))).otherwise(F.col(c))
 

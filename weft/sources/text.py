@@ -79,6 +79,24 @@ def labelled_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return v, e
 
 
+Pattern = tuple[list[str], list[tuple[int, int, str, bool]]]
+
+
+def patterns(v: DataFrame, e: DataFrame, most: int = 10_000) -> list[Pattern]:
+    """The predefined patterns among the examples of a labelled graph file: labels by vertex number, and edges by position. Patterns are small by
+    nature; more than ``most`` rows of them are an error."""
+    vs = v.filter("polarity = 'PS'").orderBy("example", "vid").limit(most + 1).collect()
+    es = e.filter("polarity = 'PS'").orderBy("example", "v1", "v2", "label").limit(most + 1).collect()
+    if max(len(vs), len(es)) > most:
+        raise ValueError(f"predefined patterns are limited to {most} rows")
+    out = []
+    for x in sorted({r.example for r in vs}):
+        own = [r for r in vs if r.example == x]
+        at = {r.vid: i for i, r in enumerate(own)}
+        out.append(([r.label for r in own], [(at[r.v1], at[r.v2], r.label, r.directed) for r in es if r.example == x]))
+    return out
+
+
 def structures(spark: SparkSession, path: str) -> DataFrame:
     """(sid, code, n_edges, nodes1, nodes2) of a structure model; ranges such as 3-9 are spelled out."""
     lines = numbered_lines(spark, path).filter("line <> ''")

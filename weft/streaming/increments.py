@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weft.operators.randgraph import drawn, uniform
 from weft.operators.substructure import one_edge
 
 LINE = "kind STRING, a BIGINT, b BIGINT, label STRING, example BIGINT"
@@ -63,3 +64,45 @@ def temporal_source(spark: SparkSession, folder: str, late: str = "1 hour") -> D
     """Windowed edge counts of a stream of (ts, src, trg) files, closed when the watermark has passed."""
     s = spark.readStream.schema("ts TIMESTAMP, src BIGINT, trg BIGINT").parquet(folder)
     return s.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("edges")).select(F.col("w.start").alias("start"), "edges")
+
+
+def increment_text(spark: SparkSession, folder: str) -> DataFrame:
+    """A file stream of increments as text, a file each: ``v id label`` and ``d``, ``e`` (directed) or ``u`` edges ``a b label``; labels may be
+    quoted. All lines belong to one example (null): example marks, comments and other lines are left out."""
+    t = F.regexp_extract_all("value", F.lit(r'("[^"]*"|\S+)'), F.lit(1))
+    at = lambda i: F.regexp_replace(F.get("t", F.lit(i)), '^"|"$', "")
+    kind = F.get("t", F.lit(0))
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(folder).select(t.alias("t")).filter(kind.isin("v", "d", "e", "u"))
+    is_v = kind == "v"
+    return lines.select(
+        F.when(kind == "e", "d").otherwise(kind).alias("kind"), at(1).cast("long").alias("a"), F.when(~is_v, at(2).cast("long")).alias("b"),
+        F.when(is_v, at(2)).otherwise(at(3)).alias("label"), F.lit(None).cast("long").alias("example"),
+    )
+
+
+def random_increments(spark: SparkSession, increments: int, vertices: int, edges: int, vertex_labels: list[str], edge_labels: list[str], pattern: tuple[list[str], list[tuple[int, int, str, bool]]], copies: int, spanning: int = 0, seed: int = 0) -> DataFrame:
+    """(batch, kind, a, b, label, example): increments of random vertices and edges, each with so many copies of a pattern.
+
+    A copy's first vertex hangs on a random vertex of its increment. With ``spanning`` edges an increment is connected with the one before it
+    (the first with none); else increments are independent. No edge is a loop. Every number is drawn from its own row and the seed.
+    """
+    labels, links = pattern
+    own = vertices + copies * len(labels)
+    if vertices < 2:
+        raise ValueError("an increment needs two random vertices")
+    batches = spark.range(increments).withColumnRenamed("id", "batch")
+    each = lambda n: batches.select("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i")) if n else batches.select("batch", F.lit(0).cast("long").alias("i")).filter("false")
+    base = F.col("batch") * own
+    pick = lambda kind, n: F.floor(uniform(seed, F.lit(kind), "batch", "i") * n).cast("long")
+    name = lambda kind, names: F.get(F.lit(names), (drawn(seed, F.lit(kind), "batch", "i") % len(names)).cast("int"))
+    row = lambda df, kind, a, b, label: df.select("batch", F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), label.alias("label"), F.lit(None).cast("long").alias("example"))
+    first = vertices + F.col("i") * len(labels)
+    out = row(each(vertices), "v", base + F.col("i"), F.lit(None), name("v", vertex_labels))
+    x, step = pick("x", vertices), pick("y", vertices - 1) + 1
+    out = out.union(row(each(edges), "u", base + x, base + (x + step) % vertices, name("e", edge_labels)))
+    for k, label in enumerate(labels):
+        out = out.union(row(each(copies), "v", base + first + k, F.lit(None), F.lit(label)))
+    for a, b, label, directed in links:
+        out = out.union(row(each(copies), "d" if directed else "u", base + first + a, base + first + b, F.lit(label)))
+    out = out.union(row(each(copies), "u", base + first, base + pick("h", vertices), name("g", edge_labels)))
+    return out.union(row(each(spanning).filter("batch > 0"), "u", base + pick("s", own), base - own + pick("t", own), name("z", edge_labels)))
