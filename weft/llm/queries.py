@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontam, fingerprints, langid, licenses, packing, preference, simhash, toxicity, urlfilter, warc
+from weft.llm import decontam, fingerprints, langid, lexical, licenses, mixing, negatives, packing, preference, simhash, toxicity, urlfilter, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,7 +63,20 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "n_turns", "n_common", "prompt", "chosen", spans("chosen_mask").alias("chosen_mask"), "rejected", spans("rejected_mask").alias("rejected_mask"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_warc, op4_toxicity, op5_urlfilter, op6_decontamination, op7_packing, op8_simhash, op9_licenses, op10_preference)}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language, op3_warc, op4_toxicity, op5_urlfilter, op6_decontamination, op7_packing, op8_simhash, op9_licenses, op10_preference, op11_lexical, op12_mixing, op13_negatives)}
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -160,4 +173,47 @@ def _op10_sql() -> str:
     SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns, CAST(k AS BIGINT) AS n_common, {render('common')} AS prompt, {render('ct')} AS chosen, {masks('ct')} AS chosen_mask, {render('rt')} AS rejected, {masks('rt')} AS rejected_mask FROM q"""
 
 
-ORACLE_SQL = {"op1_fingerprints": _op1_sql(), "op3_warc": _op3_sql(), "op6_decontamination": _op6_sql(), "op9_licenses": _op9_sql(), "op10_preference": _op10_sql()}
+def _op11_sql() -> str:
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text='text')} AS w FROM documents),
+    c AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+    t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+    i AS (SELECT row_number() OVER () AS item, item_id, {_WORDS.format(text='text')} AS w FROM benchmark),
+    q AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(w) AS term FROM i) GROUP BY ALL),
+    f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS wt FROM t, c GROUP BY term, nn),
+    m AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(w) * nn) // ll) AS m FROM d, c WHERE len(w) > 0),
+    s AS (SELECT item, rid, sum(times * wt * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score, any_value(doc_id) AS doc_id FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (rid) GROUP BY item, rid),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM s WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM r JOIN i USING (item) WHERE rank <= {lexical.TOP}"""
+
+
+def _op12_sql() -> str:
+    share, most = mixing.SHARE, mixing.MOST
+    weight = f"[{', '.join(map(str, mixing.WEIGHTS))}][place % {len(mixing.WEIGHTS)} + 1]"
+    return f"""
+    WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+      CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) / 281474976710656.0 AS draw FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+    w AS (SELECT source, s, place, CAST({weight} AS BIGINT) AS w FROM s),
+    p AS (SELECT *, {share} * CAST(sum(s) OVER () AS HUGEINT) AS whole, CAST(coalesce(sum(s) OVER before, 0) AS HUGEINT) AS taken, CAST(sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS HUGEINT) AS rest
+      FROM w WINDOW before AS (ORDER BY s / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT *, {100 * most} * CAST(s AS HUGEINT) * rest <= w * (whole - {100 * most} * taken) AS capped FROM p),
+    o AS (SELECT any_value(whole) - {100 * most} * coalesce(sum(s) FILTER (capped), 0) AS open, coalesce(sum(w) FILTER (NOT capped), 0) AS ow FROM l),
+    t AS (SELECT source, s, CASE WHEN ow = 0 THEN CAST({most} * s AS DOUBLE) ELSE least(CAST({most} * s AS DOUBLE), CAST(open AS DOUBLE) * w / CAST(100 * ow AS DOUBLE)) END AS target FROM l, o),
+    r AS (SELECT doc_id, size, s, target, draw, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, s AS source_size, target, size * CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM r"""
+
+
+def _op13_sql() -> str:
+    p, n = negatives.POSITIVES, negatives.NEGATIVES
+    return f"""
+    WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, b) AS k FROM s WHERE same),
+    n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id NULLS LAST, s.b) AS rank
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE p.k <= {p})
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {n}"""
+
+
+ORACLE_SQL = {"op1_fingerprints": _op1_sql(), "op3_warc": _op3_sql(), "op6_decontamination": _op6_sql(), "op9_licenses": _op9_sql(), "op10_preference": _op10_sql(), "op11_lexical": _op11_sql(), "op12_mixing": _op12_sql(), "op13_negatives": _op13_sql()}
