@@ -53,19 +53,33 @@ def kept_rows(docs: DataFrame, good: Callable[[pa.Array], np.ndarray]) -> DataFr
     return plain.mapInArrow(run, kinds).toDF(*docs.columns)
 
 
-#: The column that ``numbered`` adds.
+#: The column that ``numbered`` adds, unless another name is given.
 ROW = "__row"
 
 
-def numbered(df: DataFrame, name: str = "numbered") -> tuple[DataFrame, str]:
-    """``df`` with a unique number per row, at rest, and its path: however often it is read, and whatever is lost, a row keeps its number."""
-    return put(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def by_row(df: DataFrame, rows: DataFrame, how: str, most: int = 1 << 20) -> DataFrame:
-    """A numbered table joined with ``rows`` (short ones, at rest, a number at most once) on the number. Up to ``most`` rows are broadcast, so
-    no text is shuffled; more are joined by shuffle on the number, which no two rows share."""
-    return df.join(F.broadcast(rows) if rows.count() <= most else rows, ROW, how)
+def numbered(df: DataFrame, name: str = "numbered", row: str = ROW) -> tuple[DataFrame, str]:
+    """``df`` with a unique number per row in ``row`` (a name that ``df`` doesn't have, see ``unused``), at rest, and its path: however often it is
+    read, and whatever is lost, a row keeps its number."""
+    if row != unused(row, df.columns):
+        raise ValueError(f"there is a column {row} already")
+    return put(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
+def by_row(df: DataFrame, rows: DataFrame, how: str, row: str = ROW, size: Column | None = None, most: int = 1 << 20, most_bytes: int = 32 << 20) -> DataFrame:
+    """A numbered table (number in ``row``) joined with ``rows`` (at rest, a number at most once, in ``ROW``) on the number. Up to ``most`` rows that
+    hold up to ``most_bytes`` by ``size`` (bytes of a row beyond its number) are broadcast, so no text is shuffled; more are joined by
+    shuffle on the number, which no two rows share."""
+    n, held = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(8) if size is None else size), F.lit(0))).first()
+    rows = rows.withColumnRenamed(ROW, row) if row != ROW else rows
+    return df.join(F.broadcast(rows) if n <= most and held <= most_bytes else rows, row, how)
 
 
 @contextlib.contextmanager

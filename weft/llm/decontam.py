@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import ROW, SEPARATORS, by_row, cut, numbered, words
+from weft.llm.common import ROW, SEPARATORS, by_row, cut, numbered, unused, words
 
 WINDOW = 13
 #: At most so many distinct windows (about 8 bytes each as hashes, 100 as text), with at most 16 times as many item ids, become literals.
@@ -57,14 +57,15 @@ def _marked(texts: DataFrame, found: DataFrame, lengths: list[int], small: bool)
         own = own.join(F.broadcast(h) if small else h, "h", "left_semi")
         at = own if at is None else at.union(own)
     places = cut(at.groupBy(ROW).agg(F.collect_list(F.struct("pos", "n", "h")).alias("at")), "places")
-    got = by_row(texts.select(ROW, "text"), places, "inner").select(ROW, words(F.col("text")).alias("w"), "at")
+    got = by_row(texts.select(ROW, "text"), places, "inner", size=24 * F.size("at")).select(ROW, words(F.col("text")).alias("w"), "at")
     return got.select(ROW, F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), x["h"].alias("h"), F.array_join(F.slice("w", x["pos"] + 1, x["n"]), " ").alias("gram"))).alias("hits"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_literal: int = MAX_LITERAL, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per row of ``docs``: its row number, doc_id, n_words, spans (merged hit ranges of word positions, end exclusive), n_hit, items.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_literal: int = MAX_LITERAL, max_broadcast: int = MAX_BROADCAST, row: str | None = None) -> DataFrame:
+    """Per row of ``docs``: its row number (as ``ROW``), doc_id, n_words, spans (merged hit ranges of word positions, end exclusive), n_hit, items.
 
-    The rows of one text's hits meet again by row number (that of ``numbered`` if the rows have one), so repeated doc_ids stay apart.
+    The rows of one text's hits meet again by row number, so repeated doc_ids stay apart. ``row`` names the column with the numbers where
+    ``docs`` has been numbered; no other column but doc_id and text is looked at, whatever it is called.
     """
     found = cut(item_windows(benchmark, window), "windows")
     size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("refs")).first()
@@ -74,13 +75,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_litera
         lengths: dict[int, list[int]] = {}
         for r in found.select("n", "h").distinct().collect():
             lengths.setdefault(r.n, []).append(r.h)
-        own = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+        own = F.monotonically_increasing_id() if row is None else F.col(row)
         base = docs.select(own.alias(ROW), "doc_id", words(F.col("text")).alias("w")).select(ROW, "doc_id", "w", _hashes(F.col("w")).alias("wh"))
         base = base.select(ROW, "doc_id", F.size("w").cast("long").alias("n_words"), _hits(lengths).alias("hits"))
     else:
-        texts = docs if ROW in docs.columns else numbered(docs.select("doc_id", "text"), "texts")[0]
+        texts = numbered(docs.select("doc_id", "text"), "texts")[0] if row is None else docs.select(F.col(row).alias(ROW), "doc_id", "text")
         hits = cut(_marked(texts, found, sorted(r.n for r in found.select("n").distinct().collect()), size.n <= max_broadcast), "hits")
-        base = by_row(texts.select(ROW, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")), hits, "left")
+        base = by_row(texts.select(ROW, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")), hits, "left", size=F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + 32 + F.octet_length(x["gram"])))
     spread = base.select(*key, F.explode_outer("hits").alias("x")).select(*key, "x.*")
     side = F.broadcast(found) if small else found
     joined = spread.join(side.withColumnRenamed("n", "bn"), ["h", "gram"], "left")
@@ -110,24 +111,28 @@ def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows that aren't contaminated, all columns as they were. Each row is judged by its own text and number: a null or repeated doc_id
     takes no other row with it. Null and empty texts stay."""
-    rows, _ = numbered(docs, "documents")
-    bad = cut(scan(rows, benchmark, **kw).filter(_contaminated()).select(ROW), "contaminated")
-    return by_row(rows, bad, "left_anti").select(*docs.columns)
+    row = unused(ROW, docs.columns)
+    rows, _ = numbered(docs, "documents", row)
+    bad = cut(scan(rows, benchmark, row=row, **kw).filter(_contaminated()).select(ROW), "contaminated")
+    return by_row(rows, bad, "left_anti", row).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """All rows, all columns; from the texts every hit word is cut out together with what separates it from the word before. Texts without a hit,
     null ones among them, stay as they are; a text that is hit as a whole keeps only what follows its last word."""
-    rows, _ = numbered(docs, "documents")
-    hit = cut(scan(rows, benchmark, **kw).filter("n_hit > 0").select(ROW, F.col("spans").alias("__spans")), "spans")
-    joined = by_row(rows, hit, "left")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    rows, _ = numbered(docs.toDF(*names), "documents")
+    text = names[docs.columns.index("text")]
+    plain = rows.select(ROW, F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), F.col(text).alias("text"))
+    hit = cut(scan(plain, benchmark, row=ROW, **kw).filter("n_hit > 0").select(ROW, F.col("spans").alias("__spans")), "spans")
+    joined = by_row(rows, hit, "left", size=16 * F.size("__spans"))
     # every word with its separators before it; A-Z are letters here as the text isn't lower-cased
     outside, inside = SEPARATORS[:-1].replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"), SEPARATORS[:-1].replace("[", "[^").replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
-    parts = F.regexp_extract_all("text", F.lit(f"({outside}*{inside}+)"), 1)
+    parts = F.regexp_extract_all(text, F.lit(f"({outside}*{inside}+)"), 1)
     n = F.size("__parts")
     bounds = F.concat(F.array(F.lit(0)), F.flatten(F.transform("__spans", lambda s: F.array(s["s"], s["e"]))), F.array(n))
     gaps = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda i: F.slice("__parts", F.get("__b", 2 * i) + 1, F.get("__b", 2 * i + 1) - F.get("__b", 2 * i)))
     left = joined.withColumn("__parts", F.when(F.col("__spans").isNotNull(), parts)).withColumn("__b", bounds)
-    tail = F.regexp_extract("text", f"({outside}*)$", 1)
-    clean = F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(F.flatten(gaps), ""), tail)).otherwise(F.col("text"))
-    return left.withColumn("text", clean).select(*docs.columns)
+    tail = F.regexp_extract(text, f"({outside}*)$", 1)
+    clean = F.when(F.col("__spans").isNotNull(), F.concat(F.array_join(F.flatten(gaps), ""), tail)).otherwise(F.col(text))
+    return left.withColumn(text, clean).select(*names).toDF(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import ROW, batch_rows, by_row, cut, drop, numbered, put, small_batches
+from weft.llm.common import ROW, batch_rows, by_row, cut, drop, numbered, put, small_batches, unused
 
 SHINGLE, SEED, BITS, BLOCKS = 4, 42, 4, 7
 #: A key with more distinct fingerprints than this is linked by the exact detour of ``_linked_by_halfway`` instead.
@@ -223,12 +223,13 @@ def deduplicate(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> Data
     Rows are judged by their own number, not their doc_id: rows that share an id but not their text stay apart, and rows with a null id are
     grouped like any other (an id goes before none). Empty and null texts are one group.
     """
-    rows, _ = numbered(docs, "documents")
-    fps = cut(fingerprints(rows, [ROW, "doc_id"]), "fingerprints")
+    row = unused(ROW, docs.columns)
+    rows, _ = numbered(docs, "documents", row)
+    fps = cut(fingerprints(rows.select(F.col(row).alias(ROW), "doc_id", "text"), [ROW, "doc_id"]), "fingerprints")
     found = fps.join(classes(fps.select(F.col(ROW).alias("node"), "fp"), bits, blocks), "fp").select(ROW, "doc_id", "component_id")
     first = cut(found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias("first")), "firsts")
     gone = cut(found.join(first, "component_id").filter(F.col(ROW) != F.col("first")).select(ROW), "gone")
-    return by_row(rows, gone, "left_anti").select(*docs.columns)
+    return by_row(rows, gone, "left_anti", row).select(*docs.columns)
 
 
 def hexed(fp: str = "fp"):
