@@ -42,6 +42,10 @@ GROUP_ITEMS = 256
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+#: A term's postings in a shard and a tier. Tier -1 holds a shard's doc_ids as impacts.
+BLOCKS = "shard long, term binary, rest long, docs array<int>, impacts array<long>, tier int"
+
+
 class Index(NamedTuple):
     """Where the tiers are, how many documents have a term, and how many terms they have."""
 
@@ -124,7 +128,7 @@ def build(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_postings: int = S
 
     path = fresh_path(spark, "index")
     with batch_rows(spark, max(1, min(256, shard_docs))):
-        forward.mapInArrow(run, "shard long, term binary, rest long, docs array<int>, impacts array<long>, tier int").write.partitionBy("tier").parquet(path)
+        forward.mapInArrow(run, BLOCKS).write.partitionBy("tier").parquet(path)
     drop(where)
     return Index(path, n_docs, n_terms)
 
@@ -182,7 +186,7 @@ def _scored(k: int, tier: int):
 def search(index: Index, items: DataFrame, k: int = TOP, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` documents of the highest scores for each row of ``items`` (item_id, text)."""
     spark = items.sparkSession
-    tiers = spark.read.parquet(index.path)
+    tiers = spark.read.schema(BLOCKS).parquet(index.path)
     rows, _ = put(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
     parts = max(1, -(-rows.count() // group_items))
     asked = cut(_weighted(tiers, index, term_counts(rows, "item").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))), "asked")
