@@ -45,33 +45,11 @@ def paths_to_tree(paths: DataFrame) -> DataFrame:
     return inner.union(last).union(deepest)
 
 
-def modularity_level(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(id, cluster): one level of modularity clustering by synchronous label moves.
+def modularity_level(edges: DataFrame) -> DataFrame:
+    """(id, cluster): one level of modularity clustering: nodes move to the neighbouring cluster that gains most, until no move gains."""
+    from weft.operators.leiden import settled
 
-    In each round a node may move to the neighbouring cluster with the best gain; only half of the nodes (by hash and round) move at a
-    time and only to a smaller label than theirs on a tie, so moves don't swap back and forth. Per-cluster sums are small partial aggregates.
-    """
-    s = cut(symmetric(edges.filter("u <> v")), "mod")
-    k = degrees(edges.filter("u <> v")).select("id", F.col("wdeg").alias("k"))
-    m2 = k.agg(F.sum("k")).first()[0] or 1
-    now = cut(k.withColumn("c", F.col("id")), "mod")
-    for i in range(rounds):
-        tot = now.groupBy("c").agg(F.sum("k").alias("t"))
-        link = s.join(now.select(F.col("id").alias("v"), "c"), "v").groupBy(F.col("u").alias("id"), "c").agg(F.sum("w").alias("w"))
-        own = now.select("id", "k", F.col("c").alias("mine"))
-        cand = link.join(own, "id").join(tot, "c")
-        gain = F.col("w") - F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0)) / m2
-        best = cand.groupBy("id").agg(F.max_by("c", F.struct(gain, -F.col("c"))).alias("to"), F.max(gain).alias("g"), F.max(F.when(F.col("c") == F.col("mine"), gain)).alias("stay"))
-        turn = F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0
-        alone = -F.col("k") * F.lit(0.0)
-        move = turn & (F.col("g") > F.coalesce("stay", alone) + 1e-12)
-        new = now.join(best, "id", "left").select("id", "k", F.when(move, F.col("to")).otherwise(F.col("c")).alias("c"), F.coalesce(move, F.lit(False)).alias("moved"))
-        new = cut(new, "mod")
-        changed = new.filter("moved").count()
-        now = new.select("id", "k", "c")
-        if not changed and i % 2:
-            break
-    return now.select("id", F.col("c").alias("cluster"))
+    return settled(edges)
 
 
 def modularity(edges: DataFrame, clusters: DataFrame) -> float:
@@ -83,36 +61,33 @@ def modularity(edges: DataFrame, clusters: DataFrame) -> float:
     return 2 * inside / m2 - t / m2**2
 
 
-def louvain(edges: DataFrame, levels: int = 6) -> DataFrame:
-    """(id, path): communities of communities; path[k] is a node's cluster at depth k, coarsest first, down to the first level's clusters."""
+def louvain(edges: DataFrame, levels: int | None = None) -> DataFrame:
+    """(id, path): communities of communities; path[k] is a node's cluster at depth k, coarsest first, down to the first level's clusters. Levels are
+    added until one merges nothing, or ``levels`` of them are there."""
     level = cut(modularity_level(edges), "lv").toDF("id", "c0")
     maps, e = level, edges
     names = ["c0"]
-    for i in range(1, levels):
+    while levels is None or len(names) < levels:
         a, b = level.toDF("u", "cu"), level.toDF("v", "cv")
         coarse = e.join(a, "u").join(b, "v").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"), "w").groupBy("u", "v").agg(F.sum("w").alias("w"))
         e = cut(coarse, "lv")
         if not e.filter("u <> v").limit(1).count():
             break
-        nxt = cut(modularity_level(e), "lv").toDF("id", f"c{i}")
-        if nxt.select(f"c{i}").distinct().count() == nxt.count():
+        new = f"c{len(names)}"
+        nxt = cut(modularity_level(e), "lv").toDF("id", new)
+        if nxt.select(new).distinct().count() == nxt.count():
             break
-        maps = cut(maps.join(nxt.withColumnRenamed("id", names[-1]), names[-1], "left").withColumn(f"c{i}", F.coalesce(f"c{i}", names[-1])), "lv")
-        names.append(f"c{i}")
+        maps = cut(maps.join(nxt.withColumnRenamed("id", names[-1]), names[-1], "left").withColumn(new, F.coalesce(new, names[-1])), "lv")
+        names.append(new)
         level = nxt.toDF("id", "c")
     return maps.select("id", F.array(F.lit(0).cast("long"), *[F.col(c) for c in reversed(names)]).alias("path"))
 
 
-def leiden(edges: DataFrame, levels: int = 6) -> DataFrame:
-    """(id, path) as ``louvain``, with every community then split into its connected parts, which is what the refinement guarantees."""
-    from weft.operators.iterate import components
+def leiden(edges: DataFrame) -> DataFrame:
+    """(id, path): Leiden communities, communities within each, and so on until none divides (see ``leiden.tree``)."""
+    from weft.operators.leiden import tree
 
-    p = cut(louvain(edges, levels), "ld")
-    fine = p.select("id", F.element_at("path", -1).alias("c"))
-    a, b = fine.toDF("u", "cu"), fine.toDF("v", "cv")
-    inner = edges.join(a, "u").join(b, "v").filter("cu = cv").select("u", "v", "w")
-    part = components(inner)
-    return p.join(part, "id", "left").select("id", F.concat("path", F.array(F.coalesce("component", "id"))).alias("path"))
+    return tree(edges)
 
 
 def fiedler(adj: np.ndarray) -> np.ndarray:

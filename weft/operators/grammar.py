@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators import contraction
 from weft.operators.forms import least_order
 from weft.operators.rest import cut
 
@@ -246,13 +247,10 @@ def dedupe(steps: DataFrame, mode: str = "part", match_b_deg: bool = False) -> D
 
 def extract(edges: DataFrame, paths: DataFrame, mu: int = 4, kind: str = "mu_level", mode: str = "part") -> DataFrame:
     """The grammar of a connected graph along a dendrogram, by one of mu_random, mu_level, mu_dl, mu_level_dl, local_dl, global_dl."""
+    if kind not in ("local_dl", "global_dl"):
+        return dedupe(contraction.steps(edges, paths, mu, kind), mode)
     tree = load_tree(paths)
-    if kind in ("local_dl", "global_dl"):
-        steps = greedy_schedule(edges, tree, mu, kind)
-    else:
-        cost = subtree_costs(edges, paths, tree, mu) if "dl" in kind else None
-        steps = schedule(tree, mu, kind, cost)
-    return dedupe(rules_from_schedule(edges, tree, steps, mode), mode)
+    return dedupe(rules_from_schedule(edges, tree, greedy_schedule(edges, tree, mu, kind), mode), mode)
 
 
 def subtree_costs(edges: DataFrame, paths: DataFrame, tree: Tree, mu: int) -> dict[int, float]:

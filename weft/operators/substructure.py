@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import operator
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -92,7 +93,89 @@ def canonical(labels: list[str], edges: list[tuple[int, int, str, bool]]) -> str
     order = least_order(labels, [[sorted(x) for x in row] for row in rel])
     at = {v: i for i, v in enumerate(order)}
     rows = sorted((at[a], at[b], lab, 1) if d else (min(at[a], at[b]), max(at[a], at[b]), lab, 0) for a, b, lab, d in edges)
-    return "|".join(labels[i] for i in order) + "#" + ";".join(f"{a}{'>' if d else '-'}{b}:{lab}" for a, b, lab, d in rows)
+    return "|".join(_escaped(labels[i]) for i in order) + "#" + ";".join(f"{a}{'>' if d else '-'}{b}:{_escaped(lab)}" for a, b, lab, d in rows)
+
+
+def _escaped(label: str) -> str:
+    """A label whose marks of the canonical string (and backslashes) stand behind a backslash."""
+    return re.sub(r"([\\|#;])", r"\\\1", label)
+
+
+def parse(canon: str) -> tuple[list[str], list[tuple[int, int, str, bool]]]:
+    """Labels and edges of a canonical string."""
+    parts: list[list[str]] = [[""], []]
+    side, at = 0, 0
+    while at < len(canon):
+        c = canon[at]
+        if c == "\\":
+            at += 1
+            parts[side][-1] += canon[at]
+        elif c == "#":
+            side, parts[1] = 1, [""]
+        elif c == ("|", ";")[side]:
+            parts[side].append("")
+        else:
+            parts[side][-1] += c
+        at += 1
+    edges = []
+    for x in filter(None, parts[1]):
+        a, mark, b, label = re.match(r"(\d+)([>-])(\d+):(.*)", x, re.S).groups()
+        edges.append((int(a), int(b), label, mark == ">"))
+    return parts[0], edges
+
+
+def with_labels(v: DataFrame, e: DataFrame) -> DataFrame:
+    """Edges with the labels of their ends (l1, l2)."""
+    return e.join(v.select(F.col("vid").alias("v1"), F.col("label").alias("l1")), "v1").join(v.select(F.col("vid").alias("v2"), F.col("label").alias("l2")), "v2")
+
+
+def instances_of(le: DataFrame, canon: str, fresh: Column | None = None) -> DataFrame:
+    """(canon, vs, es, arrival): all instances of a pattern with edges, each set of vertices and edges once.
+
+    ``le`` has edges (eid, v1, v2, label, directed) with their ends' labels (see ``with_labels``) and the ``batch`` they came in; an instance arrives
+    with its last edge. With ``fresh``, a condition on edges, only instances with such an edge are found: the joins start from those
+    edges, once for each edge of the pattern, so the work follows the new edges and their surroundings, not the whole graph.
+    """
+    labels, edges = parse(canon)
+    if not edges:
+        raise ValueError("the pattern has no edge")
+
+    def side(k: int, rows: DataFrame) -> DataFrame:
+        a, b, label, directed = edges[k]
+        own = rows.filter((F.col("label") == label) & (F.col("directed") == directed))
+        to = lambda s, t: own.filter((F.col(f"l{s}") == labels[a]) & (F.col(f"l{t}") == labels[b])).select(F.col(f"v{s}").alias("s"), F.col(f"v{t}").alias("t"), F.col("eid").alias(f"e{k}"), F.col("batch").alias(f"b{k}"))
+        both = to(1, 2) if directed else to(1, 2).union(to(2, 1).filter("s <> t"))
+        if a == b:
+            return both.filter("s = t").select(F.col("s").alias(f"p{a}"), f"e{k}", f"b{k}")
+        return both.filter("s <> t").select(F.col("s").alias(f"p{a}"), F.col("t").alias(f"p{b}"), f"e{k}", f"b{k}")
+
+    def grown(first: int, rows: DataFrame) -> DataFrame:
+        out, bound, done, left = side(first, rows), {*edges[first][:2]}, [first], [k for k in range(len(edges)) if k != first]
+        while left:
+            k = next((x for x in left if bound & {*edges[x][:2]}), None)
+            if k is None:
+                raise ValueError("the pattern isn't connected")
+            left.remove(k)
+            ends = {*edges[k][:2]}
+            out = out.join(side(k, le), [f"p{x}" for x in sorted(ends & bound)])
+            for new in ends - bound:
+                for x in bound:
+                    out = out.filter(F.col(f"p{x}") != F.col(f"p{new}"))
+            for x in done:
+                if edges[x][2:] == edges[k][2:]:
+                    out = out.filter(F.col(f"e{x}") != F.col(f"e{k}"))
+            bound, done = bound | ends, [*done, k]
+        every = lambda c, n: [F.col(f"{c}{i}") for i in range(n)]
+        last = F.greatest(*every("b", len(edges))) if len(edges) > 1 else F.col("b0")
+        return out.select(F.lit(canon).alias("canon"), F.array_sort(F.array(*every("p", len(labels)))).alias("vs"), F.array_sort(F.array(*every("e", len(edges)))).alias("es"), last.alias("arrival"))
+
+    if fresh is None:
+        return grown(0, le).distinct()
+    out = None
+    for k in range(len(edges)):
+        part = grown(k, le.filter(fresh))
+        out = part if out is None else out.union(part)
+    return out.distinct()
 
 
 def extend(instances: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
@@ -126,13 +209,15 @@ def with_canon(instances: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
     return i.join(forms, "iid").select("vs", "es", "canon")
 
 
-def disjoint(instances: DataFrame) -> DataFrame:
-    """A maximal set of instances per substructure without a shared vertex, in the order of their vertices and edges as text.
+def disjoint(instances: DataFrame, first: Column | None = None) -> DataFrame:
+    """A maximal set of instances per substructure without a shared vertex, in the order of their vertices and edges as text, or of the number
+    ``first`` (not below 0) and then those.
 
     Rounds of "no earlier rival": an instance stays if it is the first of all live ones at each of its vertices, and its rivals leave; this gives
     the same set as going through them one by one, and a popular vertex is only the key of a partial minimum.
     """
-    live = cut(instances.select("canon", "vs", "es", F.to_json(F.struct("vs", "es")).alias("iid")), "dj")
+    name = F.to_json(F.struct("vs", "es"))
+    live = cut(instances.select("canon", "vs", "es", (name if first is None else F.concat(F.lpad(first.cast("string"), 19, "0"), name)).alias("iid")), "dj")
     out = None
     while True:
         x = live.select("canon", "iid", F.explode("vs").alias("vid"))
@@ -318,7 +403,7 @@ def discover(v: DataFrame, e: DataFrame, options: Search = Search()) -> DataFram
     v, e = cut(v, "v"), cut(with_ids(e), "e")
     limit = o.limit or max(1, e.count() // 2)
     labels = initial(v)
-    now = v.join(labels.select("label"), "label", "left_semi").select(F.array("vid").alias("vs"), F.array().cast("array<bigint>").alias("es"), F.concat("label", F.lit("#")).alias("canon"))
+    now = v.join(labels.select("label"), "label", "left_semi").select(F.array("vid").alias("vs"), F.array().cast("array<bigint>").alias("es"), F.concat(F.regexp_replace("label", r"([\\|#;])", r"\\$1"), F.lit("#")).alias("canon"))
     now, best, done = cut(now, "beam"), None, 0
     for _ in count() if o.rounds is None else range(o.rounds):
         done += now.select("canon").distinct().count()

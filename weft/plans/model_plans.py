@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import cluster, compare, core, grammar, iterate, motifs, randgraph, summary
+from weft.operators import cluster, compare, core, grammar, iterate, motifs, randgraph, selection, summary
 from weft.operators.rest import cut
 from weft.plans import mdl_plans
 from weft.plans.registry import SQL, query
@@ -173,7 +173,7 @@ def slashburn(spark, d):
 @query()
 def vog_greedy(spark, d):
     g = cut(views.parts(spark, d), "view")
-    return summary.greedy(g, summary.slashburn(g, k=2))
+    return selection.greedy(g, summary.slashburn(g, k=2))
 
 
 _CC = """r AS (SELECT id, id AS c FROM n UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.id WHERE r.c < s.v), comp AS (SELECT id, min(c) AS component FROM r GROUP BY id)"""

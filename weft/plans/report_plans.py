@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import cluster, core, grammar, reports, substructure, summary, temporal
+from weft.operators import cluster, core, grammar, reports, selection, substructure, summary, temporal
 from weft.operators.rest import cut
 from weft.plans import iterative, model_plans, motif_plans, substructure_plans  # noqa: F401  (their SQL is read here)
 from weft.plans.registry import SQL, query
@@ -81,7 +81,7 @@ def top_structures(spark, d):
 def model_score(spark, d):
     """Bits and cells of the empty model and of all structures found."""
     g = cut(views.parts(spark, d), "view")
-    return reports.score(g, cut(summary.slashburn(g, k=2), "model"))
+    return selection.score(g, cut(summary.slashburn(g, k=2), "model"))
 
 
 @query(f"WITH {USERS} SELECT epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10') AS us, src, trg FROM t WHERE ts > TIMESTAMP '2024-01-10'")

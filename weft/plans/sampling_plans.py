@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import compare, core, grammar, sampling, substructure, summary, temporal
+from weft.operators import compare, core, grammar, sampling, selection, substructure, summary, temporal
 from weft.operators.rest import cut
 from weft.plans import temporal_plans
 from weft.plans.registry import SQL, query
@@ -83,7 +83,7 @@ def structure_edge_expansion(spark, d):
 @query()
 def vog_cost_curve(spark, d):
     g = cut(views.parts(spark, d), "view")
-    return summary.cost_curve(g, summary.slashburn(g, k=2))
+    return selection.cost_curve(g, summary.slashburn(g, k=2))
 
 
 @query("SELECT CAST(s AS BIGINT) AS s, round((SELECT log2(2.865064) + greatest(a, 0) + greatest(b, 0) + greatest(c, 0) + greatest(e, 0) FROM (SELECT a, b, c, CASE WHEN c > 0 THEN log2(c) ELSE 0.0 END AS e FROM (SELECT a, b, CASE WHEN b > 0 THEN log2(b) ELSE 0.0 END AS c FROM (SELECT a, CASE WHEN a > 0 THEN log2(a) ELSE 0.0 END AS b FROM (SELECT log2(s - 1) AS a))))) + (lgamma(1001) - lgamma(1001 - s)) / ln(2), 5) AS ch FROM (SELECT unnest(range(3, 61)) AS s)")

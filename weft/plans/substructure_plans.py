@@ -9,6 +9,7 @@ from weft.operators.rest import cut
 from weft.plans.registry import query
 from weft.sources import views
 from weft.sources.views import LABELLED, PARTS
+from weft.streaming import discovery
 
 _ONE = f"WITH {LABELLED}, x AS (SELECT CASE WHEN NOT directed AND a.label > b.label THEN b.label ELSE a.label END AS l1, se.label AS edge, directed, CASE WHEN NOT directed AND a.label > b.label THEN a.label ELSE b.label END AS l2, a.example FROM se JOIN sv a ON a.vid = v1 JOIN sv b ON b.vid = v2), one AS (SELECT l1, edge, directed, l2, count(*) AS instances, count(DISTINCT example) AS examples FROM x GROUP BY ALL)"
 
@@ -194,3 +195,36 @@ def inexact_match(spark, d):
     a = (["x", "y", "z"], [(0, 1, "e", True), (1, 2, "f", False)])
     pairs = [("same", a, a), ("label", a, (["x", "y", "w"], a[1])), ("edge", a, (a[0], a[1][:1])), ("vertex", a, (a[0][:2], a[1][:1]))]
     return spark.createDataFrame([(n, float(sub.match_cost(x, y))) for n, x, y in pairs], "pair string, cost double")
+
+
+#: A customer with three kinds of orders, and a nation with a customer of two: three edges each, whose orders come in different months.
+SPANNING = (
+    sub.canonical(["BUILDING", "order-F", "order-F", "order-O"], [(0, 1, "1-URGENT", True), (0, 2, "2-HIGH", True), (0, 3, "5-LOW", True)]),
+    sub.canonical(["nation", "AUTOMOBILE", "order-F", "order-O"], [(1, 0, "in", False), (1, 2, "1-URGENT", True), (1, 3, "1-URGENT", True)]),
+)
+
+
+def by_month(spark, d):
+    """The labelled graph with the increment each part came in: customers and nations in 0, orders in their months from 1992 on."""
+    v, e = views.labelled(spark, d)
+    o = views.table(spark, d, "orders").select((F.col("o_orderkey").cast("long") * 4 + 1).alias("vid"), ((F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate")).alias("month"))
+    batch = F.coalesce("month", F.lit(0)).alias("batch")
+    v = v.join(o, "vid", "left").select("vid", "label", "example", batch)
+    e = sub.with_ids(e).join(o.withColumnRenamed("vid", "v2"), "v2", "left").select("eid", "v1", "v2", "label", "directed", batch)
+    return cut(v, "v"), cut(e, "e")
+
+
+_MONTHS = f"""WITH {LABELLED}, om AS (SELECT o_orderkey * 4 + 1 AS vid, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) AS m FROM orders),
+s AS (SELECT batch, CAST(sum(sum(n)) OVER (ORDER BY batch) AS BIGINT) AS size FROM (SELECT coalesce(m, 0) AS batch, 1 AS n FROM sv LEFT JOIN om USING (vid) UNION ALL SELECT coalesce(m, 0), 1 FROM se LEFT JOIN om ON om.vid = v2) GROUP BY batch),
+x AS (SELECT c.vid AS c, c.label AS cl, c.example, se.label AS edge, o.label AS ol, min(m) AS m FROM se JOIN sv c ON c.vid = v1 JOIN sv o ON o.vid = v2 JOIN om ON om.vid = v2 GROUP BY ALL),
+a AS (SELECT '{SPANNING[0]}' AS canon, greatest(p.m, q.m, r.m) AS m FROM x p JOIN x q USING (c) JOIN x r USING (c) WHERE p.cl = 'BUILDING' AND p.edge = '1-URGENT' AND p.ol = 'order-F' AND q.edge = '2-HIGH' AND q.ol = 'order-F' AND r.edge = '5-LOW' AND r.ol = 'order-O'),
+b AS (SELECT '{SPANNING[1]}' AS canon, min(greatest(p.m, q.m)) AS m FROM x p JOIN x q USING (c) WHERE p.cl = 'AUTOMOBILE' AND p.edge = '1-URGENT' AND p.ol = 'order-F' AND q.edge = '1-URGENT' AND q.ol = 'order-O' GROUP BY p.example),
+k AS (SELECT canon, m AS batch, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL),
+y AS (SELECT batch, canon, size, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY canon ORDER BY batch) AS BIGINT) AS instances FROM s CROSS JOIN (SELECT unnest(['{SPANNING[0]}', '{SPANNING[1]}']) AS canon) LEFT JOIN k USING (batch, canon))
+SELECT CAST(batch AS INTEGER) AS batch, canon, instances, round(size / CAST(7 + size + instances - 7 * instances AS DOUBLE), 9) AS value FROM y"""
+
+
+@query(_MONTHS)
+def values_by_month(spark, d):
+    """Values of two substructures of three edges after each month's orders; most instances have orders of several months."""
+    return discovery.by_increment(*by_month(spark, d), list(SPANNING)).withColumn("value", F.round("value", 9))
