@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weft.operators.core import degrees, nodes, symmetric
@@ -146,10 +146,12 @@ def hop_counts(edges: DataFrame, sources: DataFrame | None = None, most: int | N
     for low in range(0, blocks, at_once):
         own = start.withColumn("block", F.floor(F.col("rank") / (64 * WORDS))).filter((F.col("block") >= low) & (F.col("block") < low + at_once))
         word, bit = F.floor(F.col("rank") / 64) % WORDS, F.expr("shiftleft(1L, CAST(rank % 64 AS INT))")
-        front, front_at = put(own.select("block", "id", *[F.when(word == i, bit).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(bits)]), "hops")
+        set_bits = F.sum(sum(F.bit_count(b) for b in bits)).cast("long").alias("n")
+        seen = Observation()  # the bits of a round are counted while they are written
+        front, front_at = put(own.select("block", "id", *[F.when(word == i, bit).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(bits)]).observe(seen, set_bits), "hops")
         last, last_at, dist = front.limit(0), None, 0
         while True:
-            n = front.agg(sum(F.coalesce(F.sum(F.bit_count(b)), F.lit(0)) for b in bits).cast("long")).first()[0]
+            n = seen.get["n"]
             if not n:
                 break
             whole[dist] = whole.get(dist, 0) + n
@@ -161,7 +163,8 @@ def hop_counts(edges: DataFrame, sources: DataFrame | None = None, most: int | N
             some = lambda b, new: F.bit_or(F.when(F.col("new") == new, F.col(b)).otherwise(F.lit(0).cast("long")))
             met = both.groupBy("block", "id").agg(*[x for b in bits for x in (some(b, True).alias(b), some(b, False).alias(f"o{b}"))])
             fresh = met.select("block", "id", *[F.col(b).bitwiseAND(F.bitwise_not(F.col(f"o{b}"))).alias(b) for b in bits])
-            got, got_at = put(fresh.filter(" OR ".join(f"{b} <> 0" for b in bits)), "hops")
+            seen = Observation()
+            got, got_at = put(fresh.filter(" OR ".join(f"{b} <> 0" for b in bits)).observe(seen, set_bits), "hops")
             drop(last_at)
             last, last_at, front, front_at = front, front_at, got, got_at
         drop(last_at)

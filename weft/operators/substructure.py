@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import operator
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -178,11 +179,14 @@ def instances_of(le: DataFrame, canon: str, fresh: Column | None = None) -> Data
     return out.distinct()
 
 
-def extend(instances: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
-    """Instances grown by one edge in every way: (vs, es, canon). Each grown set of edges is kept once."""
-    x = instances.select("vs", "es", F.explode("vs").alias("at"))
+def extend(instances: DataFrame, v: DataFrame, e: DataFrame, least: str | None = None) -> DataFrame:
+    """Instances grown by one edge in every way: (vs, es, canon). Each grown set of edges is kept once, with the smallest of the column ``least``
+    of those that it grew from, if one is named."""
+    carry = [least] if least else []
+    x = instances.select("vs", "es", *carry, F.explode("vs").alias("at"))
     both = e.select(F.col("v1").alias("at"), "eid", "v1", "v2").union(e.select(F.col("v2").alias("at"), "eid", "v1", "v2"))
-    grown = x.join(both, "at").filter(~F.array_contains("es", F.col("eid"))).select(F.array_sort(F.array_union("vs", F.array("v1", "v2"))).alias("vs"), F.array_sort(F.concat("es", F.array("eid"))).alias("es")).distinct()
+    grown = x.join(both, "at").filter(~F.array_contains("es", F.col("eid"))).select(F.array_sort(F.array_union("vs", F.array("v1", "v2"))).alias("vs"), F.array_sort(F.concat("es", F.array("eid"))).alias("es"), *carry)
+    grown = grown.groupBy("vs", "es").agg(F.min(least).alias(least)) if least else grown.distinct()
     return with_canon(grown, v, e)
 
 
@@ -206,7 +210,7 @@ def with_canon(instances: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
             yield pd.DataFrame({"iid": b["iid"], "canon": forms})
 
     forms = lv.join(le, "iid").mapInPandas(run, "iid bigint, canon string")
-    return i.join(forms, "iid").select("vs", "es", "canon")
+    return i.join(forms, "iid").select(*instances.columns, "canon")
 
 
 def disjoint(instances: DataFrame, first: Column | None = None) -> DataFrame:
@@ -379,7 +383,9 @@ def beam(values: DataFrame, width: int, by_value: bool = False) -> DataFrame:
 
 @dataclass
 class Search:
-    """Options of a search; ``limit`` is how many substructures are extended (half of the edges by default)."""
+    """Options of a search; ``limit`` is how many substructures are extended (half of the edges by default). With ``prune``, a substructure goes no
+    further than one it grew from if its value is less. ``threshold`` is the share of a substructure's size that an instance may differ by (see
+    ``alike``)."""
 
     width: int = 4
     limit: int | None = None
@@ -391,33 +397,60 @@ class Search:
     by_value: bool = False
     rounds: int | None = None
     prune: bool = False
+    threshold: float = 0.0
 
 
-def discover(v: DataFrame, e: DataFrame, options: Search = Search()) -> DataFrame:  # noqa: B008
+def discover(v: DataFrame, e: DataFrame, options: Search = Search(), negative: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:  # noqa: B008
     """(canon, n, m, instances, examples, value): the best compressing substructures by beam search.
 
     Each round extends the instances of the beam's substructures by one edge, groups them by canonical string, values them and keeps the beam.
-    This goes on until the limit is used up or nothing is left to extend; ``rounds`` ends it before.
+    Unless instances may overlap, a substructure goes on with its disjoint ones, so a hub has one instance of a star in a round, not one for each
+    choice of its neighbours. This goes on until the limit is used up or nothing is left to extend; ``rounds`` ends it before.
+
+    ``negative`` is a graph (vertices, edges) that should not be compressed: its instances of the beam's substructures are extended alongside and
+    count against the value.
     """
     o = options
+    if o.threshold and not 0 < o.threshold < 1:
+        raise ValueError("the threshold is a share of a substructure's size")
     v, e = cut(v, "v"), cut(with_ids(e), "e")
+    if negative:
+        nv, ne = cut(negative[0], "nv"), cut(with_ids(negative[1]), "ne")
     limit = o.limit or max(1, e.count() // 2)
     labels = initial(v)
-    now = v.join(labels.select("label"), "label", "left_semi").select(F.array("vid").alias("vs"), F.array().cast("array<bigint>").alias("es"), F.concat(F.regexp_replace("label", r"([\\|#;])", r"\\$1"), F.lit("#")).alias("canon"))
-    now, best, done = cut(now, "beam"), None, 0
+    single = lambda w: w.join(labels.select("label"), "label", "left_semi").select(F.array("vid").alias("vs"), F.array().cast("array<bigint>").alias("es"), F.concat(F.regexp_replace("label", r"([\\|#;])", r"\\$1"), F.lit("#")).alias("canon"), F.lit(0.0).alias("value"))
+    now, best, done = cut(single(v), "beam"), None, 0
+    wrong = cut(single(nv).drop("value"), "beam") if negative else None
     for _ in count() if o.rounds is None else range(o.rounds):
         done += now.select("canon").distinct().count()
-        grown = cut(extend(now, v, e), "grown")
+        grown = cut(extend(now, v, e, "value"), "grown")
         if o.most:
             grown = grown.filter(F.size("vs") <= o.most)
         many = grown.groupBy("canon").count().filter("count > 1").select("canon")
         grown = cut(grown.join(many, "canon", "left_semi"), "grown")
         if not grown.limit(1).count():
             break
-        apart = grown if o.overlap else disjoint(grown)
-        val = cut(evaluate(apart, v, e, o.by, overlap=o.overlap), "value")
+        before = grown.groupBy("canon").agg(F.min("value").alias("before"))
+        plain = grown.drop("value")
+        whole = plain
+        if o.threshold:
+            plain = cut(alike(plain, v, e, o.threshold), "alike")
+        apart = plain if o.overlap else cut(disjoint(plain), "apart")
+        against = None
+        if negative:
+            wrong = cut(extend(wrong, nv, ne).join(many, "canon", "left_semi"), "wrong")
+            wrong = wrong if o.overlap else cut(disjoint(wrong), "wrong")
+            against = (wrong, nv, ne)
+        val = cut(evaluate(apart, v, e, o.by, against, overlap=o.overlap), "value")
+        if o.prune:
+            val = cut(val.join(before, "canon").filter(F.col("value") >= F.col("before")).drop("before"), "value")
         top = cut(beam(val, o.width, o.by_value), "top")
-        now = cut(grown.join(F.broadcast(top.select("canon")), "canon", "left_semi"), "beam")  # width rows
+        if top.isEmpty():
+            break
+        own = whole if o.overlap else apart if not o.threshold else disjoint(whole)
+        now = cut(own.join(F.broadcast(top.select("canon", "value")), "canon"), "beam")  # width rows
+        if negative:
+            wrong = cut(wrong.join(F.broadcast(top.select("canon")), "canon", "left_semi"), "beam")
         sized = now.groupBy("canon").agg(F.max(F.size("vs")).alias("n"), F.max(F.size("es")).alias("m"))
         part = top.join(sized, "canon").filter(F.col("n") >= o.least).select("canon", "n", "m", "instances", "examples", "value")
         best = part if best is None else best.union(part)
@@ -437,6 +470,59 @@ def compress(v: DataFrame, e: DataFrame, instances: DataFrame, label: str = "SUB
     return nv, x.select(F.coalesce("t1", "v1").alias("v1"), F.coalesce("t2", "v2").alias("v2"), "label", "directed")
 
 
+def compress_overlapping(v: DataFrame, e: DataFrame, instances: DataFrame, label: str = "SUB") -> tuple[DataFrame, DataFrame]:
+    """Replace each instance (vs, es) of one substructure by a vertex of that label, where instances may share vertices and edges.
+
+    Vertices and edges of instances go. An edge across points at the instance, and at a copy for each further instance of a shared vertex; an
+    ``OVERLAP`` edge leads from the first instance at a shared vertex to each other one, a pair once. New vertices are numbered after all others, in
+    order of their instances. The graph's size is what ``compressed_size`` says. Edges come with ids; equal rows are edges of their own.
+    """
+    from weft.operators.selection import ordered
+
+    e = cut(e if "eid" in e.columns else with_ids(e), "e")
+    top = v.agg(F.max("vid")).first()[0] or 0
+    i = cut(ordered(instances.select("vs", "es").distinct(), F.asc("vs"), F.asc("es")).select((F.col("rank") + top + 1).alias("to"), "vs", "es"), "instances")
+    at = cut(i.select("to", F.explode("vs").alias("vid")), "at")
+    first = cut(at.groupBy("vid").agg(F.min("to").alias("first")), "first")
+    some = i.select("to", F.get("vs", F.lit(0)).alias("vid")).join(v.select("vid", "example"), "vid").select(F.col("to").alias("vid"), F.lit(label).alias("label"), "example")
+    nv = v.join(first.select("vid"), "vid", "left_anti").select("vid", "label", "example").union(some)
+    used = i.select(F.explode("es").alias("eid")).distinct()
+    left = e.join(used, "eid", "left_anti").select("v1", "v2", "label", "directed")
+    f1, f2 = first.toDF("v1", "f1"), first.toDF("v2", "f2")
+    plain = left.join(f1, "v1", "left").join(f2, "v2", "left")
+    here = F.coalesce("f1", "v1"), F.coalesce("f2", "v2")
+    main = plain.select(here[0].alias("v1"), here[1].alias("v2"), "label", "directed")
+    # a copy for each further instance at an end; at a loop both ends are that instance
+    more = at.join(first, "vid").filter("to <> first").select("vid", "to")
+    m1 = plain.join(more.toDF("v1", "to"), "v1").select(F.col("to").alias("v1"), F.when(F.col("v1") == F.col("v2"), F.col("to")).otherwise(here[1]).alias("v2"), "label", "directed")
+    m2 = plain.filter("v1 <> v2").join(more.toDF("v2", "to"), "v2").select(here[0].alias("v1"), F.col("to").alias("v2"), "label", "directed")
+    pairs = at.join(first, "vid").filter("to <> first").select(F.col("first").alias("v1"), F.col("to").alias("v2")).distinct()
+    ne = main.union(m1).union(m2).union(pairs.select("v1", "v2", F.lit("OVERLAP"), F.lit(False)))
+    return nv, cut(ne.withColumn("eid", F.monotonically_increasing_id()), "compressed")
+
+
+def iterate_discovery(v: DataFrame, e: DataFrame, options: Search = Search(), iterations: int = 0, label: str = "SUB") -> tuple[list[dict], DataFrame, DataFrame]:  # noqa: B008
+    """What each iteration found, and the graph after the last: the best substructure is found, all its instances are replaced by vertices of the label
+    ``SUB_1``, ``SUB_2``, ..., and the smaller graph is searched again, so that later substructures are made of earlier ones. With 0
+    iterations this goes on until nothing compresses the graph or no edge is left."""
+    found: list[dict] = []
+    e = cut(e if "eid" in e.columns else with_ids(e), "e")
+    for k in count(1):
+        # what has been compressed is told apart by its own edges: repeated edges stay several
+        best = discover(v, e.select("v1", "v2", "label", "directed"), options).collect()
+        best = next((r for r in best if parse(r.canon)[1] and r.value > 1), None)
+        if best is None:
+            break
+        every = instances_of(with_labels(v, e).withColumn("batch", F.lit(0)), best.canon)
+        own = cut(every if options.overlap else disjoint(every), "own")
+        v, e = compress_overlapping(v, e, own.select("vs", "es"), f"{label}_{k}")
+        v = cut(v, "v")
+        found.append(best.asDict() | {"iteration": k, "label": f"{label}_{k}", "vertices": v.count(), "edges": e.count()})
+        if k == iterations or not found[-1]["edges"]:
+            break
+    return found, v, e
+
+
 def remove_covered(v: DataFrame, e: DataFrame, instances: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop whole examples that hold an instance."""
     hit = instances.select(F.explode("vs").alias("vid")).distinct().join(v.select("vid", "example"), "vid").select("example").distinct()
@@ -526,6 +612,43 @@ def match_cost(a: tuple[list[str], list[tuple[int, int, str, bool]]], b: tuple[l
     return math.inf
 
 
+def alike(instances: DataFrame, v: DataFrame, e: DataFrame, threshold: float) -> DataFrame:
+    """(canon, vs, es): each substructure with its own instances and those of every other one of the round whose edit cost is at most
+    ``threshold`` times its size (vertices and edges).
+
+    Substructures are the rows here, not instances: a table of canonical strings is compared, and only pairs that can be near enough are:
+    those whose counts of vertex labels and of edge labels differ by no more than the cost allows, found by a join on what an allowed cost of
+    this round leaves in common. The cost itself is the least number of unit edits (``match_cost``), worked out a pair at a time in tasks.
+    """
+    forms = cut(instances.select("canon").distinct(), "forms")
+    size = lambda c: sum(map(len, parse(c)))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for c in b["canon"]:
+                allowed = math.floor(threshold * size(c))
+                labels = Counter(("v", x) for x in parse(c)[0]) + Counter(("e", x[2]) for x in parse(c)[1])
+                rows.append((c, allowed, size(c), sorted(f"{kind}:{x}:{i}" for (kind, x), k in labels.items() for i in range(k))))
+            yield pd.DataFrame(rows, columns=["canon", "allowed", "size", "marks"])
+
+    marked = cut(forms.mapInPandas(keys, "canon string, allowed int, size int, marks array<string>"), "marks")
+    # prefix filter: an edit changes one mark at most, so of two graphs near enough, the first allowed + 1 marks of one (in any fixed order) hold one that the other has
+    wide = marked.filter("allowed > 0").select("canon", "allowed", "size", "marks", F.explode(F.slice("marks", 1, F.col("allowed") + 1)).alias("mark"))
+    other = marked.select(F.col("canon").alias("near"), F.col("size").alias("size2"), F.col("marks").alias("marks2"), F.explode("marks").alias("mark"))
+    pairs = wide.join(other, "mark").filter((F.col("canon") != F.col("near")) & (F.abs(F.col("size") - F.col("size2")) <= F.col("allowed")))
+    pairs = pairs.select("canon", "near", "allowed", "size", F.size(F.array_intersect("marks", "marks2")).alias("common")).distinct().filter(F.col("size") - F.col("common") <= F.col("allowed"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [match_cost(parse(x), parse(y), bound=float(k)) <= k for x, y, k in zip(b["canon"], b["near"], b["allowed"], strict=True)]
+            yield b.loc[ok, ["canon", "near"]]
+
+    near = cut(pairs.select("canon", "near", "allowed").repartition("canon", "near").mapInPandas(judge, "canon string, near string"), "near")
+    more = instances.select(F.col("canon").alias("near"), "vs", "es").join(near, "near").select("canon", "vs", "es")
+    return instances.select("canon", "vs", "es").union(more).distinct()
+
+
 def recursive(instances: DataFrame, e: DataFrame) -> DataFrame:
     """(canon, label, group, vs): instances of one substructure joined through edges of one label, as connected groups (named by their smallest vertex).
 

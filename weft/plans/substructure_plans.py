@@ -184,17 +184,33 @@ def subdue_value_mdl(spark, d):
 
 @query()
 def subdue_discover(spark, d):
-    """Best compressing substructures of the labelled graph by beam search over disjoint instances, two rounds (a top-k report)."""
+    """Best compressing substructures of the labelled graph by beam search over disjoint instances, pruned (a top-k report)."""
     v, e = views.labelled(spark, d)
-    return sub.discover(v, e, sub.Search(rounds=2, by="mdl"))
+    return sub.discover(v, e, sub.Search(by="mdl", prune=True))
 
 
-@query("SELECT * FROM (VALUES ('same', CAST(0 AS DOUBLE)), ('label', CAST(1 AS DOUBLE)), ('edge', CAST(1 AS DOUBLE)), ('vertex', CAST(2 AS DOUBLE))) t(pair, cost)")
+@query(f"{_ONE} SELECT a.l1, a.edge, a.directed, a.l2, CAST(sum(b.instances) AS BIGINT) AS instances FROM one a JOIN one b ON a.directed = b.directed AND CAST(a.l1 <> b.l1 AS INTEGER) + CAST(a.edge <> b.edge AS INTEGER) + CAST(a.l2 <> b.l2 AS INTEGER) <= 1 GROUP BY ALL")
 def inexact_match(spark, d):
-    """Edit costs between small labelled graphs (the SQL holds the values counted by hand)."""
-    a = (["x", "y", "z"], [(0, 1, "e", True), (1, 2, "f", False)])
-    pairs = [("same", a, a), ("label", a, (["x", "y", "w"], a[1])), ("edge", a, (a[0], a[1][:1])), ("vertex", a, (a[0][:2], a[1][:1]))]
-    return spark.createDataFrame([(n, float(sub.match_cost(x, y))) for n, x, y in pairs], "pair string, cost double")
+    """Instances of each one-edge substructure, with those that are one edit away (a threshold of 0.34 of three parts)."""
+    v, e = views.labelled(spark, d)
+    v, e = cut(v, "v"), cut(sub.with_ids(e), "e")
+    own = cut(sub.with_canon(e.select(F.array_sort(F.array("v1", "v2")).alias("vs"), F.array("eid").alias("es")), v, e), "own")
+    near = sub.alike(own, v, e, 0.34).groupBy("canon").agg(F.count(F.lit(1)).alias("instances"))
+    swap = ~F.col("directed") & (F.col("l1") > F.col("l2"))
+    name = sub.with_labels(v, own.select("canon", F.get("es", F.lit(0)).alias("eid")).join(e, "eid")).select("canon", F.when(swap, F.col("l2")).otherwise(F.col("l1")).alias("l1"), F.col("label").alias("edge"), "directed", F.when(swap, F.col("l1")).otherwise(F.col("l2")).alias("l2")).distinct()
+    return near.join(name, "canon").select("l1", "edge", "directed", "l2", "instances")
+
+
+@query(f"""WITH {LABELLED}, i AS (SELECT v1, v2 FROM se JOIN sv a ON a.vid = v1 JOIN sv b ON b.vid = v2 WHERE a.label = 'BUILDING' AND se.label = '1-URGENT' AND b.label = 'order-F'),
+c AS (SELECT v1, count(*) AS k FROM i GROUP BY v1), o AS (SELECT c.v1, k, count(*) AS others FROM c JOIN (SELECT v1 AS x, v1, v2 FROM se UNION ALL SELECT v2, v1, v2 FROM se) y ON y.x = c.v1 LEFT JOIN i ON i.v1 = y.v1 AND i.v2 = y.v2 WHERE i.v1 IS NULL GROUP BY 1, 2)
+SELECT CAST((SELECT count(*) FROM sv) - (SELECT count(*) FROM c) AS BIGINT) AS vertices, CAST((SELECT count(*) FROM se) - (SELECT count(*) FROM i) + (SELECT sum(k - 1) FROM c) + (SELECT coalesce(sum((k - 1) * others), 0) FROM o) AS BIGINT) AS edges, CAST((SELECT sum(k - 1) FROM c) AS BIGINT) AS overlaps""")
+def compressed_graph(spark, d):
+    """The graph once all urgent finished orders of a segment's customers are one vertex with their customer each, where a customer's instances overlap."""
+    v, e = views.labelled(spark, d)
+    v, e = cut(v, "v"), cut(sub.with_ids(e), "e")
+    own = sub.instances_of(sub.with_labels(v, e).withColumn("batch", F.lit(0)), sub.canonical(["BUILDING", "order-F"], [(0, 1, "1-URGENT", True)]))
+    nv, ne = sub.compress_overlapping(v, e, own)
+    return ne.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("label") == "OVERLAP").alias("overlaps")).join(nv.agg(F.count(F.lit(1)).alias("vertices")))
 
 
 #: A customer with three kinds of orders, and a nation with a customer of two: three edges each, whose orders come in different months.
