@@ -105,7 +105,7 @@ def lexicon(words_: list[str] = COMMON, seen: dict[str, int] | None = None) -> d
 
 def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
     """The most frequent words of all pages' texts and of the hyphenated labels of all distinct hosts, with their counts: at most max_words come
-    to the driver, and of words that occur equally often all or none."""
+    to the driver, of words that occur equally often the first in order."""
     letters = r"[^\p{L}]+"
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ")
     found = pages.select(F.explode(F.split(F.lower(text), letters)).alias("word"))
@@ -114,12 +114,16 @@ def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
     both = found.union(labels.select(F.explode(F.split("l", letters)).alias("word")))
     counts = cut(both.filter(F.length("word").between(2, 64)).groupBy("word").count(), "unigrams")
     # how many words occur how often: a short table, from which follows the least count that max_words leave room for
-    left, least = max_words, None
+    left, least = max_words, math.inf
     for r in sorted(counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["count"]):
         if r["n"] > left:
+            tied = counts.filter(F.col("count") == r["count"]).orderBy("word").limit(left)
             break
         left, least = left - r["n"], r["count"]
-    return {r["word"]: r["count"] for r in counts.filter(F.col("count") >= least).collect()} if least is not None else {}
+    else:
+        tied = counts.limit(0)
+    whole = counts.filter(F.col("count") >= least) if least < math.inf else counts.limit(0)
+    return {r["word"]: r["count"] for r in whole.union(tied).collect()}
 
 
 def tokens(host: str, path: str, seg: Segmenter) -> tuple[list[str], list[str]]:
