@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.operators import cluster, compare, core, grammar, iterate, motifs, randgraph, selection, summary
+from weft.operators import cluster, compare, core, grammar, iterate, labelling, motifs, randgraph, selection, summary
 from weft.operators.rest import cut
 from weft.plans import mdl_plans
+from weft.plans.iterative import _rounds
 from weft.plans.registry import SQL, query
 from weft.plans.structure import DEG, SYM
 from weft.sources import views
@@ -187,6 +188,37 @@ def vog_exact_structures(spark, d):
     return p.select("component", "n", "m", summary.exact_code(F.col("n"), F.col("m"), F.col("top"), F.col("ones")).alias("code"))
 
 
+_LN, _LU = (lambda z: mdl_plans._ln(f"greatest({z}, 1)")), mdl_plans._C.format
+_NLL = "(CASE WHEN {0} = 0 OR {1} = 0 THEN 0.0 ELSE -{0} * log2({0} / CAST({0} + {1} AS DOUBLE)) - {1} * log2({1} / CAST({0} + {1} AS DOUBLE)) END)".format
+_ERR = lambda one, zero: f"(CASE WHEN {one} <= 0 OR {zero} <= 0 THEN 0.0 ELSE {_LN(one)} + {_NLL(one, zero)} END)"
+_BP = _rounds(
+    f"SELECT component, id, prior / (1 + {labelling.A!r} * deg) AS b FROM bn",
+    f"SELECT bn.component, bn.id, (prior + {labelling.C!r} * x) / (1 + {labelling.A!r} * deg) AS b FROM bn JOIN (SELECT s.u AS id, sum(r.b) AS x FROM s JOIN {{r}} r ON r.id = s.v GROUP BY s.u) USING (id)",
+    30,
+)
+
+
+@query(f"""{_PROFILE}, q AS (SELECT * FROM comp JOIN d USING (id)), h AS (SELECT component, arg_max(id, (deg, -id)) AS hub FROM q GROUP BY component),
+bn AS (SELECT component, id, deg, CASE WHEN id = hub THEN {labelling.PRIOR!r} WHEN id IN (SELECT v FROM s WHERE u = hub) THEN -{labelling.PRIOR!r} ELSE 0.0 END AS prior FROM q JOIN h USING (component)), {_BP},
+sd AS (SELECT component, id, sign(b) AS side FROM r30), kl AS (SELECT component, count(*) FILTER (side > 0) AS k, count(*) FILTER (side < 0) AS l FROM sd GROUP BY 1),
+xy AS (SELECT a.component, count(*) FILTER (a.side * b.side = -1) AS x, count(*) FILTER (a.side * b.side = 1) AS y FROM g JOIN sd a ON a.id = u JOIN sd b ON b.id = v GROUP BY 1),
+t AS (SELECT p.component, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, top, k, l, x, y, CAST(n * n - n - 2 * m AS BIGINT) AS f1, CAST(2 * m AS BIGINT) AS f2, CAST(n * n - 2 * m AS BIGINT) AS f3, CAST(2 * (n - 1 - top) + 2 * (m - top) AS BIGINT) AS s1, 2 * (k * l - x) + 2 * y AS b1, 2 * y AS n1, k * l - x AS z, (SELECT count(*) FROM n) AS big FROM p JOIN kl USING (component) JOIN xy USING (component)),
+w AS (SELECT *, CAST(n * n - s1 AS BIGINT) AS s2, CAST(n * n - b1 AS BIGINT) AS b2, CAST(n * n - n1 AS BIGINT) AS n2 FROM t),
+c AS (SELECT component, n, m, top, {_LN('n')} + {_LU('big', 'n')} + {_ERR('f1', 'f2')} AS fc, {_LN('n')} + {_LU('big', 'n')} + log2(n * n) + {_NLL('f2', 'f3')} AS nc,
+ CASE WHEN n >= 3 THEN {_LN('n - 1')} + log2(big) + {_LU('(big - 1)', '(n - 1)')} + {_ERR('s1', 's2')} END AS st,
+ {_LN('k')} + {_LN('l')} + {_LU('big', 'k')} + {_LU('(big - k)', 'l')} + {_ERR('b1', 'b2')} AS bc,
+ {_LN('k')} + {_LN('l')} + {_LU('big', 'k')} + {_LU('(big - k)', 'l')} + CASE WHEN x = 0 OR z = 0 THEN 0.0 ELSE 2 * log2(k + l) + {_NLL('x', 'z')} END + {_ERR('n1', 'n2')} AS nb,
+ CASE WHEN m = n - 1 AND top <= 2 THEN {_LN('n - 1')} + (lgamma(big + 1) - lgamma(big - n + 1)) / ln(2) END AS ch FROM w WHERE k > 0 AND l > 0)
+SELECT component, n, m, round(fc, 4) AS fc, round(nc, 4) AS nc, round(st, 4) AS st, round(bc, 4) AS bc, round(nb, 4) AS nb, round(ch, 4) AS ch,
+ CASE WHEN n >= 3 AND 2 * m = n * (n - 1) THEN 'fc' WHEN n >= 3 AND m = n - 1 AND top = n - 1 THEN 'st' WHEN m = n - 1 AND top <= 2 THEN 'ch' WHEN fc = least(fc, nc, st, bc, nb) THEN 'fc' WHEN nc = least(fc, nc, st, bc, nb) THEN 'nc' WHEN st = least(fc, nc, st, bc, nb) THEN 'st' WHEN bc = least(fc, nc, st, bc, nb) THEN 'bc' ELSE 'nb' END AS code FROM c""")
+def vog_labelling_costs(spark, d):
+    """What it costs to describe each component as each kind of structure, errors included, and the cheapest."""
+    g = cut(views.parts(spark, d, 48), "view")
+    pieces = g.join(iterate.components(g).withColumnRenamed("id", "u"), "u").withColumnRenamed("component", "piece")
+    got = labelling.costs(pieces, core.nodes(g).count()).withColumnRenamed("piece", "component")
+    return got.select("component", "n", "m", *[F.round(c, 4).alias(c) for c in labelling.CODES], "code")
+
+
 @query()
 def hrg_rules(spark, d):
     """Production rules of bounded connected samples: communities of the part graph."""
