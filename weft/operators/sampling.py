@@ -1,8 +1,9 @@
-"""Sampled views of a graph: node samples, wedge sampling, a census of four-node subgraphs, and maximal cliques of bounded pieces."""
+"""Sampled views of a graph: node samples, wedge sampling, a census of four-node subgraphs, and maximal cliques."""
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,6 @@ from weft.functions.mdl import degree_bin
 from weft.operators.core import degrees, nodes, ranked, symmetric
 from weft.operators.randgraph import uniform
 
-#: Cliques are listed for pieces of at most so many nodes (checked).
-MOST_NODES = 5_000
-
 
 def scatter(i: Column, step: int, n: int) -> Column:
     """A reproducible pseudo-random rank below n that any SQL engine can compute."""
@@ -75,9 +73,9 @@ def sampled_clustering(edges: DataFrame, per_bin: int = 1000, seed: int = 0) ->
     return closed.groupBy("bin").agg(F.count(F.lit(1)).alias("samples"), F.avg(F.coalesce("hit", F.lit(0))).alias("cd"))
 
 
-def bron_kerbosch(adj: dict[int, set[int]]) -> list[list[int]]:
-    """All maximal cliques, with pivots, over an explicit stack."""
-    out, stack = [], [([], set(adj), set())]
+def bron_kerbosch(adj: dict[int, set[int]], p: set[int] | None = None, x: set[int] | None = None) -> list[list[int]]:
+    """All maximal cliques among ``p`` (all nodes by default) that no node of ``x`` extends, with pivots, over an explicit stack."""
+    out, stack = [], [([], set(adj) if p is None else p, x or set())]
     while stack:
         r, p, x = stack.pop()
         if not p and not x:
@@ -91,22 +89,42 @@ def bron_kerbosch(adj: dict[int, set[int]]) -> list[list[int]]:
     return out
 
 
-def maximal_cliques(edges: DataFrame, key: str, most: int = MOST_NODES) -> DataFrame:
-    """(key, clique): maximal cliques of each piece's simple graph (u, v with a key column); pieces over ``most`` nodes raise."""
-    e = edges.filter("u <> v").select(key, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    big = e.select(key, F.explode(F.array("u", "v")).alias("id")).distinct().groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if big > most:
-        raise ValueError(f"a piece has {big} nodes; cliques are limited to {most}")
+def maximal_cliques(edges: DataFrame, key: str) -> DataFrame:
+    """(key, clique): maximal cliques of each piece's simple graph (u, v with a key column).
+
+    A clique is found at its first node by (degree, id), from the triangles of that node alone: two later neighbours that meet may join it, an
+    earlier one that meets a later one may show that it isn't maximal. Edges in no triangle are cliques themselves. So no piece is ever held
+    whole, only the triangles of one node, whose later neighbours are at most sqrt(2 edges).
+    """
+    from weft.operators.rest import cut
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        adj: dict[int, set[int]] = defaultdict(set)
-        for u, v in pdf[["u", "v"]].itertuples(index=False):
-            adj[u].add(v)
-            adj[v].add(u)
-        return pd.DataFrame({key: k[0], "clique": bron_kerbosch(adj)})
+    e = edges.filter("u <> v").select(F.col(key).alias("k"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    e = cut(e, "cliques")
+    d = e.select("k", F.explode(F.array("u", "v")).alias("id")).groupBy("k", "id").agg(F.count(F.lit(1)).alias("deg"))
+    both = e.join(d.toDF("k", "u", "du"), ["k", "u"]).join(d.toDF("k", "v", "dv"), ["k", "v"])
+    low = F.expr("du < dv OR du = dv AND u < v")
+    o = cut(both.select("k", F.when(low, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(low, F.col("v")).otherwise(F.col("u")).alias("b")), "cliques")
+    found = o.toDF("k", "x", "y").join(o.toDF("k", "x", "z"), ["k", "x"]).filter("y <> z").join(o.toDF("k", "y", "z"), ["k", "y", "z"], "left_semi").select("k", "x", "y", "z")
+    t = cut(found, "cliques")  # x before y before z
+    alone = o.join(t.select("k", F.explode(F.expr("array(struct(x AS a, y AS b), struct(x AS a, z AS b), struct(y AS a, z AS b))")).alias("p")).select("k", "p.*").distinct(), ["k", "a", "b"], "left_anti")
+    near = t.select("k", F.explode(F.expr("array(struct(x AS c, y AS a, z AS b, true AS later), struct(y AS c, x AS a, z AS b, false AS later))")).alias("p")).select("k", "p.*")
+    rows = near.groupBy("k", "c").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("later").alias("later"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, c, xs, ys, later in pdf.itertuples(index=False):
+                adj: dict[int, set[int]] = defaultdict(set)
+                for a, b in zip(xs, ys, strict=True):
+                    adj[a].add(b)
+                    adj[b].add(a)
+                first = {a for a, on in zip(xs, later, strict=True) if not on}
+                out += [(k, sorted([c, *q])) for q in bron_kerbosch(adj, set(adj) - first, first)]
+            yield pd.DataFrame(out, columns=["k", "clique"])
 
     kind = edges.schema[key].dataType.simpleString()
-    return e.groupBy(key).applyInPandas(run, f"{key} {kind}, clique array<bigint>")
+    more = rows.mapInPandas(run, f"k {kind}, clique array<bigint>")
+    return alone.select("k", F.array(F.least("a", "b"), F.greatest("a", "b")).alias("clique")).union(more).withColumnRenamed("k", key)
 
 
 def dfs_order(adj: dict[int, list[int]], start: int, size: int) -> list[int]:
