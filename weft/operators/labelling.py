@@ -22,7 +22,8 @@ CODES = ("fc", "nc", "st", "bc", "nb", "ch")
 
 def beliefs(pieces: DataFrame, tol: float = 1e-12, most: int = 200) -> DataFrame:
     """(piece, id, deg, hub, b) from edges (piece, u, v; each pair once): the solution of (I + A D - C M) b = prior for all pieces, whose signs are
-    the sides. An error if ``most`` rounds don't settle it, which is where nodes of very large degree make the system indefinite."""
+    the sides. An error if ``most`` rounds don't settle it, which is where nodes of very large degree make the system indefinite. Beliefs are dealt out
+    to the edges in every round: as broadcasts they would pass the driver each time."""
     e = pieces.filter("u <> v").select("piece", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     s = cut(e.union(e.select("piece", F.col("v").alias("u"), F.col("u").alias("v"))), "bp")
     d = cut(s.groupBy("piece", F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("deg")), "bp")
@@ -32,8 +33,8 @@ def beliefs(pieces: DataFrame, tol: float = 1e-12, most: int = 200) -> DataFrame
     n = cut(n, "bp")
     now, at = put(n.select("piece", "id", (F.col("prior") / (1 + A * F.col("deg"))).alias("b")), "bp")
     for _ in range(most):
-        come = s.join(now.withColumnsRenamed({"id": "v"}), ["piece", "v"]).groupBy("piece", F.col("u").alias("id")).agg(F.sum("b").alias("x"))
-        new = n.join(come, ["piece", "id"]).join(now.withColumnRenamed("b", "was"), ["piece", "id"])
+        come = s.join(now.withColumnsRenamed({"id": "v"}).hint("merge"), ["piece", "v"]).groupBy("piece", F.col("u").alias("id")).agg(F.sum("b").alias("x"))
+        new = n.join(come.hint("merge"), ["piece", "id"]).join(now.withColumnRenamed("b", "was").hint("merge"), ["piece", "id"])
         new, new_at = put(new.select("piece", "id", ((F.col("prior") + C * F.col("x")) / (1 + A * F.col("deg"))).alias("b"), "was"), "bp")
         gap = new.agg(F.max(F.abs(F.col("b") - F.col("was")))).first()[0] or 0.0
         drop(at)
